@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, packing
+from . import bpe, exact_dedup, langid, mixing, near_dedup, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op4_language, op5_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op4_language, op5_mix_sources, op6_near_duplicates, op10_exact_dedup)}
 ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
