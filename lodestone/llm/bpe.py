@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern that splits text before the merges (public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONE_SPACE, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)").split, re.compile(r"^ | $| \s|\s ").search
-#: Pieces and words up to this length are remembered, twice CACHE of them at most.
-CACHE, CACHED_CHARS = 300_000, 48
-PAIRS = 2_000_000
+#: Pieces and words up to this length are remembered, twice CACHE of either at most, some 80 MB in all.
+CACHE, CACHED_CHARS = 100_000, 48
+PAIRS = 400_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
