@@ -88,7 +88,8 @@ def thresholds(rows: DataFrame, weights: Sequence[int], share: float, most: floa
     return at.select("s", "source_size", "target", "times", below.alias("below"))
 
 
-COPIES = F.col("times") + (F.col("h") < F.col("below")).cast("long")
+#: How often a row of a source is taken.
+COPIES = "times + cast(h < below as long)"
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     """
     rows = cut(sized(docs, id_col, text_col, source_col).withColumn("s", source_key(F.col("source"))))
     plan = thresholds(rows, weights, share, most)
-    return join_small(rows, plan, ["s"]).select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * COPIES).alias("taken"))
+    return join_small(rows, plan, ["s"]).select(F.col("id").alias(id_col), "size", "source_size", "target", F.expr(f"size * ({COPIES})").alias("taken"))
 
 
 def mix_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -109,7 +110,7 @@ def mix_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     slim = cut(sized(docs, id_col, text_col, source_col).withColumn("s", source_key(F.col("source"))))
     plan = thresholds(slim, weights, share, most).select("s", "times", "below")
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(source_col)).alias("s"), id_hash(F.col(id_col)).alias("h"))
-    copies = join_small(tagged, plan, ["s"]).withColumn("copies", COPIES).where("copies > 0")
+    copies = join_small(tagged, plan, ["s"]).withColumn("copies", F.expr(COPIES)).where("copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, packing
+from . import bpe, exact_dedup, fingerprint, langid, mixing, near_dedup, packing, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(pages(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -37,9 +41,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op4_language, op5_mix_sources, op6_near_duplicates, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op9_fingerprints, op10_exact_dedup)}
 ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
