@@ -26,32 +26,51 @@ from .shingles import mixed
 LEVELS = (2, 3)
 BINS = 64
 #: Characters handled at once.
-CHARS = 400_000
+CHARS = 100_000
 U = np.uint64
 
 
+def toss(label: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Place and value of the lowest bit in which each label differs from its left neighbour. A text's first has place 0."""
+    one = label.dtype.type(1)
+    differ = np.empty_like(label)
+    np.bitwise_xor(label[1:], label[:-1], out=differ[1:])
+    differ[first] = one
+    bit = np.bitwise_count(~differ & (differ - one))
+    return bit << np.uint8(1) | (label >> bit.astype(label.dtype) & one).astype(np.uint8)
+
+
 def parse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One level of many texts: (names, whether a name is its text's first) from those of the level before."""
     keep = first.copy()
     keep[1:] |= x[1:] != x[:-1]
     at = np.flatnonzero(keep)
-    run = np.diff(np.append(at, len(x)))
-    x, first = np.where(run > 1, mixed(x[at] + mixed(run.astype(U))), x[at]), first[at]
-    label = x
-    for _ in range(4):
-        left = np.empty_like(label)
-        left[1:], left[0] = label[:-1], 0
-        differ = np.where(first, U(1), label ^ left)
-        bit = np.bitwise_count(~differ & (differ - U(1))).astype(U)
-        label = (bit << U(1)) | ((label >> bit) & U(1))
-    label = label.astype(np.int8)
+    if len(at) < len(x):
+        run = np.diff(np.append(at, len(x)))
+        x, first, long = x[at], first[at], np.flatnonzero(run > 1)
+        x[long] = mixed(x[long] + mixed(run[long].astype(U)))
+    starts = np.flatnonzero(first)
+    label = toss(x, starts)
+    for _ in range(3):
+        label = toss(label, starts)
     begins = first.copy()
-    begins[1:] |= label[1:] > label[:-1]
-    begins[:-1] &= first[:-1] | first[1:] | (label[:-1] > label[1:])
+    rises = label[1:] > label[:-1]
+    begins[1:-1] |= rises[:-1] & ~rises[1:]  # neighbours differ, so what doesn't rise falls
+    if len(starts) > 1:  # a text's last and first neither rise nor fall towards each other
+        ends = starts[1:] - 1
+        begins[ends] = first[ends] | ((label[ends] > label[ends - 1]) & (ends > 0))
+        second = starts[starts < len(x) - 1] + 1
+        inner = second[~first[second]]
+        last = np.isin(inner, np.append(ends, len(x) - 1))
+        after = np.minimum(inner + 1, len(x) - 1)
+        begins[inner] = (label[inner] > label[inner - 1]) & (last | (label[inner] > label[after]))
+    if len(x) > 1 and not first[-1]:
+        begins[-1] = rises[-1]
     at = np.flatnonzero(begins)
     place = np.arange(len(x), dtype=np.int64) - np.repeat(at, np.diff(np.append(at, len(x))))
-    names = mixed(np.add.reduceat(mixed(x + (place.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)), at))
-    return names, first[at]
+    part = x * U(0xBF58476D1CE4E5B9) + place.astype(U) * U(0x9E3779B97F4A7C15)
+    part = (part ^ part >> U(29)) * U(0x94D049BB133111EB)
+    return mixed(np.add.reduceat(part ^ part >> U(32), at)), first[at]
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -63,7 +82,7 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     x = np.frombuffer("".join(texts[i] for i in real).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     first = np.zeros(len(x), bool)
     first[np.cumsum([0, *(len(texts[i]) for i in real[:-1])])] = True
-    x = mixed(x + U(1))
+    x += U(1)
     found, owner = [], []
     for level in range(1, max(LEVELS) + 1):
         x, first = parse(x, first)
