@@ -12,6 +12,8 @@ the vocabulary's size for each language, whatever the input.
 from __future__ import annotations
 
 import functools
+import itertools
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .tables import Table
 
 #: The longest piece used, in characters; words remembered by a Python worker.
 PIECE, WORDS = 8, 500_000
@@ -51,23 +54,35 @@ class Lattice:
     unknown one, whose id is that after the last."""
 
     def __init__(self, path: str):
-        self.ids = pieces(path)
-        self.unknown = len(self.ids)
+        found = pieces(path)
+        self.unknown = len(found)
+        keys = np.zeros(len(found), np.uint64)
+        for size in range(1, PIECE + 1):
+            group = [p for p in found if len(p) == size]
+            if group:
+                keys[[found[p] for p in group]] = self.hashes(self.characters(group))[-1][:, 0]
+        self.table = Table(keys)
+
+    @staticmethod
+    def characters(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+    @staticmethod
+    def hashes(c: np.ndarray) -> list[np.ndarray]:
+        """For each size the hashes of all substrings, by word and where they begin."""
+        own = c * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
+        out = [own]
+        for size in range(2, min(PIECE, c.shape[1]) + 1):
+            out.append(out[-1][:, :-1] * np.uint64(0x9E3779B97F4A7C15) + own[:, size - 1 :])
+        return out
 
     def edges(self, words: list[str]) -> np.ndarray:
         """[word, end, length - 1] -> the id of the piece that ends there, -1 where there is none. Words have one length."""
-        n, get = len(words[0]), self.ids.get
-        out = np.full((len(words), n, min(PIECE, n)), -1, np.int32)
-        for k, w in enumerate(words):
-            row = out[k]
-            for end in range(1, n + 1):
-                at = row[end - 1]
-                for size in range(1, min(PIECE, end) + 1):
-                    i = get(w[end - size : end])
-                    if i is not None:
-                        at[size - 1] = i
-                if at[0] < 0:
-                    at[0] = self.unknown
+        c = self.characters(words)
+        out = np.full((*c.shape, min(PIECE, c.shape[1])), -1, np.int32)
+        for k, h in enumerate(self.hashes(c)):
+            out[:, k:, k] = self.table.at(h.ravel()).reshape(h.shape)
+        out[:, :, 0][out[:, :, 0] < 0] = self.unknown
         return out
 
     def forward(self, edges: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
@@ -101,9 +116,14 @@ def letters():
     return regex.compile(r"\p{L}+").findall
 
 
-def words_of(token: str) -> list[str]:
-    """The words in a lower-cased token without white space, with the mark of their beginning; long ones in parts."""
-    return [w for x in letters()(token) for w in (["▁" + x] if len(x) < LONG else ["▁" * (i == 0) + x[i : i + LONG] for i in range(0, len(x), LONG)])]
+def words_of(text: str) -> list[str]:
+    """A text's words, lower-cased: its runs of letters."""
+    return letters()(text.lower())
+
+
+def marked(word: str) -> list[str]:
+    """A word with the mark of its beginning; a long one in parts."""
+    return ["▁" + word] if len(word) < LONG else ["▁" * (i == 0) + word[i : i + LONG] for i in range(0, len(word), LONG)]
 
 
 def by_length(words: list[str]) -> Iterator[list[str]]:
@@ -128,12 +148,12 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
         for batch in batches:
             counts: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(text.lower().split())
+                counts.setdefault(lang, Counter()).update(words_of(text))
             place: dict[str, int] = {}
             rows = []
-            for lang, tokens in counts.items():
-                for token, n in tokens.items():
-                    rows += [(place.setdefault(w, len(place)), lang, n) for w in words_of(token)]
+            for lang, words in counts.items():
+                for word, n in words.items():
+                    rows += [(place.setdefault(w, len(place)), lang, n) for w in marked(word)]
             if not rows:
                 continue
             langs = sorted({r[1] for r in rows})
@@ -161,35 +181,49 @@ class Scorer:
 
     def __init__(self, path: str, p: np.ndarray):
         self.lattice, self.p = Lattice(path), p
+        self.forget()
+
+    def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((0, p.shape[1]))
+        self.table = np.zeros((1 << 16, self.p.shape[1]))
+
+    def learn(self, words: set[str]) -> None:
+        parts = {x for w in words for x in marked(w)}
+        scores: dict[str, np.ndarray] = {}
+        for group in by_length(list(parts)):
+            scores.update(zip(group, np.log(np.maximum(self.lattice.forward(self.lattice.edges(group), self.p)[-1], 1e-300)), strict=True))
+        at = len(self.place)
+        while at + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for k, w in enumerate(words):
+            self.table[at + k] = scores["▁" + w] if len(w) < LONG else sum(scores[x] for x in marked(w))
+            self.place[w] = at + k
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
-        """By text and language the log-probability; whether a text has a letter."""
-        split = [(t or "").lower().split() for t in texts]
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """By text and language the log-probability; each text's number of words."""
+        split = [words_of(t) if t else [] for t in texts]
         new = {w for words in split for w in words if w not in self.place}
         if len(self.place) + len(new) > WORDS and self.place:
-            self.place, self.table = {}, np.zeros((0, self.p.shape[1]))
+            self.forget()
             new = {w for words in split for w in words}
-        # a token's score is its words' sum; a token without a letter has none, the last row
-        parts = {t: words_of(t) for t in new}
-        words = list({w for ws in parts.values() for w in ws})
-        scores = {}
-        for group in by_length(words):
-            f = np.log(np.maximum(self.lattice.forward(self.lattice.edges(group), self.p)[-1], 1e-300))
-            scores.update(zip(group, f, strict=True))
-        none = np.full(self.p.shape[1], np.nan)
-        rows = [sum(scores[w] for w in ws) if ws else none for ws in parts.values()]
-        self.place.update({t: len(self.place) + i for i, t in enumerate(parts)})
-        if rows:
-            self.table = np.concatenate([self.table, rows])
-        out, lettered = np.zeros((len(texts), self.p.shape[1])), []
-        for k, tokens in enumerate(split):
-            found = self.table[np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))]
-            real = ~np.isnan(found[:, 0]) if len(tokens) else np.zeros(0, bool)
-            lettered.append(bool(real.any()))
-            out[k] = found[real].sum(0)
-        return out, lettered
+        if new:
+            self.learn(new)
+        sizes = np.array([len(w) for w in split])
+        found = self.table[np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(split)), np.int64, sizes.sum())]
+        sums = np.concatenate([np.zeros((1, self.p.shape[1])), np.cumsum(found, 0)])
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes], sizes
+
+
+SCORERS: dict[str, Scorer] = {}
+
+
+def scorer(key: str, path: str, p: np.ndarray) -> Scorer:
+    """A Python worker's scorer of the model it works with: its words stay known from task to task."""
+    if key not in SCORERS:
+        SCORERS.clear()
+        SCORERS[key] = Scorer(path, p)
+    return SCORERS[key]
 
 
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -202,20 +236,20 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.zeros((size, len(langs)))
     counts[table["piece"].to_numpy(int), table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] = table["n"]
     p = np.concatenate([(counts + SMOOTH) / (counts + SMOOTH).sum(0), np.zeros((1, len(langs)))]) if langs else np.zeros((size + 1, 0))
-    shared = docs.sparkSession.sparkContext.broadcast(p)
+    shared, key = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(path, shared.value)
+        known = scorer(key, path, shared.value) if langs else None
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 if not langs:
                     best, share = ["und"] * part.num_rows, [0.0] * part.num_rows
                 else:
-                    score, lettered = scorer.score(part.column(1).to_pylist())
+                    score, words = known.score(part.column(1).to_pylist())
                     top = score.argmax(1)
                     odds = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
-                    best = [langs[i] if ok else "und" for i, ok in zip(top, lettered, strict=True)]
-                    share = [float(x) if ok else 0.0 for x, ok in zip(odds, lettered, strict=True)]
+                    best = [langs[i] if ok else "und" for i, ok in zip(top, words, strict=True)]
+                    share = [float(x) if ok else 0.0 for x, ok in zip(odds, words, strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
