@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, mixing, near_dedup, packing, ppm, urlfilter
+from . import bpe, exact_dedup, fingerprint, htmltext, langid, mixing, near_dedup, packing, ppm, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(pages(spark, sf_dir))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scores(documents(spark, sf_dir))
 
@@ -53,5 +57,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op8_lm_score, op9_fingerprints, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op7_html_text, op8_lm_score, op9_fingerprints, op10_exact_dedup)}
 ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
