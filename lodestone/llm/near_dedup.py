@@ -4,9 +4,9 @@ Each document's distinct shingles give HASHES minima. Bands of ROWS minima find
 packed into longs, and the share of equal groups, counted by bits and corrected for groups that agree by chance, estimates the
 similarity of two documents. Pairs whose estimate isn't far below the limit are confirmed on the full sets.
 
-Documents with equal sets are one class, so copies make no pairs. Of a band's bucket, every class is first paired with one
-leader, the least. What is linked is merged; then only members that are not in their leader's component are paired
-with the bucket's others, of other components. So no bucket emits all its pairs, and no link between components is lost.
+Documents with equal sets are one class, so copies make no pairs. Of a band's bucket, every class is paired with one leader only.
+What is linked is merged. Where a bucket then still has members of different components, those apart from their leader's go through
+an exact join on the rarest of their shingles. So no bucket emits all its pairs, and no link between components is lost.
 At a similarity of 0.75 two documents share no bucket once in 190,000 times; at 0.8, once in 25 million.
 """
 
@@ -92,11 +92,15 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
 
 
+def of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text (binary) of the documents in nodes (id), each text of an id once."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(nodes, "id", "left_semi")
+    return texts.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets have 100 * intersection >= limit * union. Only the texts of pairs are moved."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(ends, "id", "left_semi")
-    texts = cut(texts.groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text"))
+    texts = cut(of_nodes(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, own = WordHashes(), None, None
@@ -115,6 +119,35 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return with_a.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def prefix_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> DataFrame:
+    """The links between documents of rest (node, component, apart) of different components of which one is apart, exactly: a prefix
+    filter over their sets. With shingles in order of how few of these documents have them, two sets as alike as the limit
+    share one of the first (1 - limit) of either; a document that is far from all others has enough shingles of its own to meet none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = of_nodes(docs, rest.select(F.col("node").alias("id")), id_col, text_col).mapInArrow(run, "node long, shingles array<long>").where("size(shingles) > 0")
+    sets = cut(sets.join(rest, "node").withColumn("set_id", F.xxhash64("node", "shingles")))
+    each = sets.select("set_id", F.explode("shingles").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # shingles of one document alone come first and meet nobody: they only take up places of its prefix
+    shared = each.join(reshuffled(common, "shingle"), "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    places = F.expr(f"size(shingles) - cast(ceil({limit} * size(shingles) / 100) as int) + 1 - (size(shingles) - size(shared))")
+    prefix = sets.join(shared, "set_id").withColumn("places", places).where("places > 0").select("node", "set_id", "component", "apart", F.size("shingles").alias("n"), F.expr("explode(slice(shared, 1, places))").alias("s"))
+    prefix = cut(prefix.select("node", "set_id", "component", "apart", "n", F.col("s.shingle").alias("shingle")))
+    x, y = prefix.where("apart").alias("x"), prefix.alias("y")
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.set_id") < F.col("y.set_id")))
+    like = (100 * F.col("x.n") >= limit * F.col("y.n")) & (100 * F.col("y.n") >= limit * F.col("x.n"))
+    pairs = x.join(y, meet & like).select(F.col("x.set_id").alias("sa"), F.col("y.set_id").alias("sb")).distinct()
+    of = lambda k: reshuffled(sets.select(F.col("set_id").alias(f"s{k}"), F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")), f"s{k}")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(of("a"), "sa").join(of("b"), "sb").where(100 * both >= limit * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
     """A row per row of docs: id, n_shingles, component_id (the least id it is linked with over any number of links, itself
     included), kept (whether that is its own).
@@ -133,9 +166,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = same.join(ids, "b").where("a != b").select("a", "b").distinct()
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
-    shared = cut(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
+    # a bucket's leader is any of its members, another one in each bucket
+    chance = F.struct(F.xxhash64("node", "bucket"), "node")
+    shared = cut(members.groupBy("bucket").agg(F.min(chance)["node"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
     crowd = cut(members.join(reshuffled(shared, "bucket"), "bucket"))
-    stars = crowd.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = crowd.where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     likely = F.lit(limit / 100 - SLACK)
     with_sigs = stars.join(reshuffled(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"), "b")
     with_sigs = with_sigs.join(reshuffled(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a"), "a")
@@ -143,17 +178,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirm(likely_stars, docs, id_col, text_col, width, limit).union(same))
     first = cut(components(links))
 
-    # Members outside their leader's component, in buckets where they are not alone, meet the others.
+    # Buckets whose members aren't all in one component: those apart from their leader may have links to others.
     of = lambda name: reshuffled(first.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}")), name)
     placed = crowd.where("leader != node").join(of("node"), "node", "left").join(of("leader"), "leader", "left")
-    placed = placed.select("bucket", "node", F.coalesce("c_node", "node").alias("own"), F.coalesce("c_leader", "leader").alias("led"))
+    placed = cut(placed.select("bucket", "node", F.coalesce("c_node", "node").alias("own"), F.coalesce("c_leader", "leader").alias("led")))
     open_ = placed.groupBy("bucket").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x != y").select("bucket")
-    rest = cut(placed.join(reshuffled(open_, "bucket"), "bucket").join(reshuffled(sigs, "node"), "node"))
-    x, y = rest.where("own != led").alias("x"), rest.alias("y")
-    cross = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") != F.col("y.own")) & ((F.col("y.own") == F.col("y.led")) | (F.col("x.node") < F.col("y.node")))
-    met = x.join(y, cross & (estimate(F.col("x.sig"), F.col("y.sig")) >= likely)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    met = cut(met.join(likely_stars, ["a", "b"], "left_anti"))
-    more = cut(confirm(met, docs, id_col, text_col, width, limit))
+    rest = placed.join(reshuffled(open_, "bucket"), "bucket").groupBy("node").agg(F.max("own").alias("component"), F.max(F.col("own") != F.col("led")).alias("apart"))
+    more = cut(prefix_links(cut(rest), docs, id_col, text_col, width, limit))
     last = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else first
 
     groups = classes.select("set_key", "node").join(last, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
