@@ -70,13 +70,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """docs without the rows whose text another row has that stays; all columns as they were. Of rows that share id and text,
     one stays."""
-    names = docs.columns
     held = exact_dedup(docs, id_col, text_col, keep).where("kept").groupBy(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"))
     stay = cut(held.agg(F.count(F.lit(1)).alias("_n")))
-    marked = docs.withColumn("_key", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)))
-    kept = marked.join(stay, F.expr(f"`{id_col}` <=> _id and _key = _sha"))
-    once, again = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates([id_col, "_key"])
-    return once.union(again).select(*[F.col(f"`{c}`") for c in names])
+    key = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    kept = rows.join(stay, F.expr("id <=> _id and key = _sha"))
+    return kept.where("_n = 1").union(kept.where("_n > 1").dropDuplicates(["id", "key"])).select("row.*")
 
 
 SQL = """

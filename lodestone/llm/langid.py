@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import cut
 from .tables import Table
@@ -252,8 +253,8 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
                     share = [float(x) if ok else 0.0 for x, ok in zip(odds, words, strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    kind = StructField(id_col, docs.schema[id_col].dataType)
+    return docs.select(id_col, text_col).mapInArrow(run, StructType([kind, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
