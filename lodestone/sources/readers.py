@@ -15,7 +15,8 @@ FILE_BYTES, RECORD_BYTES = 16 << 20, 32 << 20
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root), bytes, content of every file below root; a file is one row, so files are bounded by the policy below."""
+    """path (relative to root), bytes, content of every file below root; a file is one row, so `snapshot` bounds them. Names that begin with a dot or an underscore
+    are hidden from Spark's readers and so never enter."""
     base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     whole = F.regexp_replace("path", r"^[a-z]+:/*", "/")
