@@ -166,9 +166,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = same.join(ids, "b").where("a != b").select("a", "b").distinct()
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
-    # a bucket's leader is any of its members, another one in each bucket
-    chance = F.struct(F.xxhash64("node", "bucket"), "node")
-    shared = cut(members.groupBy("bucket").agg(F.min(chance)["node"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"))
+    # a bucket's leader is the member nearest to the bucket's own bits: another one in each bucket, and its least number is a long
+    nearest = F.min(F.col("node").bitwiseXOR(F.col("bucket")))
+    shared = members.groupBy("bucket").agg(nearest.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(shared.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader")))
     crowd = cut(members.join(reshuffled(shared, "bucket"), "bucket"))
     stars = crowd.where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     likely = F.lit(limit / 100 - SLACK)
