@@ -46,6 +46,8 @@ CLOSES = {
     "body": ({"head"}, set()),
 }
 CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
+#: Elements whose classes tell of the page (such as has-sidebar), not of their text.
+WHOLE = frozenset(("html", "body", "main"))
 #: Elements, and words of class, id and role, that aren't the article's own text.
 LEFT_OUT = frozenset("head title nav header footer aside form button select option menu dialog input label legend fieldset script style noscript".split())
 CLASSES = frozenset(
@@ -148,7 +150,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in wall:
                     break
-        stack.append((name, named(name, rest)))
+        stack.append((name, named(name, "" if name in WHOLE else rest)))
     if at < n:
         parts.append(page[at:])
     flush()
