@@ -4,8 +4,8 @@ Each document's distinct shingles give HASHES minima. Bands of ROWS minima find
 packed into longs, and the share of equal groups, counted by bits and corrected for groups that agree by chance, estimates the
 similarity of two documents. Pairs whose estimate isn't far below the limit are confirmed on the full sets.
 
-Documents with equal sets are one class, so copies make no pairs. Of a band's bucket, every class is paired with one leader only.
-What is linked is merged. Where a bucket then still has members of different components, those apart from their leader's go through
+Documents with equal sets are one class, so copies make no pairs. Of a band's bucket, every class is paired with one leader only,
+the member with most company. What is linked is merged. Where a bucket then still has members of different components, those apart from their leader's go through
 an exact join on the rarest of their shingles. So no bucket emits all its pairs, and no link between components is lost.
 At a similarity of 0.75 two documents share no bucket once in 190,000 times; at 0.8, once in 25 million.
 """
@@ -28,6 +28,8 @@ HASHES, ROWS, BITS = 128, 4, 2
 LONGS = HASHES * BITS // 64
 #: The estimate's standard deviation at 0.75 is 0.046; pairs 6 of them below the limit are left out.
 SLACK = 0.28
+#: Sizes of a class differ by this factor.
+CLASS = 1.1
 
 
 def minima(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -119,10 +121,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return with_a.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+
+
 def prefix_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> DataFrame:
     """The links between documents of rest (node, component, apart) of different components of which one is apart, exactly: a prefix
-    filter over their sets. With shingles in order of how few of these documents have them, two sets as alike as the limit
-    share one of the first (1 - limit) of either; a document that is far from all others has enough shingles of its own to meet none."""
+    filter over their sets. Shingles stand in order of how few of these documents have them, those of one document alone left
+    out. Two sets of sizes a and b as alike as the limit share limit * (a + b) / (100 + limit) shingles, so of either as many have to
+    be left from the first that they share on. A document thus looks for partners by classes of their size, each by no more of its
+    shingles than that class asks for; one that is far from all others has too few shared ones to meet any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -134,15 +142,19 @@ def prefix_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, w
     sets = cut(sets.join(rest, "node").withColumn("set_id", F.xxhash64("node", "shingles")))
     each = sets.select("set_id", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # shingles of one document alone come first and meet nobody: they only take up places of its prefix
     shared = each.join(reshuffled(common, "shingle"), "shingle").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    places = F.expr(f"size(shingles) - cast(ceil({limit} * size(shingles) / 100) as int) + 1 - (size(shingles) - size(shared))")
-    prefix = sets.join(shared, "set_id").withColumn("places", places).where("places > 0").select("node", "set_id", "component", "apart", F.size("shingles").alias("n"), F.expr("explode(slice(shared, 1, places))").alias("s"))
-    prefix = cut(prefix.select("node", "set_id", "component", "apart", "n", F.col("s.shingle").alias("shingle")))
+    least, most = F.expr(f"cast(ceil({limit} * n / 100) as int)"), F.expr(f"cast(floor(100 * n / {limit}) as int)")
+    tried = sets.join(shared, "set_id").select("set_id", "component", "apart", F.size("shingles").alias("n"), "shared")
+    tried = tried.select("*", size_class(F.col("n")).alias("own"), F.explode(F.sequence(size_class(least), size_class(most))).alias("other"))
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("other")) - 1e-6))
+    tried = tried.withColumn("places", F.size("shared") - F.ceil(limit * (F.col("n") + smallest) / F.lit(100.0 + limit) - 1e-9).cast("int") + 1).where("places > 0")
+    prefix = tried.select("set_id", "component", "apart", "n", "own", "other", F.size("shared").alias("all"), F.expr("posexplode(slice(shared, 1, places))").alias("at", "s"))
+    prefix = cut(prefix.select("set_id", "component", "apart", "n", "own", "other", (F.col("all") - F.col("at")).alias("left"), F.col("s.shingle").alias("shingle")))
     x, y = prefix.where("apart").alias("x"), prefix.alias("y")
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.set_id") < F.col("y.set_id")))
-    like = (100 * F.col("x.n") >= limit * F.col("y.n")) & (100 * F.col("y.n") >= limit * F.col("x.n"))
-    pairs = x.join(y, meet & like).select(F.col("x.set_id").alias("sa"), F.col("y.set_id").alias("sb")).distinct()
+    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.other") == F.col("y.own")) & (F.col("x.own") == F.col("y.other"))
+    new = (F.col("x.component") != F.col("y.component")) & (~F.col("y.apart") | (F.col("x.set_id") < F.col("y.set_id")))
+    like = (100 + limit) * F.least("x.left", "y.left") >= limit * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, meet & new & like).select(F.col("x.set_id").alias("sa"), F.col("y.set_id").alias("sb")).distinct()
     of = lambda k: reshuffled(sets.select(F.col("set_id").alias(f"s{k}"), F.col("node").alias(k), F.col("shingles").alias(f"set_{k}")), f"s{k}")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return pairs.join(of("a"), "sa").join(of("b"), "sb").where(100 * both >= limit * (F.size("set_a") + F.size("set_b") - both)).select("a", "b").distinct()
@@ -166,12 +178,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = same.join(ids, "b").where("a != b").select("a", "b").distinct()
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
-    # a bucket's leader is the member nearest to the bucket's own bits: another one in each bucket, and its least number is a long
-    nearest = F.min(F.col("node").bitwiseXOR(F.col("bucket")))
-    shared = members.groupBy("bucket").agg(nearest.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(shared.select("bucket", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader")))
+    shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     crowd = cut(members.join(reshuffled(shared, "bucket"), "bucket"))
-    stars = crowd.where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    # a bucket's leader is the member that has most company in all its buckets, the likeliest to be like the others
+    company = crowd.groupBy("node").agg((F.sum("n") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("company"))
+    leaders = crowd.join(company, "node").groupBy("bucket").agg(F.max_by("node", "company").alias("leader"))
+    crowd = cut(crowd.select("bucket", "node").join(reshuffled(leaders, "bucket"), "bucket"))
+    stars = crowd.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     likely = F.lit(limit / 100 - SLACK)
     with_sigs = stars.join(reshuffled(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"), "b")
     with_sigs = with_sigs.join(reshuffled(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a"), "a")
