@@ -8,7 +8,6 @@ the time is linear in the piece, and the result is that of merging by rank.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -18,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 #: Fixed value: the pattern that splits text before the merges (public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONE_SPACE, ODD_SPACE = re.compile(r"(?<=\S) (?=\S)").split, re.compile(r"^ | $| \s|\s ").search
 #: Pieces and words up to this length are remembered, twice CACHE of either at most, some 80 MB in all.
 CACHE, CACHED_CHARS = 100_000, 48
 PAIRS = 400_000
+ROWS = 500
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -186,9 +188,13 @@ class Codec:
         return self.blob[np.repeat(start - ends + size, size) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
 
 
-@functools.cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return in_worker(("codec", path), lambda: Codec(path))
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows."""
+    return (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -198,7 +204,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [c.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
@@ -212,9 +218,26 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [c.decode(x or b"") for x in batch.column(2).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[id_col, "n_tokens", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """decode(encode(docs)), both in one pass of a Python worker, so that an executor holds the vocabulary once a task."""
+    path = vocabulary or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in parts(batches):
+            ids = [c.encode(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())],
+                names=[id_col, "n_tokens", "ids", "text"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids binary, text string")

@@ -33,6 +33,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+HELD: dict = {}
+
+
+def in_worker(key, make):
+    """What make() gives, kept by a Python worker from task to task until another key is asked for: workers go from operator to
+    operator, and no more than one's model and words stay in memory."""
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = make()
+    return HELD[key]
+
+
 def salts(df: DataFrame, least: int = 64) -> int:
     """How many parts a hot group is dealt over: more with more shuffle partitions, which follow the data."""
     return max(least, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

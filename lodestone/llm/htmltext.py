@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 #: The most pages that are read to learn from: those with the least hash of their id.
 SAMPLE = 400
 PATH, WORDS, MEASURES, HIDDEN = 128, 32, 6, 16
@@ -337,7 +339,10 @@ def label(model: Labeller, pages: list[list[Block]], vectors: Vectors) -> list[n
     return out
 
 
-WORKING: dict[str, tuple[Labeller, Vectors]] = {}
+def worker_state(p: dict[str, np.ndarray]) -> tuple[Labeller, Vectors]:
+    model = Labeller()
+    model.p = p
+    return model, Vectors()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
@@ -351,12 +356,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     shared, key = pages.sparkSession.sparkContext.broadcast(model.p), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in WORKING:
-            own = Labeller()
-            own.p = shared.value
-            WORKING.clear()
-            WORKING[key] = own, Vectors()
-        labeller, vectors = WORKING[key]
+        labeller, vectors = in_worker(key, lambda: worker_state(shared.value))
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 found = [blocks(h or "") for h in part.column(2).to_pylist()]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import cut
+from .common import cut, in_worker
 from .tables import Table
 
 #: The longest piece used, in characters; words remembered by a Python worker.
@@ -142,7 +142,7 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path)
+        lattice = in_worker(("lattice", path), lambda: Lattice(path))
         size = lattice.unknown + 1
         p = np.append(np.full(size, 1.0 / size), 0.0)[:, None]
         total: dict[str, np.ndarray] = {}
@@ -216,17 +216,6 @@ class Scorer:
         return sums[ends] - sums[ends - sizes], sizes
 
 
-SCORERS: dict[str, Scorer] = {}
-
-
-def scorer(key: str, path: str, p: np.ndarray) -> Scorer:
-    """A Python worker's scorer of the model it works with: its words stay known from task to task."""
-    if key not in SCORERS:
-        SCORERS.clear()
-        SCORERS[key] = Scorer(path, p)
-    return SCORERS[key]
-
-
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """id, lang_pred, score of every row. lang_pred is the likeliest language (ties: the first by name); score, its
     probability among them if all were as frequent. Null texts and texts without a letter, or a model without languages: und, 0."""
@@ -240,7 +229,7 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     shared, key = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = scorer(key, path, shared.value) if langs else None
+        known = in_worker(key, lambda: Scorer(path, shared.value)) if langs else None
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 if not langs:

@@ -10,7 +10,6 @@ Blocks are BLOCK tokens of one partition, so memory is bounded and nothing is sh
 from __future__ import annotations
 
 import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_worker
+
 ROW, BLOCK = 2048, 1 << 21
 
 
@@ -68,7 +69,6 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-@functools.cache
 def tokenizer(path: str):
     import public_tokenizers
     import tiktoken
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, row: int = ROW, end_id: int = 50256, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = tokenizer(path).encode_to_numpy, np.array([end_id], np.uint16)
+        encode, end = in_worker(("tokenizer", path), lambda: tokenizer(path)).encode_to_numpy, np.array([end_id], np.uint16)
         first, held, size = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
