@@ -94,3 +94,11 @@ def test_packing_loses_nothing(spark):
     assert packed.select("pack_id").distinct().count() == packed.count()
     assert packing.pack(docs.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_round_trip_is_decode_of_encode(spark):
+    docs = spark.createDataFrame([(1, "Some words, and  more words.\n"), (2, None), (3, ""), (3, ""), (4, "né   " * 700)], "doc_id long, text string")
+    one, two = bpe.round_trip(docs), bpe.decode(bpe.encode(docs))
+    assert one.columns == two.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert {r.doc_id: r.text for r in one.collect()}[4] == "né   " * 700
