@@ -5,10 +5,11 @@ training documents. A symbol is coded in the longest context of the trie that ha
 chance that method C gives (its distinct symbols against its count), and the symbols of the context escaped from are
 excluded from the next shorter one. Below the empty context all symbols left are equally likely. The probabilities of all symbols add up to one.
 
-Gathering: every task counts the n-grams of its documents, Spark sums them; of every order those stay that make up more than one KEEP-th
-of all training symbols, so at most KEEP an order are shared with the tasks, whatever the input. What falls below stays in its
-context's escape chance. Beside it the words' counts, of all words, give the base score: the most frequent, at most HEAVY, are
-shared with the tasks by the same argument; a document's other words are joined with their counts.
+Gathering: the trie has every n-gram of the training documents. It is never in one place: its contexts of three symbols and more are dealt
+over parts by their last three, and only orders below that, which the alphabet bounds, are shared with the tasks. Documents go in blocks;
+a block asks each part once for the chance of each of its distinct n-grams, and adds up what comes back for each document. Beside it
+the words' counts, of all words, give the base score: the most frequent, at most HEAVY, are shared with the tasks; a document's other
+words are joined with their counts.
 """
 
 from __future__ import annotations
@@ -23,18 +24,25 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .langid import held_out
-from .shingles import LOWER, WordHashes
+from .shingles import LOWER, WordHashes, mixed
 from .tables import Table
 
-ORDER, KEEP, HEAVY = 5, 1 << 18, 400_000
+ORDER, HEAVY = 5, 400_000
+#: If set, n-grams that don't make up more than one KEEP-th of all training symbols are left out. All are kept otherwise.
+KEEP: int | None = None
+#: Orders below DEALT are shared with the tasks.
+DEALT = 3
 #: A symbol has BITS bits: 0 before a document's first byte, byte + 1, then its end.
 BITS, END, SYMBOLS = 9, 257, 257
 #: Bytes handled at once; distinct n-grams and words that a task holds before it hands them on.
 CHUNK, HELD = 1 << 20, 1 << 21
+#: Symbols of a block of documents; training symbols for each part of the trie.
+BLOCK, PART = 5 << 20, 1 << 23
 #: The document's end as a word: no word has a space.
 END_WORD = xxhash.xxh3_64_intdigest(b" ")
 U = np.uint64
 WORD, GRAM = 0, 1
+DOCUMENT, ASK, TEXT = 0, 1, 2
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +68,16 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return g[real], np.cumsum([0, *(len(t) + 1 for t in texts)])
 
 
+def tail(size: int) -> np.uint64:
+    """The mask of a packed n-gram's last symbols."""
+    return U((1 << BITS * size) - 1)
+
+
+def part_of(g: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the trie that has the contexts of DEALT symbols and more of each packed symbol."""
+    return (mixed((g >> U(BITS)) & tail(DEALT)) % U(parts)).astype(np.int32)
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -81,7 +99,7 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """kind, key, n: of the training rows of (train, text), the counts of word hashes and of packed n-grams, over all of them."""
+    """kind, key, n: of the training rows' texts, the counts of word hashes and of packed n-grams of order DEALT - 1, over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -92,7 +110,7 @@ def count(docs: DataFrame) -> DataFrame:
             for part in chunks([(t or b"").translate(LOWER) for t in batch.column(0).to_pylist()]):
                 words = [w for t in part for w in t.split()]
                 h = np.append(np.fromiter(map(hashes.__getitem__, words), U, len(words)), np.full(len(part), END_WORD, U))
-                for kind, found in ((WORD, h), (GRAM, grams(part)[0])):
+                for kind, found in ((WORD, h), (GRAM, grams(part)[0] & tail(DEALT))):
                     keys, counts = held[kind]
                     k, c = np.unique(found, return_counts=True)
                     keys.append(k), counts.append(c.astype(np.int64))
@@ -110,36 +128,36 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """The pruned trie with every chance worked out. counts[d]: (packed context and symbol of order d, n), in order of keys.
-    totals[d]: (packed context, n of all its symbols, kept or not)."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]]):
-        self.pairs, self.nodes, self.lp, self.down, self.room, self.esc = [], [], [], [], [], []
-        node_n, node_q, node_r = [], [], []
-        for d, (keys, n) in enumerate(counts):
+    """A trie, or a part of one, with every chance worked out. counts[d]: (packed context and symbol of order d, n), in order of keys.
+    totals[d]: (packed context, n of all its symbols, kept or not), in order. below: the trie of the lower orders, whole."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]], below: Trie | None = None):
+        lists = "pairs nodes lp down room esc n count node_n node_q node_r".split()
+        for name in lists:
+            setattr(self, name, list(getattr(below, name)) if below else [])
+        for d, ((keys, n), (contexts, every)) in enumerate(zip(counts, totals, strict=True), len(self.pairs)):
             context = keys >> U(BITS)
             nodes, place = np.unique(context, return_inverse=True)
-            total = dict(zip(totals[d][0].tolist(), totals[d][1].tolist(), strict=True)) if d else {0: int(totals[0][1].sum())}
-            whole = np.array([total[int(k)] for k in nodes], float)
+            whole = every[np.searchsorted(contexts, nodes)].astype(float)
             q, kept = np.bincount(place, minlength=len(nodes)).astype(float), np.bincount(place, n, len(nodes))
             self.pairs.append(Table(keys)), self.nodes.append(Table(nodes))
             self.lp.append(np.log10(n / (whole + q)[place]))
-            self.esc.append(np.log10((q + whole - kept) / (whole + q)))
-            node_n.append(whole), node_q.append(q), node_r.append(whole - kept)
+            self.esc.append(np.log10(np.maximum((q + whole - kept) / (whole + q), 1e-300)))
+            self.node_n.append(whole), self.node_q.append(q), self.node_r.append(whole - kept)
             room, down = np.zeros(len(nodes)), np.zeros(len(nodes))
             if d:
                 # the shorter context without the symbols of this one: those have all been kept there, too
-                below = U((1 << BITS * (d - 1)) - 1)
-                parent = self.nodes[d - 1].at(nodes & below)
-                short = keys & U((1 << BITS * d) - 1)
-                taken = np.bincount(place, counts[d - 1][1][self.pairs[d - 1].at(short)], len(nodes))
-                left, symbols_left = node_n[d - 1][parent] - taken, node_q[d - 1][parent] - q
+                parent = self.nodes[d - 1].at(nodes & tail(d - 1))
+                short = keys & tail(d)
+                taken = np.bincount(place, self.count[d - 1][self.pairs[d - 1].at(short)], len(nodes))
+                left, symbols_left = self.node_n[d - 1][parent] - taken, self.node_q[d - 1][parent] - q
                 room = np.log10(np.maximum(left + symbols_left, 1e-9))
-                escape = symbols_left + node_r[d - 1][parent]
+                escape = symbols_left + self.node_r[d - 1][parent]
                 down = np.where(left + symbols_left > 0, np.log10(np.maximum(escape, 1e-9)) - room, 0.0)
             self.room.append(room), self.down.append(down)
-        self.n = [np.log10(n) for _, n in counts]
-        self.rest = -np.log10(max(SYMBOLS - len(counts[0][0]), 1)) if len(counts[0][0]) else -np.log10(SYMBOLS)
+            self.count.append(n), self.n.append(np.log10(n))
+        known = len(self.n[0])
+        self.rest = -np.log10(max(SYMBOLS - known, 1)) if known else -np.log10(SYMBOLS)
 
     def score(self, g: np.ndarray) -> np.ndarray:
         """The log10 probability of each packed symbol after its context."""
@@ -168,22 +186,139 @@ class Trie:
         return out
 
 
-def build(counted: DataFrame) -> Trie:
-    """The trie of the n-grams in count()'s rows. Orders are summed from the longest down; each sends at most KEEP pairs to the driver, and
-    the totals of their contexts."""
-    whole = cut(counted.where(F.col("kind") == GRAM).select("key", "n"))
-    every = whole.agg(F.sum("n")).first()[0] or 0
+def levels(g: np.ndarray, n: np.ndarray, orders: range, every: int, keep: int | None, below: Trie | None = None) -> Trie:
+    """The trie of the orders from the counts of the n-grams of the last of them."""
     counts, totals = [], []
-    for d in range(ORDER + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << BITS * (d + 1)) - 1))
-        level = cut((whole.select(key.alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))) if d < ORDER else whole)
-        kept = level.where(F.col("n") * KEEP > every)
-        pairs = kept.toPandas().sort_values("key")
-        counts.append((pairs["key"].to_numpy(np.int64).view(U), pairs["n"].to_numpy(float)))
-        context = F.shiftright("key", BITS).alias("context")
-        total = level.join(F.broadcast(kept.select(context).distinct()), F.expr(f"shiftright(key, {BITS}) = context"), "left_semi").groupBy(context).agg(F.sum("n").alias("n")).toPandas()
-        totals.append((total["context"].to_numpy(np.int64).view(U), total["n"].to_numpy(np.int64)))
-    return Trie(counts, totals)
+    for d in orders:
+        k, c = summed([g & tail(d + 1)], [n])
+        totals.append(summed([k >> U(BITS)], [c]))
+        kept = c * keep > every if keep else c > 0
+        counts.append((k[kept], c[kept].astype(float)))
+    return Trie(counts, totals, below)
+
+
+def short(counted: DataFrame, every: int) -> Trie:
+    """The trie of the orders below DEALT, from count()'s rows: however large the input, no more than the alphabet has of such n-grams."""
+    found = counted.where(F.col("kind") == GRAM).select("key", "n").toPandas()
+    return levels(found["key"].to_numpy(np.int64).view(U), found["n"].to_numpy(np.int64), range(DEALT), every, KEEP)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def whole(blob: bytes) -> bytes:
+    return pa.Codec("zstd", 1).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
+def packed(texts: list[bytes]) -> bytes:
+    return squeezed(np.array([len(texts), *map(len, texts)], np.int64).tobytes() + b"".join(texts))
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    raw = whole(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = (8 * (n + 1) + np.cumsum([0, *np.frombuffer(raw, np.int64, n, 8).tolist()])).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def by_bytes(x: np.ndarray) -> bytes:
+    """Compressed: all numbers' first bytes, then all their second ones, and so on."""
+    return squeezed(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def grams_to_blob(g: np.ndarray) -> bytes:
+    return by_bytes(np.concatenate([(g >> U(BITS * k) & tail(1)).astype(np.uint16) for k in range(ORDER + 1)]))
+
+
+def grams_from_blob(blob: bytes) -> np.ndarray:
+    each = numbers(whole(blob), np.uint16).reshape(ORDER + 1, -1).astype(U)
+    return np.bitwise_or.reduce([x << U(BITS * k) for k, x in enumerate(each)])
+
+
+def chances_to_blob(lp: np.ndarray) -> bytes:
+    """Many are equal: each distinct one, and which one it is."""
+    values, place = np.unique(lp, return_inverse=True)
+    return len(values).to_bytes(8, "little") + values.tobytes() + by_bytes(place.astype(np.uint32))
+
+
+def chances_from_blob(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(blob, float, n, 8)[numbers(whole(blob[8 * (n + 1) :]), np.uint32)]
+
+
+def asked(g: np.ndarray, held: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, the block's distinct n-grams in it in order, how often each is in its training documents)."""
+    g = np.sort(g << U(1) | held.astype(U))
+    train, g = 1 - (g & U(1)).astype(np.int64), g >> U(1)
+    at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    keys, n = g[at], np.add.reduceat(train, at)
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    keys, n, part = keys[order], n[order], part[order]
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
+        yield int(part[a]), grams_to_blob(keys[a:b]), by_bytes(n[a:b])
+
+
+def answered(asks: DataFrame, below: Trie, every: int, parts: int) -> DataFrame:
+    """row, part, blob: for each block and part, the log10 probabilities of the n-grams asked for, in order. Counts of all blocks are summed first."""
+    shared, keep = asks.sparkSession.sparkContext.broadcast(below), KEEP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(part: int, rows: list, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+            each = [grams_from_blob(k) for k in keys]
+            g, place = np.unique(np.concatenate(each), return_inverse=True)
+            n = np.bincount(place, np.concatenate([numbers(whole(c), np.int64) for c in counts]), len(g)).astype(np.int64)
+            seen = n > 0
+            lp = levels(g[seen], n[seen], range(DEALT, ORDER + 1), every, keep, shared.value).score(g)[place]
+            ends = np.cumsum([0, *map(len, each)])
+            blobs = [chances_to_blob(lp[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            return pa.record_batch([pa.array(rows, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "part", "blob"])
+
+        now, held = -1, ([], [], [])
+        for batch in batches:
+            for row, part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and held[0]:
+                    yield out(now, *held)
+                    held = ([], [], [])
+                now = part
+                for x, y in zip(held, (row, keys, n), strict=True):
+                    x.append(y)
+        if held[0]:
+            yield out(now, *held)
+
+    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "row long, part int, blob binary")
+
+
+def added(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """row, score: each document's, from its block's texts (part -1) and what the parts answered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(row: int, blobs: list[bytes]) -> pa.RecordBatch:
+            docs = unpacked(blobs[0])
+            g, ends = grams(docs)
+            keys, place = np.unique(g, return_inverse=True)
+            lp = np.empty(len(keys))
+            lp[np.argsort(part_of(keys, parts), kind="stable")] = np.concatenate([chances_from_blob(x) for x in blobs[1:]])
+            return pa.record_batch([pa.array(np.arange(row, row + len(docs))), pa.array(np.add.reduceat(lp[place], ends[:-1]))], names=["row", "score"])
+
+        now, held = -1, []
+        for batch in batches:
+            for row, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row != now and held:
+                    yield out(now, held)
+                    held = []
+                now = row
+                held.append(blob)
+        if held:
+            yield out(now, held)
+
+    return texts.unionByName(answers).repartition(parts, "row").sortWithinPartitions("row", "part").mapInArrow(run, "row long, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,20 +334,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     heavy = words.where(F.col("n") * HEAVY > n).select("key", "n").toPandas()  # fewer than HEAVY
     floor = np.log10(n + 0.1 * (v + 1)) if n else 0.0
-    shared = docs.sparkSession.sparkContext.broadcast((build(counted), heavy["key"].to_numpy(np.int64).view(U), heavy["n"].to_numpy(float)))
+    every = counted.where(F.col("kind") == GRAM).agg(F.sum("n")).first()[0] or 0
+    parts = every // PART + 1
+    shared = docs.sparkSession.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(U), heavy["n"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trie, keys, counts = shared.value
+        keys, counts = shared.value
         table, hashes, row = Table(keys), WordHashes(), TaskContext.get().partitionId() << 40
         logs = np.log10(counts + 0.1)
+
+        def block(first: int, held: list, texts: list[bytes], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for part, k, c in asked(np.concatenate(found), np.repeat(held, [len(t) + 1 for t in texts]), parts):
+                yield record(ASK, first, part, k, c)
+            yield record(TEXT, first, -1, packed(texts), None)
+
+        def record(kind: int, first: int, part: int, blob: bytes, n: bytes | None) -> pa.RecordBatch:
+            end = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([n], pa.binary())]
+            return pa.record_batch([pa.array([first], pa.int64()), *(pa.nulls(1, t) for t in types[1:]), *end], names=names)
+
+        types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+        first, held, own_texts, found, size = row, [], [], [], 0
         for batch in batches:
             texts = [t.translate(LOWER) for t in batch.column(2).to_pylist()]
             done = 0
             for part in chunks(texts):
-                g, ends = grams(part)
-                lp = np.add.reduceat(trie.score(g), ends[:-1])
                 split = [t.split() for t in part]
                 sizes = np.array([len(w) + 1 for w in split])
                 h = np.fromiter((x for w in split for x in [*map(hashes.__getitem__, w), END_WORD]), U, sizes.sum())
@@ -226,19 +373,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 own = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.record_batch([
-                    pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(lp),
-                    pa.array([r.view(np.int64) for r in rare], pa.list_(pa.int64())),
+                    pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base),
+                    pa.array([r.view(np.int64) for r in rare], pa.list_(pa.int64())), pa.array(np.full(len(part), DOCUMENT, np.int32)),
+                    pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()),
                 ], names=names)
                 row += len(part)
-
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+                held += own.column(1).to_pylist()
+                own_texts += part
+                found.append(grams(part)[0])
+                size += len(found[-1])
+                types[1] = own.column(0).type
+                if size >= BLOCK:
+                    yield from block(first, held, own_texts, found)
+                    first, held, own_texts, found, size = row, [], [], [], 0
+        if own_texts:
+            yield from block(first, held, own_texts, found)
+
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "kind", "part", "blob", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"))
+    both = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, kind int, part int, blob binary, n binary"))
+    scored, asks, texts = (both.where(F.col("kind") == k) for k in (DOCUMENT, ASK, TEXT))
+    score = added(texts.select("row", "part", "blob"), answered(asks.select("row", "part", "blob", "n"), short(counted, every), every, parts), parts)
     each = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     seen = each.join(words.select("key", "n"), "key")
     unseen = F.log10(F.lit(0.1))
     more = seen.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) - unseen)).alias("gain"))
-    out = scored.select("row", "id", "held_out", "n_tokens", "known", "base", "score", F.size("rare").alias("rares")).join(more, "row", "left")
+    out = scored.select("row", "id", "held_out", "n_tokens", "known", "base", F.size("rare").alias("rares")).join(more, "row", "left").join(score, "row")
     base = F.col("base") + F.col("rares") * unseen + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).alias("train_tokens"),

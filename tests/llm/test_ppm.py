@@ -83,3 +83,17 @@ def test_empty_table_and_nothing_to_learn(spark):
     r = ppm.scores(spark.createDataFrame([(only_held_out, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert r.score == pytest.approx(-4 * math.log10(ppm.SYMBOLS))
+
+
+def test_rare_ngrams_of_a_large_input_are_kept(spark, monkeypatch):
+    """More than 2^18 training symbols, so that what occurs once is below one in 2^18 of them; several blocks and parts."""
+    monkeypatch.setattr(ppm, "PART", 40_000)
+    texts = ["ab" * 140_000, "Qx7%zé kk", "Qx7%zé kk Qx7", "b\x01a", ""] + ["the cat %d" % i for i in range(15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    assert not held[0] and not held[1] and any(held)
+    p = plain([t for t, h in zip(texts, held, strict=True) if not h], float("inf"))
+    got = {r.doc_id: r.score for r in ppm.scores(docs).collect()}
+    for i, t in enumerate(texts[1:], 1):
+        s = stream(t)
+        assert got[i] == pytest.approx(sum(math.log10(p(s[:k], s[k])) for k in range(ppm.ORDER, len(s))))
