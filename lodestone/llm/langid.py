@@ -26,8 +26,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import cut, in_worker
 from .tables import Table
 
-#: The longest piece used, in characters; words remembered by a Python worker.
-PIECE, WORDS = 8, 500_000
+#: Words remembered by a Python worker.
+WORDS = 500_000
 SMOOTH = 0.05
 #: Longer words are scored in parts of this length, so that no array grows with a word.
 LONG = 64
@@ -41,12 +41,12 @@ def vocabulary_path() -> str:
 
 @functools.cache
 def pieces(path: str) -> dict[str, int]:
-    """Pieces of letters, with or without the mark of a word's beginning, up to PIECE characters."""
+    """All pieces of letters and combining marks, with or without the mark of a word's beginning."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    found = sorted({p.lower() for p in plain if len(p) <= PIECE and p.strip("▁").isalpha()})
+    found = sorted({p.lower() for p in plain if letters().fullmatch(p.strip("▁"))})
     return {p: i for i, p in enumerate(found)}
 
 
@@ -56,12 +56,12 @@ class Lattice:
 
     def __init__(self, path: str):
         found = pieces(path)
-        self.unknown = len(found)
+        self.unknown, self.longest = len(found), max(map(len, found), default=1)
         keys = np.zeros(len(found), np.uint64)
-        for size in range(1, PIECE + 1):
+        for size in range(1, self.longest + 1):
             group = [p for p in found if len(p) == size]
             if group:
-                keys[[found[p] for p in group]] = self.hashes(self.characters(group))[-1][:, 0]
+                keys[[found[p] for p in group]] = self.hashes(self.characters(group), size)[-1][:, 0]
         self.table = Table(keys)
 
     @staticmethod
@@ -69,19 +69,19 @@ class Lattice:
         return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
     @staticmethod
-    def hashes(c: np.ndarray) -> list[np.ndarray]:
-        """For each size the hashes of all substrings, by word and where they begin."""
+    def hashes(c: np.ndarray, longest: int) -> list[np.ndarray]:
+        """For each size up to the longest the hashes of all substrings, by word and where they begin."""
         own = c * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
         out = [own]
-        for size in range(2, min(PIECE, c.shape[1]) + 1):
+        for size in range(2, min(longest, c.shape[1]) + 1):
             out.append(out[-1][:, :-1] * np.uint64(0x9E3779B97F4A7C15) + own[:, size - 1 :])
         return out
 
     def edges(self, words: list[str]) -> np.ndarray:
         """[word, end, length - 1] -> the id of the piece that ends there, -1 where there is none. Words have one length."""
         c = self.characters(words)
-        out = np.full((*c.shape, min(PIECE, c.shape[1])), -1, np.int32)
-        for k, h in enumerate(self.hashes(c)):
+        out = np.full((*c.shape, min(self.longest, c.shape[1])), -1, np.int32)
+        for k, h in enumerate(self.hashes(c, self.longest)):
             out[:, k:, k] = self.table.at(h.ravel()).reshape(h.shape)
         out[:, :, 0][out[:, :, 0] < 0] = self.unknown
         return out
@@ -114,12 +114,12 @@ class Lattice:
 def letters():
     import regex
 
-    return regex.compile(r"\p{L}+").findall
+    return regex.compile(r"[\p{L}\p{M}]+")
 
 
 def words_of(text: str) -> list[str]:
-    """A text's words, lower-cased: its runs of letters."""
-    return letters()(text.lower())
+    """A text's words, lower-cased: its runs of letters and combining marks that have a letter."""
+    return [w for w in letters().findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def marked(word: str) -> list[str]:
@@ -127,13 +127,13 @@ def marked(word: str) -> list[str]:
     return ["▁" + word] if len(word) < LONG else ["▁" * (i == 0) + word[i : i + LONG] for i in range(0, len(word), LONG)]
 
 
-def by_length(words: list[str]) -> Iterator[list[str]]:
+def by_length(words: list[str], longest: int) -> Iterator[list[str]]:
     """Groups of words of one length, of bounded size."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
     for n, group in groups.items():
-        step = max(1, 200_000 // (n * PIECE))
+        step = max(1, 200_000 // (n * longest))
         yield from (group[i : i + step] for i in range(0, len(group), step))
 
 
@@ -162,7 +162,7 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
             weight = np.zeros((len(place), len(langs)))
             np.add.at(weight, (np.array([r[0] for r in rows]), np.array([number[r[1]] for r in rows])), np.array([float(r[2]) for r in rows]))
             sums = np.zeros((size, len(langs)))
-            for group in by_length(list(place)):
+            for group in by_length(list(place), lattice.longest):
                 word, piece, n = lattice.expected(lattice.edges(group), p)
                 w = weight[[place[x] for x in group]][word] * n[:, None]
                 for k in range(len(langs)):
@@ -191,7 +191,7 @@ class Scorer:
     def learn(self, words: set[str]) -> None:
         parts = {x for w in words for x in marked(w)}
         scores: dict[str, np.ndarray] = {}
-        for group in by_length(list(parts)):
+        for group in by_length(list(parts), self.lattice.longest):
             scores.update(zip(group, np.log(np.maximum(self.lattice.forward(self.lattice.edges(group), self.p)[-1], 1e-300)), strict=True))
         at = len(self.place)
         while at + len(words) > len(self.table):

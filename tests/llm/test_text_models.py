@@ -253,3 +253,19 @@ def test_extraction_of_held_out_pages(spark):
     odd = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (2, None, "", "t"), (None, "u", "plain", "t")], "page_id long, url string, html string, text string")
     assert sorted((str(r.page_id), r.n_chars == len(r.text)) for r in htmltext.extract(odd).collect()) == [("1", True), ("2", True), ("2", True), ("None", True)]
     assert htmltext.extract(odd.limit(0)).count() == 0
+
+
+def test_all_letter_pieces_of_the_vocabulary_are_used():
+    import sentencepiece
+
+    path = langid.vocabulary_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    every = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    long = {p.lower() for p in every if len(p) > 8 and p.strip("▁").isalpha()}
+    assert long and long <= set(langid.pieces(path))
+    lattice, word = langid.Lattice(path), max(long, key=len)
+    assert lattice.edges([word])[0, -1, len(word) - 1] == langid.pieces(path)[word]
+
+
+def test_combining_marks_belong_to_their_words():
+    assert langid.words_of("हिन्दी भाषा, e\u0301te\u0301 \u0301 7") == ["हिन्दी", "भाषा", "e\u0301te\u0301"]
