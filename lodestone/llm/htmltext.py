@@ -68,6 +68,12 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+").findall
 
 
+@functools.cache
+def raw_end(name: str) -> re.Pattern:
+    """The closing tag of an element of RAW; its end is the page's where it has none."""
+    return re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I | re.A)
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
@@ -102,7 +108,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             link = 0
 
-    at, n, lower = 0, len(page), None
+    at, n = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -128,9 +134,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not rest.rstrip().endswith("/") or name not in ("svg", "math"):
-                lower = lower or page.lower()
-                end = lower.find("</" + name, at)
-                at = n if end < 0 else (lower.find(">", end) + 1 or n)
+                end = raw_end(name).search(page, at)
+                at = end.end() if end else n
             parts.append(" ")
             continue
         if name in INLINE:

@@ -269,3 +269,8 @@ def test_all_letter_pieces_of_the_vocabulary_are_used():
 
 def test_combining_marks_belong_to_their_words():
     assert langid.words_of("हिन्दी भाषा, e\u0301te\u0301 \u0301 7") == ["हिन्दी", "भाषा", "e\u0301te\u0301"]
+
+
+def test_raw_elements_end_where_they_end():
+    page = "<body><p>" + "İ" * 9 + "</p><SCRIPT>x < y</Script ><p>a<b>b</b></p><style>p{}</style><div>end</div></body>"
+    assert [b.text for b in htmltext.blocks(page)] == ["İ" * 9, "ab", "end"]
