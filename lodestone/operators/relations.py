@@ -5,13 +5,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 #: The bytes of a page, the length of a cursor.
 PAGE_BYTES, CURSOR_CHARS = 96 * 1024, 4096
+#: Digests of a piece of a group.
+DIGESTS = 4096
 
 
 def span_join(left: DataFrame, right: DataFrame, key: str, how: str = "contains", bucket: int | None = None, kind: str = "inner") -> DataFrame:
@@ -93,11 +98,55 @@ def intact(stored: DataFrame) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, by: Sequence[str], parts: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """A fingerprint of the rows of each group: the SHA-256 of their own digests, in order. A row is hashed before it is gathered, so what is
-    gathered is 64 characters a row; group where there are very many."""
+    """A fingerprint of the rows of each group: the SHA-256 of their own digests, in order. Rows are hashed and sorted in ranges, which split
+    groups, too; a group's digests then go through one task in pieces of DIGESTS, and none is held longer than it takes to hash it."""
     own = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in parts]), 256)
-    listed = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in by], own.alias("_d"))))
-    return rows.groupBy(*groups).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["_d"]), ""), 256).alias("fingerprint"))
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)]
+    order = [f"_g{i}" for i in range(len(groups))] + [f"_b{i}" for i in range(len(by))]
+    hashed = rows.select(*keys, *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], own.alias("_d"))
+    ranged = hashed.repartitionByRange(*order, "_d").sortWithinPartitions(*order, "_d")
+    fields = [f for f in ranged.schema.fields if f.name.startswith("_g")]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        range_, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            names = [c.to_pylist() for c in batch.columns[: len(groups)]]
+            digests = batch.column(batch.num_columns - 1).to_pylist()
+            begin = 0
+            for i in range(1, len(digests) + 1):
+                if i == len(digests) or i - begin >= DIGESTS or any(n[i] != n[begin] for n in names):
+                    piece = pa.array(["".join(d or "" for d in digests[begin:i])])
+                    columns = [c.slice(begin, 1) for c in batch.columns[: len(groups)]]
+                    yield pa.record_batch([*columns, pa.array([range_], pa.int32()), pa.array([at], pa.int64()), piece], names=out_names)
+                    begin, at = i, at + 1
+
+    out_names = [*(f.name for f in fields), "_range", "_at", "_piece"]
+    kinds = [StructField("_range", IntegerType()), StructField("_at", LongType()), StructField("_piece", StringType())]
+    cut = ranged.mapInArrow(pieces, StructType([*fields, *kinds]))
+    dealt = cut.repartition(*[f.name for f in fields]) if groups else cut.repartition(1)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([*first, pa.array([state.hexdigest()])], names=[*(f.name for f in fields), "fingerprint"])
+
+        now, first, state = None, [], None
+        for batch in batches:
+            names = [c.to_pylist() for c in batch.columns[: len(groups)]]
+            for i, piece in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                key = tuple(n[i] for n in names)
+                if state is None or key != now:
+                    if state is not None:
+                        yield out()
+                    now, first, state = key, [c.slice(i, 1) for c in batch.columns[: len(groups)]], hashlib.sha256()
+                state.update(piece.encode())
+        if state is not None:
+            yield out()
+        elif not groups:
+            first, state = [], hashlib.sha256()
+            yield out()
+
+    done = dealt.sortWithinPartitions(*[f.name for f in fields], "_range", "_at").mapInArrow(digest, StructType([*fields, StructField("fingerprint", StringType())]))
+    return done.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(groups)], "fingerprint")
 
 
 class StaleCursor(ValueError):

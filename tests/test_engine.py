@@ -222,3 +222,18 @@ def test_streams(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in"))
     assert sorted(r["count"] for r in queue.windowed_counts(batch, "time", "5 minutes", "1 hour", "user").collect()) == [1, 2]
     assert sorted(r.events for r in queue.active_time(batch, "user", "time", "1 minute").collect()) == [1, 2]
+
+
+def test_ordered_digest_gathers_no_group(spark):
+    """A group is spread over ranges and pieces, and never collected into an array."""
+    import hashlib
+
+    from lodestone.operators import relations
+
+    rows = spark.range(20_000).selectExpr("if(id % 10 = 0, 'b', if(id % 10 = 1, null, 'a')) AS g", "id", "concat('t', id) AS t").repartition(5, "id")
+    done = relations.ordered_digest(rows, ["id"], ["id", "t"], ["g"])
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+    want = {}
+    for i in range(20_000):
+        want.setdefault({0: "b", 1: None}.get(i % 10, "a"), hashlib.sha256()).update(hashlib.sha256(f"{i}\x1ft{i}".encode()).hexdigest().encode())
+    assert {r.g: r.fingerprint for r in done.collect()} == {k: v.hexdigest() for k, v in want.items()} and done.count() == 3
