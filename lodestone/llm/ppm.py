@@ -7,7 +7,8 @@ excluded from the next shorter one. Below the empty context all symbols left are
 
 Gathering: the trie has every n-gram of the training documents. It is never in one place: its contexts of three symbols and more are dealt
 over parts by their last three, and only orders below that, which the alphabet bounds, are shared with the tasks. Documents go in blocks;
-a block asks each part once for the chance of each of its distinct n-grams, and adds up what comes back for each document. Beside it
+a block asks each part once for the chance of each of its distinct n-grams, and adds up what comes back for each document. A part
+sums the counts of all blocks as they come, and a block reads its texts again a few at a time, so neither holds more than what is distinct. Beside it
 the words' counts, of all words, give the base score: the most frequent, at most HEAVY, are shared with the tasks; a document's other
 words are joined with their counts.
 """
@@ -36,8 +37,8 @@ DEALT = 3
 BITS, END, SYMBOLS = 9, 257, 257
 #: Bytes handled at once; distinct n-grams and words that a task holds before it hands them on.
 CHUNK, HELD = 1 << 20, 1 << 21
-#: Symbols of a block of documents; training symbols for each part of the trie.
-BLOCK, PART = 5 << 20, 1 << 23
+#: Symbols of a block of documents, which ends sooner at HELD distinct n-grams; training symbols for each part of the trie.
+BLOCK, PART = 1 << 25, 1 << 23
 #: The document's end as a word: no word has a space.
 END_WORD = xxhash.xxh3_64_intdigest(b" ")
 U = np.uint64
@@ -251,12 +252,8 @@ def chances_from_blob(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, float, n, 8)[numbers(whole(blob[8 * (n + 1) :]), np.uint32)]
 
 
-def asked(g: np.ndarray, held: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+def asked(keys: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(part, the block's distinct n-grams in it in order, how often each is in its training documents)."""
-    g = np.sort(g << U(1) | held.astype(U))
-    train, g = 1 - (g & U(1)).astype(np.int64), g >> U(1)
-    at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    keys, n = g[at], np.add.reduceat(train, at)
     part = part_of(keys, parts)
     order = np.argsort(part, kind="stable")
     keys, n, part = keys[order], n[order], part[order]
@@ -265,60 +262,72 @@ def asked(g: np.ndarray, held: np.ndarray, parts: int) -> Iterator[tuple[int, by
         yield int(part[a]), grams_to_blob(keys[a:b]), by_bytes(n[a:b])
 
 
+class Sums:
+    """Counts by key, added up as they come, so that no more is held than what is distinct."""
+
+    def __init__(self):
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys), self.counts.append(counts)
+        if len(self.keys) >= 8:
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        k, c = summed(self.keys, self.counts)
+        self.keys, self.counts, self.size = [k], [c], len(k)
+        return k, c
+
+
 def answered(asks: DataFrame, below: Trie, every: int, parts: int) -> DataFrame:
-    """row, part, blob: for each block and part, the log10 probabilities of the n-grams asked for, in order. Counts of all blocks are summed first."""
+    """block, part, blob, n: for each block and part the n-grams asked for (blob) and their log10 probabilities (n). Counts of all blocks are summed first."""
     shared, keep = asks.sparkSession.sparkContext.broadcast(below), KEEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: int, rows: list, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-            each = [grams_from_blob(k) for k in keys]
-            g, place = np.unique(np.concatenate(each), return_inverse=True)
-            n = np.bincount(place, np.concatenate([numbers(whole(c), np.int64) for c in counts]), len(g)).astype(np.int64)
+        def out(part: int, sums: Sums, asking: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            g, n = sums.done()
             seen = n > 0
-            lp = levels(g[seen], n[seen], range(DEALT, ORDER + 1), every, keep, shared.value).score(g)[place]
-            ends = np.cumsum([0, *map(len, each)])
-            blobs = [chances_to_blob(lp[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            return pa.record_batch([pa.array(rows, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], names=["row", "part", "blob"])
+            lp = levels(g[seen], n[seen], range(DEALT, ORDER + 1), every, keep, shared.value).score(g)
+            for block, keys in asking:
+                chances = chances_to_blob(lp[np.searchsorted(g, grams_from_blob(keys))])
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([chances], pa.binary())], names=["block", "part", "blob", "n"])
 
-        now, held = -1, ([], [], [])
+        now, sums, asking = -1, Sums(), []
         for batch in batches:
-            for row, part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != now and held[0]:
-                    yield out(now, *held)
-                    held = ([], [], [])
+            for block, part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and asking:
+                    yield from out(now, sums, asking)
+                    sums, asking = Sums(), []
                 now = part
-                for x, y in zip(held, (row, keys, n), strict=True):
-                    x.append(y)
-        if held[0]:
-            yield out(now, *held)
+                sums.add(grams_from_blob(keys), numbers(whole(n), np.int64))
+                asking.append((block, keys))
+        if asking:
+            yield from out(now, sums, asking)
 
-    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "row long, part int, blob binary")
+    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, blob binary, n binary")
 
 
 def added(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """row, score: each document's, from its block's texts (part -1) and what the parts answered."""
+    """row, score: each document's. Of a block, what the parts answered comes first, then its texts, a few at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(row: int, blobs: list[bytes]) -> pa.RecordBatch:
-            docs = unpacked(blobs[0])
-            g, ends = grams(docs)
-            keys, place = np.unique(g, return_inverse=True)
-            lp = np.empty(len(keys))
-            lp[np.argsort(part_of(keys, parts), kind="stable")] = np.concatenate([chances_from_blob(x) for x in blobs[1:]])
-            return pa.record_batch([pa.array(np.arange(row, row + len(docs))), pa.array(np.add.reduceat(lp[place], ends[:-1]))], names=["row", "score"])
-
-        now, held = -1, []
+        now, keys, chances, table, lp = -1, [], [], None, None
         for batch in batches:
-            for row, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row != now and held:
-                    yield out(now, held)
-                    held = []
-                now = row
-                held.append(blob)
-        if held:
-            yield out(now, held)
-
-    return texts.unionByName(answers).repartition(parts, "row").sortWithinPartitions("row", "part").mapInArrow(run, "row long, score double")
+            for block, row, _, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    now, keys, chances, table = block, [], [], None
+                if row is None:
+                    keys.append(grams_from_blob(blob)), chances.append(chances_from_blob(n))
+                    continue
+                if table is None:
+                    table, lp = Table(np.concatenate(keys)), np.concatenate(chances)
+                    keys, chances = [], []
+                docs = unpacked(blob)
+                g, ends = grams(docs)
+                yield pa.record_batch([pa.array(np.arange(row, row + len(docs))), pa.array(np.add.reduceat(lp[table.at(g)], ends[:-1]))], names=["row", "score"])
+
+    both = texts.unionByName(answers.withColumn("row", F.lit(None).cast("long"))).select("block", "row", "part", "blob", "n")
+    return both.repartition(parts, "block").sortWithinPartitions("block", F.col("row").asc_nulls_first(), "part").mapInArrow(run, "row long, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,19 +354,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         table, hashes, row = Table(keys), WordHashes(), TaskContext.get().partitionId() << 40
         logs = np.log10(counts + 0.1)
 
-        def block(first: int, held: list, texts: list[bytes], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for part, k, c in asked(np.concatenate(found), np.repeat(held, [len(t) + 1 for t in texts]), parts):
-                yield record(ASK, first, part, k, c)
-            yield record(TEXT, first, -1, packed(texts), None)
+        def rest(n: int, kind: int, block: int | None = None, part: int | None = None, blob: bytes | None = None, count: bytes | None = None) -> list[pa.Array]:
+            each = ((kind, pa.int32()), (block, pa.int64()), (part, pa.int32()), (blob, pa.binary()), (count, pa.binary()))
+            return [pa.array([x] * n, t) for x, t in each]
 
-        def record(kind: int, first: int, part: int, blob: bytes, n: bytes | None) -> pa.RecordBatch:
-            end = [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([n], pa.binary())]
-            return pa.record_batch([pa.array([first], pa.int64()), *(pa.nulls(1, t) for t in types[1:]), *end], names=names)
+        def record(first: int | None, *values) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([first], pa.int64()), *(pa.nulls(1, t) for t in types), *rest(1, *values)], names=names)
 
-        types = [pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
-        first, held, own_texts, found, size = row, [], [], [], 0
+        types = [None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+        block, sums, size = row, Sums(), 0
         for batch in batches:
             texts = [t.translate(LOWER) for t in batch.column(2).to_pylist()]
+            types[0] = batch.column(0).type
             done = 0
             for part in chunks(texts):
                 split = [t.split() for t in part]
@@ -374,26 +382,29 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 done += len(part)
                 yield pa.record_batch([
                     pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base),
-                    pa.array([r.view(np.int64) for r in rare], pa.list_(pa.int64())), pa.array(np.full(len(part), DOCUMENT, np.int32)),
-                    pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary()),
+                    pa.array([r.view(np.int64) for r in rare], pa.list_(pa.int64())), *rest(len(part), DOCUMENT),
                 ], names=names)
+                yield record(row, TEXT, block, -1, packed(part))
+                g = grams(part)[0]
+                held = np.repeat(own.column(1).to_numpy(False), [len(t) + 1 for t in part])
+                for x, counted_ in ((g[~held], 1), (g[held], 0)):
+                    k, c = np.unique(x, return_counts=True)
+                    sums.add(k, c * counted_)
                 row += len(part)
-                held += own.column(1).to_pylist()
-                own_texts += part
-                found.append(grams(part)[0])
-                size += len(found[-1])
-                types[1] = own.column(0).type
-                if size >= BLOCK:
-                    yield from block(first, held, own_texts, found)
-                    first, held, own_texts, found, size = row, [], [], [], 0
-        if own_texts:
-            yield from block(first, held, own_texts, found)
-
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "kind", "part", "blob", "n"]
+                size += len(g)
+                if size >= BLOCK or sums.size >= HELD:
+                    for ask in asked(*sums.done(), parts):
+                        yield record(None, ASK, block, *ask)
+                    block, sums, size = row, Sums(), 0
+        if size:
+            for ask in asked(*sums.done(), parts):
+                yield record(None, ASK, block, *ask)
+
+    names = ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "kind", "block", "part", "blob", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    both = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, kind int, part int, blob binary, n binary"))
+    both = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, kind int, block long, part int, blob binary, n binary"))
     scored, asks, texts = (both.where(F.col("kind") == k) for k in (DOCUMENT, ASK, TEXT))
-    score = added(texts.select("row", "part", "blob"), answered(asks.select("row", "part", "blob", "n"), short(counted, every), every, parts), parts)
+    score = added(texts.select("row", "block", "part", "blob", "n"), answered(asks.select("block", "part", "blob", "n"), short(counted, every), every, parts), parts)
     each = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     seen = each.join(words.select("key", "n"), "key")
     unseen = F.log10(F.lit(0.1))
