@@ -27,10 +27,11 @@ from .common import cut, in_worker
 from .tables import Table
 
 #: Words remembered by a Python worker.
-WORDS = 500_000
+WORDS = 200_000
 SMOOTH = 0.05
-#: Longer words are scored in parts of this length, so that no array grows with a word.
-LONG = 64
+#: Characters of a word that are looked up at once; steps after which sums over segmentations are scaled anew, so that neither long
+#: words nor small probabilities leave what a double can hold.
+STEP, SCALE = 2048, 16
 
 
 def vocabulary_path() -> str:
@@ -77,37 +78,69 @@ class Lattice:
             out.append(out[-1][:, :-1] * np.uint64(0x9E3779B97F4A7C15) + own[:, size - 1 :])
         return out
 
-    def edges(self, words: list[str]) -> np.ndarray:
-        """[word, end, length - 1] -> the id of the piece that ends there, -1 where there is none. Words have one length."""
-        c = self.characters(words)
-        out = np.full((*c.shape, min(self.longest, c.shape[1])), -1, np.int32)
-        for k, h in enumerate(self.hashes(c, self.longest)):
+    def edges(self, c: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """[word, end, length - 1] -> the id of the piece that ends there, -1 where there is none, for ends from begin up to end.
+        c: the characters of words of one length."""
+        from_ = max(0, begin - self.longest + 1)
+        part = c[:, from_:end]
+        out = np.full((*part.shape, min(self.longest, end)), -1, np.int32)
+        for k, h in enumerate(self.hashes(part, self.longest)):
             out[:, k:, k] = self.table.at(h.ravel()).reshape(h.shape)
         out[:, :, 0][out[:, :, 0] < 0] = self.unknown
-        return out
-
-    def forward(self, edges: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
-        """f[i]: the probability of a word's first i characters, by word and language. p: by piece and language, with a last row of zeros."""
-        m, n, longest = edges.shape
-        f = [np.ones((m, p.shape[1]))]
-        for end in range(n):
-            f.append(sum(f[end - size] * p[edges[:, end, size]] for size in range(min(longest, end + 1))))
-        return f
-
-    def expected(self, edges: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, piece, expected count) under one language's p."""
-        m, n, longest = edges.shape
-        f, b = self.forward(edges, p), [None] * n + [np.ones((m, 1))]
-        for start in range(n - 1, -1, -1):
-            b[start] = sum(b[start + size + 1] * p[edges[:, start + size, size]] for size in range(min(longest, n - start)))
-        found = []
-        for end in range(n):
-            for size in range(min(longest, end + 1)):
-                at = edges[:, end, size]
-                hit = np.flatnonzero(at >= 0)
-                if len(hit):
-                    found.append((hit, at[hit], (f[end - size] * p[at] * b[end + 1] / f[n])[hit, 0]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        return out[:, begin - from_ :]
+
+    def forward(self, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The log-probability of each word by language, summed over all of its segmentations, whatever its length. c: characters of words of
+        one length; p: by piece and language, with a last row of zeros."""
+        m, n = c.shape
+        f, log = [np.ones((m, p.shape[1]))], 0.0  # f: the probabilities of the beginnings that a piece can still follow, over exp(log)
+        for begin in range(0, n, STEP):
+            edges = self.edges(c, begin, min(n, begin + STEP))
+            for at in range(edges.shape[1]):
+                f.append(sum(f[-1 - size] * p[edges[:, at, size]] for size in range(min(len(f), edges.shape[2]))))
+                if len(f) > self.longest:
+                    del f[0]
+                if (begin + at) % SCALE == SCALE - 1:
+                    last = f[-1].copy()
+                    f, log = [x / last for x in f], log + np.log(last)
+        return log + np.log(f[-1])
+
+    def expected(self, c: np.ndarray, p: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word, piece, expected count), a few characters at a time, under one language's p (by piece, with a last zero)."""
+        m, n = c.shape
+        f, log = np.empty((n + 1, m)), np.zeros((n + 1, m))  # of the beginnings: the probability is f * exp(log)
+        f[0] = 1.0
+        parts = [(b, min(n, b + STEP)) for b in range(0, n, STEP)]
+        edges = None
+        for begin, end in parts:
+            edges = self.edges(c, begin, end)
+            for at in range(begin, end):
+                sizes = range(min(at + 1, edges.shape[2]))
+                low = max(0, at - edges.shape[2] + 1)
+                scaled = f[low : at + 1] if not n > SCALE else f[low : at + 1] * np.exp(log[low : at + 1] - log[at])
+                f[at + 1] = sum(scaled[at - low - size] * p[edges[:, at - begin, size]] for size in sizes)
+                log[at + 1] = log[at]
+                if at % SCALE == SCALE - 1:
+                    log[at + 1] += np.log(f[at + 1])
+                    f[at + 1] = 1.0
+        whole, back, back_log = log[n] + np.log(f[n]), [np.ones(m)], np.zeros(m)  # back: of the endings from here on, over exp(back_log)
+        for begin, end in reversed(parts):
+            edges = edges if end == n else self.edges(c, begin, end)
+            ahead = edges if end == n else np.concatenate([edges, self.edges(c, end, min(n, end + self.longest))], 1)
+            for at in range(end - 1, begin - 1, -1):
+                # pieces that begin at `at`; back[k] is of the ending from at + 1 + k
+                found = [(size, ahead[:, at - begin + size, size]) for size in range(min(len(back), ahead.shape[2], n - at)) if at - begin + size < ahead.shape[1]]
+                ratio = f[at] * np.exp(log[at] + back_log - whole)
+                total = 0.0
+                for size, piece in found:
+                    each = p[piece] * back[size]
+                    total = total + each
+                    hit = np.flatnonzero(piece >= 0)
+                    if len(hit):
+                        yield hit, piece[hit], (ratio * each)[hit]
+                back = [total, *back[: self.longest - 1]]
+                if at % SCALE == 0:
+                    back, back_log = [x / total for x in back], back_log + np.log(total)
 
 
 @functools.cache
@@ -122,18 +155,13 @@ def words_of(text: str) -> list[str]:
     return [w for w in letters().findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
-def marked(word: str) -> list[str]:
-    """A word with the mark of its beginning; a long one in parts."""
-    return ["▁" + word] if len(word) < LONG else ["▁" * (i == 0) + word[i : i + LONG] for i in range(0, len(word), LONG)]
-
-
 def by_length(words: list[str], longest: int) -> Iterator[list[str]]:
     """Groups of words of one length, of bounded size."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
     for n, group in groups.items():
-        step = max(1, 200_000 // (n * longest))
+        step = max(1, 200_000 // (min(n, STEP) * longest))
         yield from (group[i : i + step] for i in range(0, len(group), step))
 
 
@@ -144,7 +172,7 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = in_worker(("lattice", path), lambda: Lattice(path))
         size = lattice.unknown + 1
-        p = np.append(np.full(size, 1.0 / size), 0.0)[:, None]
+        p = np.append(np.full(size, 1.0 / size), 0.0)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             counts: dict[str, Counter] = {}
@@ -153,8 +181,7 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
             place: dict[str, int] = {}
             rows = []
             for lang, words in counts.items():
-                for word, n in words.items():
-                    rows += [(place.setdefault(w, len(place)), lang, n) for w in marked(word)]
+                rows += [(place.setdefault("▁" + word, len(place)), lang, n) for word, n in words.items()]
             if not rows:
                 continue
             langs = sorted({r[1] for r in rows})
@@ -163,10 +190,15 @@ def train(docs: DataFrame, where: Column, text_col: str = "text", lang_col: str
             np.add.at(weight, (np.array([r[0] for r in rows]), np.array([number[r[1]] for r in rows])), np.array([float(r[2]) for r in rows]))
             sums = np.zeros((size, len(langs)))
             for group in by_length(list(place), lattice.longest):
-                word, piece, n = lattice.expected(lattice.edges(group), p)
-                w = weight[[place[x] for x in group]][word] * n[:, None]
-                for k in range(len(langs)):
-                    sums[:, k] += np.bincount(piece, w[:, k], size)
+                own, held = weight[[place[x] for x in group]], []
+                for found in itertools.chain(lattice.expected(lattice.characters(group), p), [None]):
+                    if found:
+                        held.append(found)
+                    if held and (found is None or len(held) >= 4096):
+                        word, piece, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                        w, held = own[word] * n[:, None], []
+                        for k in range(len(langs)):
+                            sums[:, k] += np.bincount(piece, w[:, k], size)
             for k, lang in enumerate(langs):
                 total[lang] = total.get(lang, 0) + sums[:, k]
         for lang, n in total.items():
@@ -189,16 +221,13 @@ class Scorer:
         self.table = np.zeros((1 << 16, self.p.shape[1]))
 
     def learn(self, words: set[str]) -> None:
-        parts = {x for w in words for x in marked(w)}
-        scores: dict[str, np.ndarray] = {}
-        for group in by_length(list(parts), self.lattice.longest):
-            scores.update(zip(group, np.log(np.maximum(self.lattice.forward(self.lattice.edges(group), self.p)[-1], 1e-300)), strict=True))
         at = len(self.place)
         while at + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for k, w in enumerate(words):
-            self.table[at + k] = scores["▁" + w] if len(w) < LONG else sum(scores[x] for x in marked(w))
-            self.place[w] = at + k
+        for group in by_length(["▁" + w for w in words], self.lattice.longest):
+            self.table[at : at + len(group)] = self.lattice.forward(self.lattice.characters(group), self.p)
+            self.place.update((w[1:], at + k) for k, w in enumerate(group))
+            at += len(group)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """By text and language the log-probability; each text's number of words."""
