@@ -5,8 +5,9 @@ hashed path words (tag names, and the words of class, id and role), hashed text
 LSTM reads a page's blocks in both directions, so that every block is labelled knowing the whole page, and a logistic layer says how
 likely it is main text. Everything is numpy; pages are batched by length.
 
-The labels to learn from are weak: blocks that stand in elements whose names or classes say what they are (LEFT_OUT, CLASSES). SAMPLE
-pages at most are read for it, with blocks of the kinds that they lack put among them.
+The labels to learn from are weak: blocks that stand in elements whose names or classes say what they are (LEFT_OUT, CLASSES). About SAMPLE
+pages are read for it, in one task, as they are, with blocks of the kinds that they lack put among them, and with their class words made meaningless, so
+that texts, links and neighbours have to tell what a block is.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import in_worker
 
-#: The most pages that are read to learn from: those with the least hash of their id.
-SAMPLE = 400
+#: About how many distinct pages are read to learn from, those with the least hash of id and text; their characters at most.
+SAMPLE, SAMPLE_CHARS = 400, 1 << 25
+#: The most blocks of a page that are learnt from: a run of them from anywhere in it.
+SAMPLE_BLOCKS = 600
+#: Blocks that are labelled at once.
+AT_ONCE = 10_000
 PATH, WORDS, MEASURES, HIDDEN = 128, 32, 6, 16
 EPOCHS, RATE = 14, 0.02
 
@@ -184,10 +189,12 @@ class Vectors:
     def __init__(self):
         self.path, self.word = Buckets(PATH, 0), Buckets(WORDS, 77)
 
-    def of(self, page: list[Block]) -> np.ndarray:
-        x = np.zeros((len(page), PATH + WORDS + MEASURES), np.float32)
-        for k, b in enumerate(page):
-            row = x[k]
+    def of(self, page: list[Block], begin: int = 0, end: int | None = None) -> np.ndarray:
+        """Of the blocks of a page from begin up to end."""
+        part = page[begin:end]
+        x = np.zeros((len(part), PATH + WORDS + MEASURES), np.float32)
+        for k, b in enumerate(part, begin):
+            row = x[k - begin]
             row[[self.path[w] for w in b.path]] = 1
             words = b.text.split(" ")
             found = np.bincount(list(map(self.word.__getitem__, words)), minlength=WORDS)
@@ -218,10 +225,11 @@ class Labeller:
         self.m = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}
         self.t = 0
 
-    def one_way(self, x: np.ndarray, mask: np.ndarray, way: str) -> tuple[np.ndarray, list]:
+    def one_way(self, x: np.ndarray, mask: np.ndarray, way: str, begin: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+        """The states at every block, and what learn() needs of each step. begin: the states (h, c) to begin with."""
         steps = range(x.shape[1]) if way == "f" else range(x.shape[1] - 1, -1, -1)
         z = x @ self.p[f"W{way}"] + self.p[f"c{way}"]
-        h = c = np.zeros((len(x), HIDDEN), np.float32)
+        h, c = begin or (np.zeros((len(x), HIDDEN), np.float32),) * 2
         out, kept = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         for t in steps:
             a = z[:, t] + h @ self.p[f"U{way}"]
@@ -232,12 +240,28 @@ class Labeller:
             kept.append((t, h, c, i, f, o, g, tc, on))
             h, c = on * o * tc + (1 - on) * h, on * c2 + (1 - on) * c
             out[:, t] = h
+        self.ended = h, c
         return out, kept
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         hf, hb = self.one_way(x, mask, "f")[0], self.one_way(x, mask, "b")[0]
         return sigmoid((np.concatenate([hf, hb, x], 2) @ self.p["V"] + self.p["v"])[..., 0])
 
+    def predict_long(self, page: list[Block], vectors: Vectors) -> np.ndarray:
+        """predict() for one page of any number of blocks: each way goes over it AT_ONCE blocks at a time, and hands its states on."""
+        sums = np.zeros(len(page), np.float32)
+        cuts = [(k, min(len(page), k + AT_ONCE)) for k in range(0, len(page), AT_ONCE)]
+        for way, own, parts in (("f", slice(0, HIDDEN), cuts), ("b", slice(HIDDEN, 2 * HIDDEN), cuts[::-1])):
+            state = None
+            for a, b in parts:
+                x = vectors.of(page, a, b)[None]
+                h = self.one_way(x, np.ones(x.shape[:2], np.float32), way, state)[0][0]
+                state = self.ended
+                sums[a:b] += (h @ self.p["V"][own])[:, 0]
+                if way == "f":
+                    sums[a:b] += (x[0] @ self.p["V"][2 * HIDDEN :])[:, 0]
+        return sigmoid(sums + self.p["v"])
+
     def learn(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> float:
         """One step of Adam on the mean cross-entropy of the blocks."""
         hf, kf = self.one_way(x, mask, "f")
@@ -308,16 +332,24 @@ def varied(page: list[Block], r: random.Random) -> list[Block]:
     return out
 
 
+def unnamed(page: list[Block], r: random.Random) -> list[Block]:
+    """A page whose elements have other, meaningless class words: only elements, texts and links, and what stands around them, tell of its blocks."""
+    salt = str(r.random())
+    other = lambda w: w if w[0] not in ".r" or w[0] == "r" and ":" not in w else f".x{zlib.crc32((salt + w).encode())}"
+    return [Block(tuple(map(other, b.path)), b.text, b.linked) for b in page]
+
+
 def train(pages: list[str], seed: int = 11) -> Labeller:
     """A labeller that has learnt from these pages. Without any it calls what its start values say."""
     r, vectors, model = random.Random(seed), Vectors(), Labeller()
-    cut = [b for b in map(blocks, pages) if b]
     data = []
-    for page in cut:
-        for version in (page, varied(page, r), varied(page, r)):
+    for page in filter(None, map(blocks, pages)):
+        begin = r.randint(0, max(0, len(page) - SAMPLE_BLOCKS))
+        page = page[begin : begin + SAMPLE_BLOCKS]
+        for version, named_ in ((page, True), (varied(page, r), True), (varied(page, r), True), (page, False)):
             for k in range(0, len(version), 200):
                 part = version[k : k + 200]
-                data.append((vectors.of(part), np.array([weak_label(b.path) for b in part], np.float32)))
+                data.append((vectors.of(part if named_ else unnamed(part, r)), np.array([weak_label(b.path) for b in part], np.float32)))
     for _ in range(EPOCHS):
         r.shuffle(data)
         for k in range(0, len(data), 16):
@@ -336,11 +368,15 @@ def label(model: Labeller, pages: list[list[Block]], vectors: Vectors) -> list[n
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     while order:
         longest = len(pages[order[0]])
-        group = [k for k in order[: max(1, 20_000 // (2 * longest))] if len(pages[k]) <= 2 * longest]
+        if longest > AT_ONCE:
+            break
+        group = [k for k in order[: max(1, AT_ONCE // (2 * longest))] if len(pages[k]) <= 2 * longest]
         order = order[len(group) :]
         x, mask = padded([vectors.of(pages[k]) for k in group])
         for k, q in zip(group, model.predict(x, mask), strict=True):
             out[k] = q[: len(pages[k])]
+    for k in order:
+        out[k] = model.predict_long(pages[k], vectors)
     return out
 
 
@@ -350,15 +386,38 @@ def worker_state(p: dict[str, np.ndarray]) -> tuple[Labeller, Vectors]:
     return model, Vectors()
 
 
+def sampled(pages: DataFrame, id_col: str, html_col: str, sample: int) -> DataFrame:
+    """h, html: about `sample` distinct pages, all where there are no more. Only they leave their partitions; copies count once."""
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(html_col))
+    most = min(1.0, sample / max(1, pages.count())) * float(1 << 64) - float(1 << 63)
+    few = pages.where(F.col(html_col).isNotNull()).select(h.alias("h"), F.col(html_col).alias("html")).where(F.col("h") <= F.lit(most))
+    return few.groupBy("h").agg(F.first("html").alias("html"))
+
+
+def learnt(pages: DataFrame, id_col: str, html_col: str, sample: int) -> dict[str, np.ndarray]:
+    """The weights that one task learns from sampled pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, size = [], 0
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                if size < SAMPLE_CHARS:
+                    texts.append(text[: SAMPLE_CHARS - size])
+                    size += len(text)
+        p = train(texts).p
+        yield pa.record_batch([pa.array(list(p)), pa.array([a.shape for a in p.values()], pa.list_(pa.int32())), pa.array([a.tobytes() for a in p.values()])], names=["name", "shape", "weights"])
+
+    one = sampled(pages, id_col, html_col, sample).repartition(1).sortWithinPartitions("h").mapInArrow(run, "name string, shape array<int>, weights binary")
+    return {r["name"]: np.frombuffer(bytes(r["weights"]), np.float32).reshape(r["shape"]) for r in one.collect()}  # the labeller's size, whatever the input
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
     """A row per row of pages: id, url, text (the blocks labelled main text, in page order, joined by a space), n_chars.
 
     A null or empty page, or one without main text, has an empty text. Pages are read whole, whatever their length and number of
     blocks. Repeated rows are treated alike. Empty table: no rows; nothing is learnt from null pages.
     """
-    known = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(html_col).alias("html"))
-    model = train([r.html for r in known.orderBy("h", "html").limit(sample).collect()])
-    shared, key = pages.sparkSession.sparkContext.broadcast(model.p), uuid.uuid4().hex
+    shared, key = pages.sparkSession.sparkContext.broadcast(learnt(pages, id_col, html_col, sample)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, vectors = in_worker(key, lambda: worker_state(shared.value))
