@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(df: DataFrame) -> None:
-    """The session's spark.checkpoint.dir is where lineage is cut; one of our own only where it is unset."""
+    """The session's spark.checkpoint.dir is where lineage is cut. Where it is unset, a folder of our own, but only if driver and tasks
+    are one process: on a cluster that folder would be another one on every machine."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="lodestone-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +47,7 @@ def in_worker(key, make):
     operator, and no more than one's model and words stay in memory."""
     if key not in HELD:
         HELD.clear()
+        pa.default_memory_pool().release_unused()
         HELD[key] = make()
     return HELD[key]
 
@@ -52,9 +59,11 @@ def salts(df: DataFrame, least: int = 64) -> int:
 
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", bound: int = 50_000) -> DataFrame:
     """df joined to a table of one row a key whose keys may be hot in df. Up to `bound` rows (counted) small is broadcast;
-    beyond it, each key is dealt over salts, so that no task gets a whole key of df."""
+    beyond it, each key is dealt over salts, so that no task gets a whole key of df. A row's salt is a hash of what is in it, so that a task
+    that runs again deals its rows as before."""
     if small.limit(bound + 1).count() <= bound:
         return df.join(F.broadcast(small), list(on), how)
     n = 32
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return df.withColumn("_salt", (F.rand(7) * n).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    return df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components, reshuffled
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_set, word_hashes
 
 WIDTH, LIMIT = 5, 75
 HASHES, ROWS, BITS = 128, 4, 2
@@ -62,7 +62,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seed = WordHashes(), seeds()
+        hashes, seed = word_hashes(), seeds()
         band = np.arange(HASHES // ROWS, dtype=np.uint64)[:, None]
         for batch in batches:
             sizes, keys, buckets, sigs = [], [], [], []
@@ -105,7 +105,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     texts = cut(of_nodes(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = WordHashes(), None, None
+        hashes, last, own = word_hashes(), None, None
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -133,7 +133,7 @@ def prefix_links(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str, w
     shingles than that class asks for; one that is far from all others has too few shared ones to meet any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             sets = [shingle_set(t, width, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
@@ -172,10 +172,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
     classes = cut(classes)
     sigs = classes.select("node", "sig")
-    # rows with one id are one document
-    same = classes.groupBy("set_key").agg(F.min("node").alias("a")).join(signed.where("id is not null").select("set_key", F.col("id").alias("b")), "set_key")
-    ids = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("b"))
-    same = same.join(ids, "b").where("a != b").select("a", "b").distinct()
+    # rows with one id are one document: the few ids that repeat link the classes of their sets
+    ids = signed.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    same = signed.where("set_key is not null").select("id", "set_key").distinct().join(ids, "id", "left_semi")
+    same = same.join(reshuffled(classes.select("set_key", "node"), "set_key"), "set_key").where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct()
 
     members = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))

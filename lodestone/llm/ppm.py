@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .langid import held_out
-from .shingles import LOWER, WordHashes, mixed
+from .shingles import LOWER, mixed, word_hashes
 from .tables import Table
 
 ORDER, HEAVY = 5, 400_000
@@ -106,7 +106,7 @@ def count(docs: DataFrame) -> DataFrame:
         def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             return pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "key", "n"])
 
-        hashes, held = WordHashes(), {WORD: ([], []), GRAM: ([], [])}
+        hashes, held = word_hashes(), {WORD: ([], []), GRAM: ([], [])}
         for batch in batches:
             for part in chunks([(t or b"").translate(LOWER) for t in batch.column(0).to_pylist()]):
                 words = [w for t in part for w in t.split()]
@@ -351,7 +351,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         from pyspark import TaskContext
 
         keys, counts = shared.value
-        table, hashes, row = Table(keys), WordHashes(), TaskContext.get().partitionId() << 40
+        table, hashes, row = Table(keys), word_hashes(), TaskContext.get().partitionId() << 40
         logs = np.log10(counts + 0.1)
 
         def rest(n: int, kind: int, block: int | None = None, part: int | None = None, blob: bytes | None = None, count: bytes | None = None) -> list[pa.Array]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import in_worker
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words whose hash a Python worker remembers.
-WORDS = 500_000
+WORDS = 200_000
 
 
 class WordHashes(dict):
@@ -18,6 +20,11 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes() -> WordHashes:
+    """The worker's own, in place of what another operator left there."""
+    return in_worker("words", WordHashes)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
