@@ -30,12 +30,99 @@ def test_forward_sums_all_segmentations():
             i = [ids.get(x, lattice.unknown if len(x) == 1 else None) for x in cut]
             if None not in i:
                 want += np.prod(p[i], 0)
-        got = lattice.forward(lattice.edges([w]), p)[-1][0]
-        assert np.allclose(got, want)
+        c = lattice.characters([w])
+        assert np.allclose(np.exp(lattice.forward(c, p)[0]), want)
         # expected counts of pieces, times their lengths, make up the word
-        word, piece, n = lattice.expected(lattice.edges([w]), p[:, :1])
         size = {i: len(x) for x, i in ids.items()} | {lattice.unknown: 1}
-        assert sum(size[int(i)] * x for i, x in zip(piece, n)) == pytest.approx(len(w))
+        found = list(lattice.expected(c, p[:, 0]))
+        assert sum(size[int(i)] * x for _, piece, n in found for i, x in zip(piece, n)) == pytest.approx(len(w))
+
+
+def plain_forward(word, p):
+    """log10-free sums over all segmentations as exact fractions of p: dict piece -> probability, single characters at least p[None]."""
+    from fractions import Fraction
+
+    f = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        f.append(sum(f[a] * p.get(word[a:end], p[None] if end - a == 1 else 0) for a in range(max(0, end - 16), end)))
+    return f
+
+
+def log_of(x):
+    """Of a fraction of any size."""
+    n, d = x.numerator, x.denominator
+    shift = n.bit_length() - d.bit_length()
+    return math.log(n / (d << shift) if shift >= 0 else (n << -shift) / d) + shift * math.log(2)
+
+
+def test_whole_long_words(monkeypatch):
+    """Words far longer than a double's range, in several steps, against exact fractions."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(langid, "STEP", 64)
+    path = langid.vocabulary_path()
+    ids, lattice = langid.pieces(path), langid.Lattice(path)
+    r = random.Random(2)
+    p = np.array([r.choice([1e-14, 1e-5, 0.25]) for _ in range(len(ids) + 1)] + [0.0])
+    exact = {x: Fraction(float(p[i])) for x, i in ids.items()} | {None: Fraction(float(p[lattice.unknown]))}
+    for n in (15, 16, 17, 63, 64, 65, 129, 300):
+        word = "▁" + "".join(r.choice(["the", "tion", "qz", "ж", "straße", "\u0301"]) for _ in range(n))[: n - 1]
+        f = plain_forward(word, exact)
+        assert lattice.forward(lattice.characters([word]), np.stack([p, p], 1))[0] == pytest.approx([log_of(f[-1])] * 2)
+        got, size = {}, {i: len(x) for x, i in ids.items()} | {lattice.unknown: 1}
+        for _, piece, count in lattice.expected(lattice.characters([word]), p):
+            for i, x in zip(piece, count):
+                got[int(i)] = got.get(int(i), 0) + x
+        back = plain_forward(word[::-1], {k if k is None else k[::-1]: v for k, v in exact.items()})[::-1]
+        want = {}
+        for a in range(n):
+            for e in range(a + 1, min(n, a + 16) + 1):
+                i = ids.get(word[a:e], lattice.unknown if e == a + 1 else None)
+                if i is not None:
+                    want[i] = want.get(i, 0) + float(f[a] * Fraction(float(p[i])) * back[e] / f[-1])
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+        assert sum(size[i] * x for i, x in got.items()) == pytest.approx(n)
+
+
+def test_predictions_equal_a_plain_model(spark):
+    """lang_pred and score of every row, from counts of all segmentations worked out word by word in exact fractions."""
+    from fractions import Fraction
+
+    r = random.Random(6)
+    vocabulary = {"en": "the house of water and stone was old".split(), "de": "das haus und der stein im wasser straße".split(), "fr": "la maison et l'eau des pierres été".split()}
+    rows = [(i, " ".join(r.choice(vocabulary[l]) for _ in range(r.randint(1, 6))), l, "x", 0.5, True) for i, l in enumerate(["en", "de", "fr"] * 8)]
+    rows += [(90, "Haus HOUSE maison", None, "x", 0.5, True), (91, None, "en", None, None, None), (92, "7 !", "de", "", 0.0, False), (93, "w" * 90 + " das", "de", "x", 0.5, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, held_out boolean")
+    ids = langid.pieces(langid.vocabulary_path())
+    start = {x: Fraction(1, len(ids) + 1) for x in [*ids, None]}
+    counts = {}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    for i, text, lang, *_ in rows:
+        for w in langid.words_of(text or "") if lang and not held[i] else []:
+            w = "▁" + w
+            f, back = plain_forward(w, start), plain_forward(w[::-1], {k if k is None else k[::-1]: v for k, v in start.items()})[::-1]
+            for a in range(len(w)):
+                for e in range(a + 1, min(len(w), a + 16) + 1):
+                    piece = w[a:e] if w[a:e] in ids else None
+                    if piece or e == a + 1:
+                        own = counts.setdefault(lang, {})
+                        own[piece] = own.get(piece, 0) + float(f[a] * start[piece] * back[e] / f[-1])
+    langs = sorted(counts)
+    total = {lang: sum(c.values()) + langid.SMOOTH * (len(ids) + 1) for lang, c in counts.items()}
+    got = {x.doc_id: x for x in langid.identify(docs).collect()}
+    assert any(held.values()) and len(got) == len(rows)
+    for i, text, *_ in rows:
+        words = langid.words_of(text or "")
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        scores = []
+        for lang in langs:
+            p = {x: Fraction((counts[lang].get(x, 0) + langid.SMOOTH) / total[lang]) for x in [*ids, None]}
+            scores.append(sum(log_of(plain_forward("▁" + w, p)[-1]) for w in words))
+        best = max(range(len(langs)), key=lambda k: scores[k])
+        assert (got[i].lang_pred, got[i].held_out) == (langs[best], held[i])
+        assert got[i].score == pytest.approx(1 / sum(math.exp(s - scores[best]) for s in scores))
 
 
 def test_language_edges_and_accuracy(spark, sf):
@@ -45,7 +132,7 @@ def test_language_edges_and_accuracy(spark, sf):
     assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in got)
     odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 ²Ⅷ __ !", "en"), (4, "the " * 30_000 + "x" * 5000, None), (None, "the and of", "en"), (None, "the and of", "en"), (6, "der und die", "de"), (6, "der und die", "de")], "doc_id long, text string, lang string")
-    rows = langid.identify(odd.withColumnRenamed("lang", "lang").repartition(2)).collect()
+    rows = langid.identify(odd.repartition(2)).collect()
     by = {r.doc_id: (r.lang_pred, r.score, r.held_out) for r in rows}
     assert len(rows) == 8 and [by[i][:2] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and by[4][0] == "en" and by[None][2] is False
     none = odd.where("lang is null")
@@ -264,7 +351,7 @@ def test_all_letter_pieces_of_the_vocabulary_are_used():
     long = {p.lower() for p in every if len(p) > 8 and p.strip("▁").isalpha()}
     assert long and long <= set(langid.pieces(path))
     lattice, word = langid.Lattice(path), max(long, key=len)
-    assert lattice.edges([word])[0, -1, len(word) - 1] == langid.pieces(path)[word]
+    assert lattice.edges(lattice.characters([word]), 0, len(word))[0, -1, len(word) - 1] == langid.pieces(path)[word]
 
 
 def test_combining_marks_belong_to_their_words():
@@ -274,3 +361,56 @@ def test_combining_marks_belong_to_their_words():
 def test_raw_elements_end_where_they_end():
     page = "<body><p>" + "İ" * 9 + "</p><SCRIPT>x < y</Script ><p>a<b>b</b></p><style>p{}</style><div>end</div></body>"
     assert [b.text for b in htmltext.blocks(page)] == ["İ" * 9, "ab", "end"]
+
+
+def plain_lstm(m, x):
+    """Chances of one page's blocks, a number at a time."""
+    n, sig = len(x), lambda v: 1 / (1 + math.exp(-v))
+    states = {}
+    for way in "fb":
+        w, u, c0 = (m.p[k + way].astype(float) for k in "WUc")
+        h, c = [0.0] * htmltext.HIDDEN, [0.0] * htmltext.HIDDEN
+        for t in range(n) if way == "f" else range(n - 1, -1, -1):
+            a = c0 + x[t].astype(float) @ w + np.array(h) @ u
+            i, f, o, g = (a[k * htmltext.HIDDEN : (k + 1) * htmltext.HIDDEN] for k in range(4))
+            c = [sig(f[j]) * c[j] + sig(i[j]) * math.tanh(g[j]) for j in range(htmltext.HIDDEN)]
+            h = [sig(o[j]) * math.tanh(c[j]) for j in range(htmltext.HIDDEN)]
+            states[way, t] = h
+    return [sig(float(np.concatenate([states["f", t], states["b", t], x[t]]) @ m.p["V"][:, 0] + m.p["v"][0])) for t in range(n)]
+
+
+def test_labels_equal_a_plain_lstm(monkeypatch):
+    """Pages of different lengths in one batch, and a page longer than what is labelled at once."""
+    r, m, vectors = random.Random(3), htmltext.Labeller(4), htmltext.Vectors()
+    pages = [[htmltext.Block((r.choice(["div", "p", "nav"]), ".c%d" % r.randint(0, 9)), "w%d and. more" % r.randint(0, 99), r.random()) for _ in range(n)] for n in (1, 7, 0, 12, 40)]
+    want = [plain_lstm(m, vectors.of(p)) for p in pages]
+    for at_once in (10_000, 13, 5):
+        monkeypatch.setattr(htmltext, "AT_ONCE", at_once)
+        got = htmltext.label(m, pages, vectors)
+        assert all(g == pytest.approx(w, abs=1e-5) for g, w in zip(got, want))
+
+
+def test_huge_and_odd_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").limit(40)
+    odd = [(10_000, "u", "<body><article>" + "<p>Some words of the story, as it was told.</p>" * 30_000 + "</article></body>"), (10_001, "u", "<body><article><p>" + "\u0130" * 9 + "</p><script>x</script><p>Hello world, and more of it.</p></article></body>")]
+    docs = pages.unionByName(spark.createDataFrame(odd * 2, "page_id long, url string, html string")).select("*", "page_id", "url").toDF("page_id", "url", "html", "n_chars", "text")
+    got = [r for r in htmltext.extract(docs, sample=60).collect() if r.page_id >= 10_000]
+    assert len(got) == 4 and all(len(r.text) == r.n_chars for r in got)
+    assert {r.n_chars for r in got if r.page_id == 10_000} == {41 * 30_000 - 1}
+    assert {r.text for r in got if r.page_id == 10_001} == {"\u0130" * 9 + " Hello world, and more of it."}
+
+
+def test_pages_without_names(spark):
+    """Layouts whose class words say nothing: most of the menus and footers still go, and most of the text stays."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = htmltext.learnt(pages, "page_id", "html", 200)
+    model, vectors = htmltext.worker_state(weights)
+    r, right, every = random.Random(1), 0, 0
+    for page in pages.limit(80).collect():
+        own = htmltext.blocks(page.html)
+        truth = [htmltext.weak_label(b.path) for b in own]
+        found = htmltext.label(model, [htmltext.unnamed(own, r)], vectors)[0] > 0.5
+        right, every = right + sum(a == b for a, b in zip(truth, found)), every + len(own)
+    assert right >= 0.9 * every, (right, every)
