@@ -9,8 +9,8 @@ Gathering: the trie has every n-gram of the training documents. It is never in o
 over parts by their last three, and only orders below that, which the alphabet bounds, are shared with the tasks. Documents go in blocks;
 a block asks each part once for the chance of each of its distinct n-grams, and adds up what comes back for each document. A part
 sums the counts of all blocks as they come, and a block reads its texts again a few at a time, so neither holds more than what is distinct. Beside it
-the words' counts, of all words, give the base score: the most frequent, at most HEAVY, are shared with the tasks; a document's other
-words are joined with their counts.
+the words' counts, of all words, give the base score: the most frequent, at most HEAVY, are shared with the tasks; a block asks for its other
+words like for its n-grams.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .langid import held_out
-from .shingles import LOWER, mixed, word_hashes
+from .shingles import LOWER, WordHashes, mixed, word_hashes
 from .tables import Table
 
 ORDER, HEAVY = 5, 400_000
@@ -44,6 +44,8 @@ END_WORD = xxhash.xxh3_64_intdigest(b" ")
 U = np.uint64
 WORD, GRAM = 0, 1
 DOCUMENT, ASK, TEXT = 0, 1, 2
+#: The log10 of the smoothed count of a word that the training documents don't have.
+UNSEEN = -1.0
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +101,13 @@ def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield part
 
 
+def words(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(the hashes of all texts' words, each text's with its end; how many each has)."""
+    split = [t.split() for t in texts]
+    sizes = np.array([len(w) + 1 for w in split], np.int64)
+    return np.fromiter((x for w in split for x in [*map(hashes.__getitem__, w), END_WORD]), U, sizes.sum()), sizes
+
+
 def count(docs: DataFrame) -> DataFrame:
     """kind, key, n: of the training rows' texts, the counts of word hashes and of packed n-grams of order DEALT - 1, over all of them."""
 
@@ -109,9 +118,7 @@ def count(docs: DataFrame) -> DataFrame:
         hashes, held = word_hashes(), {WORD: ([], []), GRAM: ([], [])}
         for batch in batches:
             for part in chunks([(t or b"").translate(LOWER) for t in batch.column(0).to_pylist()]):
-                words = [w for t in part for w in t.split()]
-                h = np.append(np.fromiter(map(hashes.__getitem__, words), U, len(words)), np.full(len(part), END_WORD, U))
-                for kind, found in ((WORD, h), (GRAM, grams(part)[0] & tail(DEALT))):
+                for kind, found in ((WORD, words(part, hashes)[0]), (GRAM, grams(part)[0] & tail(DEALT))):
                     keys, counts = held[kind]
                     k, c = np.unique(found, return_counts=True)
                     keys.append(k), counts.append(c.astype(np.int64))
@@ -252,14 +259,17 @@ def chances_from_blob(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, float, n, 8)[numbers(whole(blob[8 * (n + 1) :]), np.uint32)]
 
 
-def asked(keys: np.ndarray, n: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(part, the block's distinct n-grams in it in order, how often each is in its training documents)."""
-    part = part_of(keys, parts)
+def dealt(keys: np.ndarray, n: np.ndarray, part: np.ndarray, to_blob) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, the block's distinct keys in it in order, how often each is in its training documents)."""
     order = np.argsort(part, kind="stable")
     keys, n, part = keys[order], n[order], part[order]
-    at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    for a, b in zip(at, np.append(at[1:], len(part)), strict=True):
-        yield int(part[a]), grams_to_blob(keys[a:b]), by_bytes(n[a:b])
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(at, [*at[1:], len(part)], strict=False):
+        yield int(part[a]), to_blob(keys[a:b]), by_bytes(n[a:b])
+
+
+def words_from_blob(blob: bytes) -> np.ndarray:
+    return numbers(whole(blob), U)
 
 
 class Sums:
@@ -280,18 +290,22 @@ class Sums:
 
 
 def answered(asks: DataFrame, below: Trie, every: int, parts: int) -> DataFrame:
-    """block, part, blob, n: for each block and part the n-grams asked for (blob) and their log10 probabilities (n). Counts of all blocks are summed first."""
+    """block, part, blob, n: for each block and part the n-grams asked for (blob) and their log10 probabilities (n); of parts from `parts` on,
+    words and the log10 of their smoothed counts. Counts of all blocks are summed first."""
     shared, keep = asks.sparkSession.sparkContext.broadcast(below), KEEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: int, sums: Sums, asking: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
             g, n = sums.done()
-            seen = n > 0
-            lp = levels(g[seen], n[seen], range(DEALT, ORDER + 1), every, keep, shared.value).score(g)
+            seen, read = n > 0, from_blob(part)
+            lp = levels(g[seen], n[seen], range(DEALT, ORDER + 1), every, keep, shared.value).score(g) if part < parts else np.where(seen, np.log10(n + 0.1), UNSEEN)
             for block, keys in asking:
-                chances = chances_to_blob(lp[np.searchsorted(g, grams_from_blob(keys))])
+                chances = chances_to_blob(lp[np.searchsorted(g, read(keys))])
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([keys], pa.binary()), pa.array([chances], pa.binary())], names=["block", "part", "blob", "n"])
 
+        def from_blob(part: int):
+            return grams_from_blob if part < parts else words_from_blob
+
         now, sums, asking = -1, Sums(), []
         for batch in batches:
             for block, part, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -299,35 +313,51 @@ def answered(asks: DataFrame, below: Trie, every: int, parts: int) -> DataFrame:
                     yield from out(now, sums, asking)
                     sums, asking = Sums(), []
                 now = part
-                sums.add(grams_from_blob(keys), numbers(whole(n), np.int64))
+                sums.add(from_blob(part)(keys), numbers(whole(n), np.int64))
                 asking.append((block, keys))
         if asking:
             yield from out(now, sums, asking)
 
-    return asks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, blob binary, n binary")
+    return asks.repartition(2 * parts, "part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, blob binary, n binary")
 
 
-def added(texts: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """row, score: each document's. Of a block, what the parts answered comes first, then its texts, a few at a time."""
+def added(texts: DataFrame, answers: DataFrame, parts: int, heavy, floor: float) -> DataFrame:
+    """row, n_tokens, n_known, base_score, score: each document's. Of a block, what the parts answered comes first, then its texts, a few at a time.
+    heavy: the frequent words' hashes and counts, broadcast; floor: the log10 of what smoothed counts are divided by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, chances, table, lp = -1, [], [], None, None
+        keys, counts = heavy.value
+        frequent, logs, hashes = Table(keys), np.log10(counts + 0.1), word_hashes()
+        now, ready = -1, False
         for batch in batches:
-            for block, row, _, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, row, part, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != now:
-                    now, keys, chances, table = block, [], [], None
+                    now, ready = block, False
+                    held = {GRAM: ([np.zeros(0, U)], [np.zeros(0)]), WORD: ([np.zeros(0, U)], [np.zeros(0)])}
                 if row is None:
-                    keys.append(grams_from_blob(blob)), chances.append(chances_from_blob(n))
+                    kind, read = (GRAM, grams_from_blob) if part < parts else (WORD, words_from_blob)
+                    held[kind][0].append(read(blob)), held[kind][1].append(chances_from_blob(n))
                     continue
-                if table is None:
-                    table, lp = Table(np.concatenate(keys)), np.concatenate(chances)
-                    keys, chances = [], []
+                if not ready:
+                    (table, lp), (rare, rare_logs) = ((Table(np.concatenate(k)), np.concatenate(x)) for k, x in (held[GRAM], held[WORD]))
+                    held, ready = {}, True
                 docs = unpacked(blob)
                 g, ends = grams(docs)
-                yield pa.record_batch([pa.array(np.arange(row, row + len(docs))), pa.array(np.add.reduceat(lp[table.at(g)], ends[:-1]))], names=["row", "score"])
+                score = np.add.reduceat(lp[table.at(g)], ends[:-1])
+                h, sizes = words(docs, hashes)
+                place = frequent.at(h)
+                value = np.where(place >= 0, logs[place] if len(logs) else 0.0, UNSEEN)
+                rest = np.flatnonzero(place < 0)
+                if len(rare_logs):
+                    value[rest] = rare_logs[rare.at(h[rest])]
+                begins = np.cumsum(sizes) - sizes
+                known, base = np.add.reduceat((value != UNSEEN).astype(np.int64), begins), np.add.reduceat(value, begins) - sizes * floor
+                yield pa.record_batch([pa.array(np.arange(row, row + len(docs))), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=names)
 
+    names = ["row", "n_tokens", "n_known", "base_score", "score"]
     both = texts.unionByName(answers.withColumn("row", F.lit(None).cast("long"))).select("block", "row", "part", "blob", "n")
-    return both.repartition(parts, "block").sortWithinPartitions("block", F.col("row").asc_nulls_first(), "part").mapInArrow(run, "row long, score double")
+    both = both.repartition(parts, "block").sortWithinPartitions("block", F.col("row").asc_nulls_first(), "part")
+    return both.mapInArrow(run, "row long, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,79 +369,60 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, 10, 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = cut(count(rows.where("not held_out")))
-    words = counted.where(F.col("kind") == WORD)
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = words.where(F.col("n") * HEAVY > n).select("key", "n").toPandas()  # fewer than HEAVY
-    floor = np.log10(n + 0.1 * (v + 1)) if n else 0.0
+    own = counted.where(F.col("kind") == WORD)
+    n, v = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = own.where(F.col("n") * HEAVY > n).select("key", "n").toPandas()  # fewer than HEAVY
+    floor = float(np.log10(n + 0.1 * (v + 1))) if n else 0.0
     every = counted.where(F.col("kind") == GRAM).agg(F.sum("n")).first()[0] or 0
     parts = every // PART + 1
-    shared = docs.sparkSession.sparkContext.broadcast((heavy["key"].to_numpy(np.int64).view(U), heavy["n"].to_numpy(float)))
+    heavy = docs.sparkSession.sparkContext.broadcast((frequent["key"].to_numpy(np.int64).view(U), frequent["n"].to_numpy(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, counts = shared.value
-        table, hashes, row = Table(keys), word_hashes(), TaskContext.get().partitionId() << 40
-        logs = np.log10(counts + 0.1)
+        table, hashes, row = Table(heavy.value[0]), word_hashes(), TaskContext.get().partitionId() << 40
 
-        def rest(n: int, kind: int, block: int | None = None, part: int | None = None, blob: bytes | None = None, count: bytes | None = None) -> list[pa.Array]:
-            each = ((kind, pa.int32()), (block, pa.int64()), (part, pa.int32()), (blob, pa.binary()), (count, pa.binary()))
-            return [pa.array([x] * n, t) for x, t in each]
+        def record(kind: int, rows: list[pa.Array], block: int | None = None, part: int | None = None, blob: bytes | None = None, n: bytes | None = None) -> pa.RecordBatch:
+            each = ((kind, pa.int32()), (block, pa.int64()), (part, pa.int32()), (blob, pa.binary()), (n, pa.binary()))
+            return pa.record_batch([*rows, *(pa.array([x] * len(rows[0]), t) for x, t in each)], names=names)
 
-        def record(first: int | None, *values) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([first], pa.int64()), *(pa.nulls(1, t) for t in types), *rest(1, *values)], names=names)
+        def asks(block: int) -> Iterator[pa.RecordBatch]:
+            (g, c), (w, d) = grams_.done(), words_.done()
+            for part, blob, n in dealt(g, c, part_of(g, parts), grams_to_blob):
+                yield record(ASK, nothing, block, part, blob, n)
+            for part, blob, n in dealt(w, d, (parts + (mixed(w) % U(parts)).astype(np.int64)).astype(np.int32), by_bytes):
+                yield record(ASK, nothing, block, part, blob, n)
 
-        types = [None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
-        block, sums, size = row, Sums(), 0
+        block, grams_, words_, size, nothing = row, Sums(), Sums(), 0, []
         for batch in batches:
-            texts = [t.translate(LOWER) for t in batch.column(2).to_pylist()]
-            types[0] = batch.column(0).type
-            done = 0
+            texts, done = [t.translate(LOWER) for t in batch.column(2).to_pylist()], 0
+            empty = [pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.bool_())]
+            nothing = [pa.nulls(1, pa.int64()), *empty]
             for part in chunks(texts):
-                split = [t.split() for t in part]
-                sizes = np.array([len(w) + 1 for w in split])
-                h = np.fromiter((x for w in split for x in [*map(hashes.__getitem__, w), END_WORD]), U, sizes.sum())
-                place = table.at(h)
-                hit = place >= 0
-                begins = np.cumsum(sizes) - sizes
-                known = np.add.reduceat(hit.astype(np.int64), begins)
-                base = np.add.reduceat(np.where(hit, logs[place] if len(logs) else 0.0, 0.0), begins)
-                rare = np.split(h, begins[1:])
-                rare = [r[~m] for r, m in zip(rare, np.split(hit, begins[1:]), strict=True)]
-                own = batch.slice(done, len(part))
+                ids, held = batch.column(0).slice(done, len(part)), batch.column(1).slice(done, len(part))
                 done += len(part)
-                yield pa.record_batch([
-                    pa.array(np.arange(row, row + len(part))), own.column(0), own.column(1), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base),
-                    pa.array([r.view(np.int64) for r in rare], pa.list_(pa.int64())), *rest(len(part), DOCUMENT),
-                ], names=names)
-                yield record(row, TEXT, block, -1, packed(part))
-                g = grams(part)[0]
-                held = np.repeat(own.column(1).to_numpy(False), [len(t) + 1 for t in part])
-                for x, counted_ in ((g[~held], 1), (g[held], 0)):
-                    k, c = np.unique(x, return_counts=True)
-                    sums.add(k, c * counted_)
+                yield record(DOCUMENT, [pa.array(np.arange(row, row + len(part))), ids, held])
+                yield record(TEXT, [pa.array([row], pa.int64()), *empty], block, -1, packed(part))
+                trains = ~held.to_numpy(False).astype(bool)
+                h, sizes = words(part, hashes)
+                rare, g = table.at(h) < 0, grams(part)[0]
+                for sums, keys, counts in ((grams_, g, np.repeat(trains, [len(t) + 1 for t in part])), (words_, h[rare], np.repeat(trains, sizes)[rare])):
+                    for x, times in ((keys[counts], 1), (keys[~counts], 0)):
+                        k, c = np.unique(x, return_counts=True)
+                        sums.add(k, c * times)
                 row += len(part)
                 size += len(g)
-                if size >= BLOCK or sums.size >= HELD:
-                    for ask in asked(*sums.done(), parts):
-                        yield record(None, ASK, block, *ask)
-                    block, sums, size = row, Sums(), 0
+                if size >= BLOCK or grams_.size + words_.size >= HELD:
+                    yield from asks(block)
+                    block, grams_, words_, size = row, Sums(), Sums(), 0
         if size:
-            for ask in asked(*sums.done(), parts):
-                yield record(None, ASK, block, *ask)
+            yield from asks(block)
 
-    names = ["row", "id", "held_out", "n_tokens", "known", "base", "rare", "kind", "block", "part", "blob", "n"]
+    names = ["row", "id", "held_out", "kind", "block", "part", "blob", "n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    both = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, kind int, block long, part int, blob binary, n binary"))
-    scored, asks, texts = (both.where(F.col("kind") == k) for k in (DOCUMENT, ASK, TEXT))
-    score = added(texts.select("row", "block", "part", "blob", "n"), answered(asks.select("block", "part", "blob", "n"), short(counted, every), every, parts), parts)
-    each = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    seen = each.join(words.select("key", "n"), "key")
-    unseen = F.log10(F.lit(0.1))
-    more = seen.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) - unseen)).alias("gain"))
-    out = scored.select("row", "id", "held_out", "n_tokens", "known", "base", F.size("rare").alias("rares")).join(more, "row", "left").join(score, "row")
-    base = F.col("base") + F.col("rares") * unseen + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(floor))
-    return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).alias("train_tokens"),
-        (base if n else F.lit(0.0)).alias("base_score"), "score",
-    )
+    both = cut(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, kind int, block long, part int, blob binary, n binary"))
+    known, asks, texts = (both.where(F.col("kind") == k) for k in (DOCUMENT, ASK, TEXT))
+    score = added(texts.select("row", "block", "part", "blob", "n"), answered(asks.select("block", "part", "blob", "n"), short(counted, every), every, parts), parts, heavy, floor)
+    return known.select("row", "id", "held_out").join(score, "row").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).alias("train_tokens"), ("base_score" if n else F.lit(0.0).alias("base_score")), "score"
+    )
