@@ -70,6 +70,19 @@ def normalized(path: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+def ancestors(path: Column) -> Column:
+    """array<string>: the folders above a path, from the root's, which is empty."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def relative(path: Column, folder: Column) -> Column:
+    """The way from a folder to a path, both normalized: .. for each part of the folder that isn't above the path."""
+    a, b = F.filter(F.split(folder, "/"), lambda x: x != ""), F.filter(F.split(path, "/"), lambda x: x != "")
+    shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda n: F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))) - 1
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
+
+
 def safe_relative(path: Column) -> Column:
     """Whether a path is relative, without backslashes, empty, . or .. parts, or NUL."""
     return (path != "") & ~path.rlike(r"(^|/)(\.{1,2})?(/|$)") & ~path.contains("\\") & ~path.contains("\x00")

@@ -69,3 +69,29 @@ def owned(chunk_text: Column, literal: Column, size: int = CHUNK) -> Column:
 def fixed3(x: Column) -> Column:
     """A number with three decimals."""
     return F.format_string("%.3f", x)
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The 1-based line of an offset."""
+    before = F.substring(text, F.lit(1), offset)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def column_of(text: Column, offset: Column) -> Column:
+    """The 1-based column of an offset in its line."""
+    return F.length(F.substring_index(F.substring(text, F.lit(1), offset), "\n", -1)) + 1
+
+
+def clamped(end: Column, text: Column) -> Column:
+    """A span's end, inside its text."""
+    return F.least(end, F.length(text))
+
+
+def remaining(deadline: Column, now: Column) -> Column:
+    """What is left of a budget, never below zero."""
+    return F.greatest(F.lit(0), deadline - now)
+
+
+def truncated(items: Column, most: int = 100) -> Column:
+    """struct<items, reason>: the first `most` items, and page_budget where there were more."""
+    return F.struct(F.slice(items, 1, most).alias("items"), F.when(F.size(items) > most, "page_budget").alias("reason"))

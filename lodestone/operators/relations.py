@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import json
+import operator
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions import text as T
+from ..functions.paths import ancestors, directory
+from ..session import cut
+
 #: The bytes of a page, the length of a cursor.
 PAGE_BYTES, CURSOR_CHARS = 96 * 1024, 4096
 #: Digests of a piece of a group.
@@ -200,12 +206,121 @@ def pages(rows: DataFrame, key: str, limit: int, columns: Sequence[str]) -> list
         at = page[-1][key]
 
 
+#: The low bits of monotonically_increasing_id: a row's place in its partition.
+PLACE = 33
+
+
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """row_number over all rows without bringing them into one task: a range-partitioned sort, then each partition's numbers are moved up by the
-    number of rows before it. `order` has to be total."""
-    keyed = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    keyed = keyed.persist()
-    local = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = keyed.groupBy("_p").count()
-    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
+    """row_number over all rows without bringing them into one task: one range-partitioned sort, then each row's place in its partition is moved
+    up by the number of rows before that. `order` has to be total. No window runs over the rows."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", PLACE)
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
+    before = sizes.select("_p", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return ranked.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << PLACE) - 1)) + F.col("_before") + 1).drop("_p", "_m", "_before")
+
+
+def grouped_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """row_number within groups of which any may hold most rows: the rank over all rows by group and order, less the rank at which the group begins.
+    `order` has to be total within a group; nulls are a group."""
+    ranked = global_rank(rows, [*[F.col(c).asc() for c in by], *order], "_rank")
+    starts = ranked.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min("_rank").alias("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    return ranked.join(starts, same).withColumn(name, F.col("_rank") - F.col("_start") + 1).drop("_rank", "_start", *[f"_by{i}" for i in range(len(by))])
+
+
+def split_offsets(rows: DataFrame, keep: Sequence[str], pieces: Column) -> DataFrame:
+    """keep, place and the fields of pieces (an array of structs with n and skip: the lengths of a text's parts and of what stands between them), with
+    start and end of every part. Running sums over the exploded parts: linear in a text, whatever their number."""
+    split = rows.select(*keep, pieces.alias("_pieces")).withColumn("_row", F.monotonically_increasing_id())
+    each = split.select(*keep, "_row", F.posexplode("_pieces").alias("place", "_x")).select(*keep, "_row", "place", "_x.*")
+    upto = F.sum(F.col("n") + F.col("skip")).over(Window.partitionBy("_row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return each.withColumn("end", upto - F.col("skip")).withColumn("start", F.col("end") - F.col("n")).drop("_row")
+
+
+def text_lines(rows: DataFrame, keep: Sequence[str], text: Column) -> DataFrame:
+    """keep, line (from 1), start and end of every line of a text, without its end."""
+    pieces = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.length(x).cast("long").alias("n"), F.lit(1).alias("skip")))
+    return split_offsets(rows, keep, pieces).select(*keep, (F.col("place") + 1).cast("long").alias("line"), "start", "end")
+
+
+def hits(rows: DataFrame, keep: Sequence[str], text: Column, literal: Column) -> DataFrame:
+    """keep, start and end of the occurrences of a literal, from the left and without overlap. Case counts; an empty literal occurs nowhere."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    parts = F.split(text, quoted, -1)
+    before = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))  # each of these has a hit after it
+    pieces = F.transform(before, lambda x: F.struct(F.length(x).cast("long").alias("n"), F.length(literal).cast("long").alias("skip")))
+    at = split_offsets(rows.where((F.length(literal) > 0) & F.contains(text, literal)), keep, pieces)
+    return at.select(*keep, F.col("end").alias("start"), (F.col("end") + F.col("skip")).alias("end"))
+
+
+def observed(cited: DataFrame, served: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cited spans (keys, start, end) that lie in a served span of the same keys, such as a file and its digest."""
+    s = served.select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)], F.col("start").alias("_start"), F.col("end").alias("_end"))
+    same = [F.col(k) == F.col(f"_s{i}") for i, k in enumerate(keys)]
+    return cited.join(s, [*same, F.col("_start") <= F.col("start"), F.col("_end") >= F.col("end")], "left_semi")
+
+
+def touching(edges: DataFrame, sides: Sequence[str], value: object) -> DataFrame:
+    """The edges one of whose sides is a value."""
+    return edges.where(functools.reduce(operator.or_, [F.coalesce(F.col(c) == F.lit(value), F.lit(False)) for c in sides]))
+
+
+def looked_up(rows: DataFrame, names: DataFrame, keys: Sequence[str], values: Sequence[str], default: object = None) -> DataFrame:
+    """rows with a name table's values (one row for the keys: the first by its values, if there are more), such as the module that a local name was imported
+    from in its file, or a module's family; default, or null, where it has none."""
+    one = names.groupBy(*[F.col(k).alias(f"_n{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(*values)).alias("_v"))
+    out = rows.join(one, [F.col(k) == F.col(f"_n{i}") for i, k in enumerate(keys)], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col("_v")[v], F.lit(default)).alias(v) for v in values])
+
+
+def callers(functions: DataFrame, calls: DataFrame, name: str = "name") -> DataFrame:
+    """Each function with the calls of its name; columns of calls get the prefix call_. A name alone doesn't tell which function is meant."""
+    c = calls.select(*[F.col(x).alias(f"call_{x}") for x in calls.columns])
+    return functions.join(c, F.col(name) == F.col(f"call_{name}"))
+
+
+def first_origin(relationships: DataFrame, contexts: DataFrame, kind: str, purposes: Sequence[str]) -> DataFrame:
+    """target, file, start: of each target the first relationship of a kind (by file and start) from a file of one of these purposes."""
+    origins = contexts.where(F.col("purpose").isin(*purposes)).select("file")
+    from_ = relationships.where(F.col("kind") == kind).join(origins, "file", "left_semi")
+    return from_.groupBy("target").agg(F.min(F.struct("file", "start")).alias("o")).select("target", "o.file", "o.start")
+
+
+def excluded_by(files: DataFrame, configs: DataFrame) -> DataFrame:
+    """file, excluded_by: of each file (path) the configs (path, pattern: a regular expression, one row each) in a folder above it whose pattern fits its
+    path from there, in order. Joined by folders, so no file meets every config."""
+    c = configs.select(F.col("path").alias("config"), directory(F.col("path")).alias("folder"), "pattern")
+    each = files.select(F.col("path").alias("file")).distinct()
+    up = each.select("file", F.explode(ancestors(F.col("file"))).alias("folder"))
+    inside = F.when(F.col("folder") == "", F.col("file")).otherwise(F.expr("substring(file, length(folder) + 2)"))
+    fits = up.join(c, "folder").where(F.rlike(inside, F.col("pattern"))).groupBy("file").agg(F.array_sort(F.collect_set("config")).alias("excluded_by"))
+    return each.join(fits, "file", "left").select("file", F.coalesce("excluded_by", F.array().cast("array<string>")).alias("excluded_by"))
+
+
+def search(rows: DataFrame, file: str, text: str, literal: str, prefix: str = "", after_file: str = "", after_start: int = -1, limit: int = 30) -> DataFrame:
+    """file, start, end: a page of a literal's occurrences in the files whose path has a prefix, after a place, in order. A top-k: nothing is sorted whole."""
+    if not (T.SHORTEST <= len(literal) <= T.LONGEST) or "\0" in literal or not 1 <= limit <= 50:
+        raise ValueError("a search has 3 to 200 characters, and a page 1 to 50 rows")
+    some = rows.where(F.col(file).startswith(prefix) & (F.col(file) >= F.lit(after_file)))
+    found = hits(some, [file], F.col(text), F.lit(literal))
+    later = (F.col(file) > F.lit(after_file)) | (F.col("start") > F.lit(after_start))
+    return found.where(later).orderBy(file, "start").limit(limit)
+
+
+def gaps(files: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The files (path) that have no context (file, capability) or none that is indexed."""
+    known = contexts.select(F.col("file").alias("_f"), "capability")
+    return files.join(known, F.col("path") == F.col("_f"), "left").where("_f is null or capability is null or capability != 'indexed'").drop("_f")
+
+
+def best_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each group; k small. Each task keeps its own first k before the shuffle."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("_at", at).where(F.col("_at") <= k).drop("_at")
+
+
+def merged(*parts: tuple[str, DataFrame]) -> DataFrame:
+    """Evidence of several kinds as one table, each row with its kind first."""
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), *df.columns) for kind, df in parts])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import REVIEW_ORDER
+from .relations import global_rank
 
 
 def answers_long(wide: DataFrame, id_col: str, answers: str = "answers") -> DataFrame:
@@ -37,11 +38,10 @@ def summarize(long: DataFrame, id_col: str) -> DataFrame:
 
 
 def rank(summaries: DataFrame, id_col: str) -> DataFrame:
-    """With relevance_rank and review_rank. One window over all rows each: Spark sorts them in one task, so rank what is to be reviewed; for more, see
-    relations.global_rank."""
-    by_relevance = Window.orderBy(F.desc("relevance"), id_col)
-    by_review = Window.orderBy(precedence(F.col("review_label")), F.desc("defect_evidence"), F.desc("context_needed"), F.desc("relevance"), id_col)
-    return summaries.withColumn("relevance_rank", F.row_number().over(by_relevance).cast("long")).withColumn("review_rank", F.row_number().over(by_review).cast("long"))
+    """With relevance_rank and review_rank, by range-partitioned sorts. Ids are unique."""
+    by_relevance = [F.desc("relevance"), F.asc(id_col)]
+    by_review = [precedence(F.col("review_label")).asc(), F.desc("defect_evidence"), F.desc("context_needed"), F.desc("relevance"), F.asc(id_col)]
+    return global_rank(global_rank(summaries, by_relevance, "relevance_rank"), by_review, "review_rank")
 
 
 def classify(long: DataFrame, id_col: str) -> DataFrame:
@@ -65,3 +65,37 @@ def run_status(counts: DataFrame, inventory_only: bool = False) -> DataFrame:
     """status from blocked, interrupted, failed and pending counts, the first that holds."""
     status = F.when(F.lit(inventory_only), "inventory_only").when(F.col("blocked") > 0, "blocked").when(F.col("interrupted") > 0, "interrupted")
     return counts.withColumn("status", status.when(F.col("failed") + F.col("pending") > 0, "partial").otherwise("complete"))
+
+
+def run_counters(items: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """One row over the selected items (key) and their records (key, status, reused, input_tokens): selected, evaluated, reused, failed, pending, and
+    new_input_tokens, those of evaluated records that weren't reused."""
+    r = records.select(F.col(key).alias("_k"), "status", "reused", "input_tokens")
+    joined = items.join(r, F.col(key) == F.col("_k"), "left")
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    done = F.col("status") == "evaluated"
+    return joined.agg(
+        F.count(F.lit(1)).alias("selected"), n(done).alias("evaluated"), n(done & F.col("reused")).alias("reused"), n(F.col("status") == "failed").alias("failed"),
+        n(F.col("_k").isNull()).alias("pending"), F.coalesce(F.sum(F.when(done & ~F.col("reused"), F.col("input_tokens"))), F.lit(0)).alias("new_input_tokens"),
+    )
+
+
+#: The columns that hold source texts.
+SOURCES = ("function", "body", "sanitizedFunction")
+
+
+def without_sources(rows: DataFrame) -> DataFrame:
+    return rows.drop(*SOURCES)
+
+
+def select_matching(items: DataFrame, column: str, part: str, order: str, limit: int | None = None) -> DataFrame:
+    """The items whose column contains a text, the first `limit` of them in order."""
+    found = items.where(F.contains(F.col(column), F.lit(part)))
+    return found if limit is None else found.orderBy(order).limit(limit)
+
+
+def failures_and_pending(items: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """key, problem: the error of items whose record failed, and pending for those without one."""
+    r = records.select(F.col(key).alias("_k"), "status", "error")
+    joined = items.select(key).join(r, F.col(key) == F.col("_k"), "left").where("_k is null or status = 'failed'")
+    return joined.select(key, F.when(F.col("_k").isNull(), "pending").otherwise(F.coalesce("error", F.lit(""))).alias("problem"))

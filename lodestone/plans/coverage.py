@@ -60,7 +60,7 @@ def coverage_summary(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def case_status(n: Column, selected: Column, completed: Column, outcomes: Column, supported: Column, refuted: Column, failed: Column, unsupported: Column, all_excluded: Column, negative: Column) -> Column:
     """A benchmark case's status from its candidates: counts n to outcomes, flags after."""
     unselected = F.when(unsupported, "unsupported_evidence").when(all_excluded, "excluded_by_scope").otherwise("unselected")
-    reviewed = F.when(outcomes == 0, "different_operation_reviewed").when(supported, F.when(negative, "potential_false_positive").otherwise("supported")).when(refuted, "refuted").otherwise("inconclusive")
+    reviewed = F.when(outcomes == 0, "different_operation_reviewed").when(supported, F.when(negative, "potential_false_positive").otherwise("supported")).when(refuted, "refuted").otherwise("unresolved")
     return F.when(n == 0, "no_candidate").when(selected == 0, unselected).when(completed == 0, F.when(failed, "failed").otherwise("pending")).otherwise(reviewed)
 
 
@@ -82,3 +82,38 @@ def recall(cases: DataFrame) -> DataFrame:
         .withColumn("detection_recall", F.when(F.col("investigated_positive") > 0, F.col("supported_positive") / F.col("applicable_positive")))
         .withColumn("conditional_detection_recall", ratio(F.col("supported_positive"), F.col("investigated_positive")))
     )
+
+
+def by_kind(subjects: DataFrame, contexts: DataFrame) -> DataFrame:
+    """kind, count of the subjects in files (file) that have a context."""
+    return counts(subjects.join(contexts.select("file").distinct(), "file", "left_semi"), "kind")
+
+
+def distinct_per(rows: DataFrame, by: str, column: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count_distinct(column).alias("distinct_count"))
+
+
+def evaluate_cases(cases: DataFrame, candidates: DataFrame, subjects: DataFrame, tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """case_id, expected, candidates, status, selected, investigated, supported of every case (case_id, expected, file, start, end, themes). A case's candidates are those of its
+    themes whose subject (subject_id, file, start, end) touches its line; candidates: id, subject_id, theme, decision; tasks: id, state; results: task_id, disposition, and the
+    span they are about (op_file, op_start, op_end; null if none), which has to touch the line, too. What it gives goes into recall()."""
+    t = tasks.select("id", F.col("state").alias("task_state"))
+    c = candidates.join(subjects, "subject_id").join(t, "id", "left").join(results.withColumnRenamed("task_id", "id"), "id", "left").withColumnRenamed("file", "s_file")
+    c = c.withColumnRenamed("start", "s_start").withColumnRenamed("end", "s_end")
+    on = (F.col("file") == F.col("s_file")) & (F.col("s_start") <= F.col("end")) & (F.col("s_end") > F.col("start")) & F.array_contains("themes", F.col("theme"))
+    own = cases.join(c, on, "left")
+    done = (F.col("task_state") == "completed") & F.col("disposition").isNotNull()
+    about = F.col("op_file").isNull() | ((F.col("op_file") == F.col("file")) & (F.col("op_start") <= F.col("end")) & (F.col("op_end") > F.col("start")))
+    n = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0))
+    a = own.groupBy("case_id", "expected").agg(
+        F.count("id").alias("candidates"), n(F.col("task_state").isNotNull()).alias("chosen"), n(done).alias("done"), n(done & about).alias("outcomes"),
+        n(done & about & (F.col("disposition") == "supported_candidate")).alias("yes"), n(done & about & F.col("disposition").isin("refuted_hypothesis", "no_relevant_operation")).alias("no"),
+        n(F.col("task_state") == "failed").alias("failed"), n(F.col("decision") == "unsupported").alias("unsupported"), n(F.col("decision") == "excluded").alias("excluded"),
+    )
+    status = case_status(*map(F.col, ("candidates", "chosen", "done", "outcomes")), F.col("yes") > 0, F.col("no") > 0, F.col("failed") > 0, F.col("unsupported") > 0, F.col("excluded") == F.col("candidates"), F.col("expected") == "negative")
+    return a.select("case_id", "expected", "candidates", status.alias("status"), (F.col("chosen") > 0).alias("selected"), (F.col("outcomes") > 0).alias("investigated"), (F.col("yes") > 0).alias("supported"))
+
+
+def contract(tasks: DataFrame, texts: DataFrame, default: str) -> DataFrame:
+    """tasks with the contract text of their theme, from a table (theme, text) of a row a theme, or the default."""
+    return tasks.join(texts.select("theme", F.col("text").alias("contract")), "theme", "left").withColumn("contract", F.coalesce("contract", F.lit(default)))

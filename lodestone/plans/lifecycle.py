@@ -5,6 +5,8 @@ A claim is fenced: results count only while the task still runs the attempt they
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,31 @@ def follow_ups(proposals: DataFrame, parents: DataFrame, known_themes) -> DataFr
     return out.withColumn("state", F.when(F.col("depth") > MOST_DEPTH, "depth_limited").otherwise("proposed")).drop("_c", "_d")
 
 
+def approve(followups: DataFrame, ids: Sequence[str], candidates: DataFrame, results: DataFrame, known_themes: Sequence[str], most: int = 100) -> DataFrame:
+    """id, candidate_id, action of the chosen follow-ups (id, subject_id, operation_key, start, end, theme, depth, state): rejected where one isn't proposed, too deep or of
+    an unknown theme; known where a candidate (candidate_id, theme, subject_id, start, end) of its theme and subject has the same span or a result (task_id, operation_key) for
+    the same operation, of which the first by id counts; else admitted. The OR of the two ways is two equi-joins."""
+    if not ids or len(ids) > most or len(set(ids)) != len(ids):
+        raise ValueError(f"1 to {most} different follow-ups are approved at once")
+    chosen = followups.where(F.col("id").isin(*ids))
+    c = candidates.select(F.col("candidate_id").alias("_c"), F.col("theme").alias("_theme"), F.col("subject_id").alias("_subject"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    same = (F.col("theme") == F.col("_theme")) & (F.col("subject_id") == F.col("_subject"))
+    by_span = chosen.join(c, same & (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end"))).select("id", "_c")
+    done = c.join(results.select(F.col("task_id").alias("_c"), F.col("operation_key").alias("_key")), "_c")
+    by_key = chosen.join(done, same & (F.col("operation_key") == F.col("_key"))).select("id", "_c")
+    known = by_span.unionByName(by_key).groupBy("id").agg(F.min("_c").alias("candidate_id"))
+    good = (F.col("state") == "proposed") & (F.col("depth") <= MOST_DEPTH) & F.col("theme").isin(*known_themes)
+    action = F.when(~F.coalesce(good, F.lit(False)), "rejected").when(F.col("candidate_id").isNotNull(), "known").otherwise("admitted")
+    out = chosen.join(known, "id", "left").withColumn("action", action)
+    return out.select("id", F.when(F.col("action") == "known", F.col("candidate_id")).alias("candidate_id"), "action")
+
+
+def transitions(events: DataFrame, key: str, order: Sequence[str], state: str) -> DataFrame:
+    """How often each state is followed by which; the last of a key by null."""
+    after = F.lead(state).over(Window.partitionBy(key).orderBy(*order))
+    return events.withColumn("next", after).groupBy(state, "next").agg(F.count(F.lit(1)).alias("count"))
+
+
 def failure_breaks(events: DataFrame, order: list[str], key: str, failed: Column, most: int) -> DataFrame:
     """Runs of consecutive failures of a key that are `most` long or longer: key, run, length, first and last of order[0]."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
+from ..operators.relations import grouped_rank
 
 # Fixed values: (theme, any of these questions, and any of these if there are some).
 RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
@@ -94,13 +95,23 @@ def boost(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(marks, F.col("file") == F.col("_f"), "left").withColumn("priority", sooner.cast("long")).drop("_f")
 
 
+def declared_use(contexts: DataFrame, origins: DataFrame) -> DataFrame:
+    """contexts (file, purpose) with original_purpose: a file left out by its path alone counts as the application's where one of origins' targets says that
+    the application refers to it."""
+    marks = origins.select(F.col("target").alias("_t")).distinct()
+    used = F.col("_t").isNotNull() & F.col("purpose").isin(*NOT_APPLICATION)
+    out = contexts.join(marks, F.col("file") == F.col("_t"), "left").withColumn("original_purpose", F.when(used, F.col("purpose")))
+    return out.withColumn("purpose", F.when(used, "application_candidate").otherwise(F.col("purpose"))).drop("_t")
+
+
 def diversify(rows: DataFrame) -> DataFrame:
-    """Deferred candidates, later by their place in their file and in their theme. Others keep their priority."""
-    order = [F.col("priority"), F.col("rank"), F.col("id")]
+    """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority."""
+    order = [F.col("priority").asc(), F.col("rank").asc(), F.col("id").asc()]
     deferred = F.col("decision") == "deferred"
-    ranked = rows.withColumn("_d", deferred).withColumn("_file", F.row_number().over(Window.partitionBy("_d", "file").orderBy(*order))).withColumn("_theme", F.row_number().over(Window.partitionBy("_d", "theme").orderBy(*order)))
+    ranked = grouped_rank(grouped_rank(rows.where(deferred), ["file"], order, "_file"), ["theme"], order, "_theme")
     later = F.col("priority") + (F.col("_file") - 1) * FILE_STEP + (F.col("_theme") - 1) * THEME_STEP
-    return ranked.withColumn("priority", F.when(deferred, later).otherwise(F.col("priority")).cast("long")).drop("_d", "_file", "_theme")
+    moved = ranked.withColumn("priority", later.cast("long")).select(*rows.columns)
+    return moved.unionByName(rows.where(~F.coalesce(deferred, F.lit(False))))
 
 
 def select_all(rows: DataFrame) -> DataFrame:

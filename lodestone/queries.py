@@ -6,6 +6,7 @@ lineitem for calls, orders and customer for candidates and tasks, conversations
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -105,13 +106,13 @@ def answers_long(spark, sf):
     return scoring.answers_long(wide, "doc_id")
 
 
-@query(LABELS_SQL + """ SELECT doc_id, question, concat_ws(',', CASE WHEN abs(p_na + p_defect + p_context + p_off - 1) > 4 * 0.005 + 2.220446049250313e-16 THEN 'total' END,
+@query(LABELS_SQL + """ SELECT doc_id, question, concat_ws(',', CASE WHEN p_off > 1 THEN 'probability' END, CASE WHEN abs(p_na + p_defect + p_context + p_off - 1) > 4 * 0.005 + 2.220446049250313e-16 THEN 'total' END,
  CASE WHEN sure_p + 0.000001 < greatest(p_na, p_defect, p_context, p_off) THEN 'maximum' END) AS violations
 FROM (SELECT *, p_protected + CASE WHEN doc_id % 5 = 0 THEN 0.03 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 0.9 ELSE 0 END AS p_off,
- CASE choice WHEN 'not_applicable' THEN p_na WHEN 'local_defect' THEN p_defect ELSE p_context END AS sure_p FROM answers) WHERE p_off <= 1""")
+ CASE choice WHEN 'not_applicable' THEN p_na WHEN 'local_defect' THEN p_defect ELSE p_context END AS sure_p FROM answers)""")
 def validate_probabilities(spark, sf):
     off = F.col("p_protected") + F.when(F.col("doc_id") % 5 == 0, 0.03).otherwise(0.0) + F.when(F.col("doc_id") % 7 == 0, 0.9).otherwise(0.0)
-    rows = label_answers(spark, sf).withColumn("p_protected", off).where("p_protected <= 1")
+    rows = label_answers(spark, sf).withColumn("p_protected", off)
     p = F.create_map(F.lit("not_applicable"), "p_na", F.lit("locally_protected"), "p_protected", F.lit("local_defect"), "p_defect", F.lit("context_required"), "p_context")
     found = A.violations(F.col("choice"), F.lit(0.5), p, F.array(*[F.lit(x) for x in A.DEFECT_LABELS]))
     return rows.select("doc_id", "question", F.concat_ws(",", found).alias("violations"))
@@ -261,8 +262,7 @@ def stale_results(spark, sf):
 
 @query("""WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) SELECT role, next, count(*) AS count FROM t GROUP BY 1, 2""")
 def role_transitions(spark, sf):
-    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return coverage.counts(table(spark, sf, "conversations").withColumn("next", after), "role", "next")
+    return lifecycle.transitions(table(spark, sf, "conversations"), "conv_id", ["turn"], "role")
 
 
 @query("""WITH m AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events)
@@ -282,10 +282,10 @@ def retry_failed(spark, sf):
 
 # ---- pages, spans, search
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, true AS has_more FROM lineitem WHERE l_suppkey = 7 AND l_orderkey * 10 + l_linenumber > 1000 ORDER BY 1 LIMIT 20")
+@query("SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, true AS has_more FROM lineitem WHERE l_suppkey = 7 AND l_orderkey * 10 + l_linenumber > 1000 ORDER BY 1 LIMIT 16")
 def keyset_page(spark, sf):
     calls = table(spark, sf, "lineitem").where("l_suppkey = 7").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey")
-    return relations.keyset_page(calls, "id", 1000, 20, F.lit(64))
+    return relations.keyset_page(calls, "id", 1000, 20, F.lit(6000))  # 16 rows of these fit the budget
 
 
 LINES_SQL = """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -293,7 +293,7 @@ l AS (SELECT doc_id, line, t, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDE
 
 
 def document_lines(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("l")).select("doc_id", F.col("l.line").cast("long").alias("line"), F.col("l.start").cast("long").alias("start"), F.col("l.end").cast("long").alias("end"))
+    return relations.text_lines(table(spark, sf, "documents"), ["doc_id"], F.col("text"))
 
 
 @query(LINES_SQL + ' SELECT doc_id, line, "start", "end" FROM lines')
@@ -315,12 +315,12 @@ NEEDLES = ("the and", " of the ")
 
 def needle_hits(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in NEEDLES])).alias("needle"))
-    return docs.select("doc_id", "needle", F.explode(T.occurrences(F.col("text"), F.col("needle")).cast("array<long>")).alias("start"))
+    return relations.hits(docs, ["doc_id", "needle"], F.col("text"), F.col("needle"))
 
 
 @query("WITH " + SEARCH_SQL + ' SELECT doc_id, needle, "start", "start" + length(needle) AS "end" FROM hits')
 def literal_search(spark, sf):
-    return needle_hits(spark, sf).withColumn("end", F.col("start") + F.length("needle"))
+    return needle_hits(spark, sf)
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 8000)) AS s FROM documents) SELECT doc_id, s AS "start", length(substr(text, s + 1, 8200)) AS n_chars FROM c""")
@@ -330,21 +330,25 @@ def text_chunks(spark, sf):
 
 @query(LINES_SQL + ", " + SEARCH_SQL + ' SELECT l.doc_id, l.line, h.needle, h."start" AS hit FROM lines l JOIN hits h ON l.doc_id = h.doc_id AND l."start" <= h."start" + length(needle) AND l."end" > h."start"')
 def benchmark_overlap(spark, sf):
-    hits = needle_hits(spark, sf).withColumn("end", F.col("start") + F.length("needle"))
-    return relations.span_join(document_lines(spark, sf), hits, "doc_id", "overlaps").select("doc_id", "line", F.col("r_needle").alias("needle"), F.col("r_start").alias("hit"))
+    return relations.span_join(document_lines(spark, sf), needle_hits(spark, sf), "doc_id", "overlaps", bucket=4096).select("doc_id", "line", F.col("r_needle").alias("needle"), F.col("r_start").alias("hit"))
 
 
-@query(LINES_SQL + ", " + SEARCH_SQL + ' SELECT doc_id, needle, "start" FROM hits h WHERE EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = h.doc_id AND l.line <= 5 AND l."start" <= h."start" AND l."end" >= h."start" + length(needle))')
+@query(LINES_SQL + ", " + SEARCH_SQL + """ SELECT h.doc_id, needle, h."start" FROM hits h JOIN documents d ON d.doc_id = h.doc_id WHERE EXISTS (SELECT 1 FROM lines l JOIN labels b ON b.doc_id = l.doc_id
+ WHERE l.doc_id = h.doc_id AND l."start" <= h."start" AND l."end" >= h."start" + length(needle) AND sha256(d.text) = CASE WHEN b.quality = 0 THEN 'changed' ELSE sha256(d.text) END)""")
 def citation_observed(spark, sf):
-    served = document_lines(spark, sf).where("line <= 5").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    cited = needle_hits(spark, sf)
-    return cited.join(served, (F.col("doc_id") == F.col("d")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("start") + F.length("needle")), "left_semi")
+    """Citations in lines that were served, those of labelled documents; poor ones have changed since, so their digest differs."""
+    digests = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    served = document_lines(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").join(digests, "doc_id")
+    served = served.withColumn("hash", F.when(F.col("quality") == 0, "changed").otherwise(F.col("hash")))
+    cited = needle_hits(spark, sf).join(digests, "doc_id")
+    return relations.observed(cited, served, ["doc_id", "hash"]).select("doc_id", "needle", "start")
 
 
-@query(LINES_SQL + """ SELECT a.doc_id, a.line, b.line AS same FROM lines a LEFT JOIN lines b ON a.doc_id = b.doc_id AND a."start" = b."start" AND a."end" = b."end" AND b.line % 3 = 1""")
+@query(LINES_SQL + """ SELECT a.doc_id, a.line, b.line AS same FROM lines a LEFT JOIN (SELECT l.* FROM lines l JOIN labels USING (doc_id)) b ON a.doc_id = b.doc_id AND a."start" = b."start" AND a."end" = b."end" """)
 def exact_span_match(spark, sf):
     lines = document_lines(spark, sf)
-    return relations.span_join(lines, lines.where("line % 3 = 1"), "doc_id", "equal", kind="left").select("doc_id", "line", F.col("r_line").alias("same"))
+    labelled = lines.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+    return relations.span_join(lines, labelled, "doc_id", "equal", kind="left").select("doc_id", "line", F.col("r_line").alias("same"))
 
 
 # ---- content, reuse, upserts
@@ -378,10 +382,10 @@ def ordered_fingerprint(spark, sf):
     return relations.ordered_digest(rows, ["doc_id"], ["doc_id", "hash"], ["source"])
 
 
-@query("""SELECT doc_id, sha256('1:2' || '64:' || sha256(text) || length(doc_id::VARCHAR) || ':' || doc_id || length(left(text, 50)) || ':' || left(text, 50) || '~' || '7:model-1') AS key FROM documents""")
+@query("""SELECT doc_id, sha256('1:2' || '64:' || sha256(text) || length(doc_id::VARCHAR) || ':' || doc_id || length(text) || ':' || text || '~' || '7:model-1') AS key FROM documents""")
 def request_keys(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", A.request_key(F.sha2("text", 256), F.col("doc_id"), F.substring("text", 1, 50), F.lit(None).cast("string"), F.lit("model-1")).alias("key"))
+    return d.select("doc_id", A.request_key(F.sha2("text", 256), F.col("doc_id"), F.col("text"), F.lit(None).cast("string"), F.lit("model-1")).alias("key"))
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id >= 500 DESC, ts DESC, event_id DESC) AS pos FROM events) WHERE pos = 1""")
@@ -436,7 +440,14 @@ def html_comment_mask(spark, sf):
     return m.select("page_id", F.sha2("m", 256).alias("masked_sha256"), (F.length("m") == F.length("html")).alias("same_length"))
 
 
-@query(None)
+MASKED_SQL = r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|[^<]+|<'),
+ lambda x: CASE WHEN starts_with(x, '<!--') AND length(x) > 4 THEN regexp_replace(x, '[^\r\n\x{2028}\x{2029}]', ' ', 'g') ELSE x END), '') AS m FROM pages"""
+
+
+@query(rf"""WITH m AS ({MASKED_SQL}), t AS (SELECT page_id, unnest(regexp_split_to_array(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>')) AS gap, unnest(list_append(regexp_extract_all(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>'), NULL)) AS tag,
+ unnest(range(len(regexp_split_to_array(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>')))) AS k FROM m),
+s AS (SELECT *, sum(length(gap) + coalesce(length(tag), 0)) OVER (PARTITION BY page_id ORDER BY k) AS upto FROM t)
+SELECT page_id, (upto - length(tag))::BIGINT AS "start", upto::BIGINT AS "end", lower(regexp_extract(tag, '<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag FROM s WHERE tag IS NOT NULL""")
 def html_anchors(spark, sf):
     return markup.anchors(table(spark, sf, "pages"), "page_id", "html")
 
@@ -453,15 +464,16 @@ def json_facts(spark, sf):
     return markup.json_facts(table(spark, sf, "events"), "event_id", "props")
 
 
-@query(r"""SELECT doc_id, translate(replace(replace(replace(replace(replace(replace(replace(replace(left(text, 400), '&', '&#38;'), '<', '&#60;'), '>', '&#62;'), '|', '&#124;'), '[', '&#91;'), ']', '&#93;'), '`', '&#96;'), '\', '&#92;'), chr(13) || chr(10), '  ') AS escaped FROM documents""")
+@query(r"""SELECT doc_id, translate(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '&#38;'), '<', '&#60;'), '>', '&#62;'), '|', '&#124;'), '[', '&#91;'), ']', '&#93;'), '`', '&#96;'), '\', '&#92;'), chr(13) || chr(10), '  ') AS escaped FROM documents""")
 def markdown_escape(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.markdown_escape(F.substring("text", 1, 400)).alias("escaped"))
+    return table(spark, sf, "documents").select("doc_id", T.markdown_escape(F.col("text")).alias("escaped"))
 
 
 @query("SELECT 'call' AS kind, l_orderkey AS id FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT 'anchor', o_orderkey FROM orders WHERE o_orderpriority LIKE '1%'")
 def union_anchor_or_call(spark, sf):
-    calls = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.lit("call").alias("kind"), F.col("l_orderkey").alias("id"))
-    return calls.unionByName(table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.lit("anchor").alias("kind"), F.col("o_orderkey").alias("id")))
+    calls = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.col("l_orderkey").alias("id"))
+    anchors = table(spark, sf, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("id"))
+    return relations.merged(("call", calls), ("anchor", anchors))
 
 
 # ---- recall and summaries
@@ -477,7 +489,7 @@ def recall_metrics(spark, sf):
 
 
 @query("""SELECT item_id, CASE WHEN n = 0 THEN 'no_candidate' WHEN sel = 0 THEN CASE WHEN uns THEN 'unsupported_evidence' WHEN exc THEN 'excluded_by_scope' ELSE 'unselected' END WHEN com = 0 THEN CASE WHEN fai THEN 'failed' ELSE 'pending' END
- WHEN out = 0 THEN 'different_operation_reviewed' WHEN sup THEN CASE WHEN item_id % 2 = 0 THEN 'potential_false_positive' ELSE 'supported' END WHEN ref THEN 'refuted' ELSE 'inconclusive' END AS status
+ WHEN out = 0 THEN 'different_operation_reviewed' WHEN sup THEN CASE WHEN item_id % 2 = 0 THEN 'potential_false_positive' ELSE 'supported' END WHEN ref THEN 'refuted' ELSE 'unresolved' END AS status
 FROM (SELECT item_id, item_id % 7 AS n, item_id % 5 AS sel, item_id % 4 AS com, item_id % 3 AS out, item_id % 11 = 0 AS uns, item_id % 13 = 0 AS exc, item_id % 8 = 0 AS fai, item_id % 17 < 6 AS sup, item_id % 19 < 9 AS ref FROM benchmark)""")
 def case_status(spark, sf):
     i = F.col("item_id")
@@ -500,3 +512,270 @@ def distributed_rank(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     ranked = relations.global_rank(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], "rank")
     return ranked.select("l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- evidence, names and scopes
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey = 7 OR l_suppkey = 7")
+def edges_touching(spark, sf):
+    edges = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return relations.touching(edges, ["l_partkey", "l_suppkey"], 7)
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand, p_type FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_retailprice < 950) ON l_partkey = p_partkey")
+def imported_names(spark, sf):
+    names = table(spark, sf, "part").where("p_retailprice < 950").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    found = relations.looked_up(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), names, ["l_partkey"], ["p_brand", "p_type"])
+    return found.drop("l_partkey")
+
+
+@query("SELECT c_custkey, coalesce(r_name, 'other') AS family FROM customer LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') ON c_nationkey = n_nationkey")
+def sdk_families(spark, sf):
+    known = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name != 'ASIA'")
+    families = known.select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("family"))
+    return relations.looked_up(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), families, ["c_nationkey"], ["family"], "other").drop("c_nationkey")
+
+
+@query("SELECT n_nationkey AS id, c_custkey AS call_id FROM nation JOIN customer ON 'N' || n_nationkey = 'N' || c_nationkey")
+def callers_by_name(spark, sf):
+    functions = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("N"), "n_nationkey").alias("name"))
+    calls = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("N"), "c_nationkey").alias("name"))
+    return relations.callers(functions, calls).select("id", "call_id")
+
+
+ORIGIN_SQL = """WITH o AS (SELECT l_partkey AS target, l_suppkey AS file, l_orderkey AS "start", row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_orderkey) AS pos
+ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND s_acctbal >= 0)"""
+
+
+def part_origins(spark, sf) -> DataFrame:
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("start"), F.col("l_returnflag").alias("kind"))
+    contexts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("file"), F.when(F.col("s_acctbal") < 0, "vendor").otherwise(P.PURPOSE_DEFAULT).alias("purpose"))
+    return relations.first_origin(edges, contexts, "R", ("application_candidate", "initialization"))
+
+
+@query(ORIGIN_SQL + ' SELECT target, file, "start" FROM o WHERE pos = 1')
+def first_origins(spark, sf):
+    return part_origins(spark, sf)
+
+
+@query(ORIGIN_SQL + """, c AS (SELECT p_partkey AS file, CASE WHEN p_size < 10 THEN 'vendor' WHEN p_size < 30 THEN 'initialization' ELSE 'test_or_fixture' END AS p FROM part),
+u AS (SELECT file, p, p <> 'initialization' AND file IN (SELECT target FROM o) AS used FROM c)
+SELECT file, CASE WHEN used THEN 'application_candidate' ELSE p END AS purpose, CASE WHEN used THEN p END AS original_purpose FROM u""")
+def declared_handlers(spark, sf):
+    purpose = F.when(F.col("p_size") < 10, "vendor").when(F.col("p_size") < 30, "initialization").otherwise("test_or_fixture")
+    contexts = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), purpose.alias("purpose"))
+    return planner.declared_use(contexts, part_origins(spark, sf))
+
+
+#: Configs and the globs that they exclude, from their own folder.
+EXCLUSIONS = (("tsconfig.json", "**.net/en"), ("tsconfig.json", "spam*"), ("en/tsconfig.json", "*"), ("blog.ththan.example.net/tsconfig.json", "en/*"), ("blog.ththan.example.net/en/tsconfig.base.json", "3*"))
+CONFIG_ROWS = ", ".join(f"('{c}', '{c.rpartition('/')[0]}', '{P.glob(g)}')" for c, g in EXCLUSIONS)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS file FROM pages), c(config, folder, pattern) AS (VALUES {CONFIG_ROWS}),
+h AS (SELECT file, config FROM f JOIN c ON folder = '' OR starts_with(file, folder || '/') WHERE regexp_matches(CASE WHEN folder = '' THEN file ELSE substr(file, length(folder) + 2) END, pattern))
+SELECT file, coalesce(string_agg(DISTINCT config, ',' ORDER BY config), '') AS excluded_by FROM f LEFT JOIN h USING (file) GROUP BY 1""")
+def config_exclusions(spark, sf):
+    files = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
+    configs = spark.createDataFrame([(c, P.glob(g)) for c, g in EXCLUSIONS], "path string, pattern string")
+    return relations.excluded_by(files, configs).select("file", F.concat_ws(",", "excluded_by").alias("excluded_by"))
+
+
+@query("WITH " + SEARCH_SQL + """ SELECT source || '/' || h.doc_id AS file, "start", "start" + 7 AS "end" FROM hits h JOIN documents d ON d.doc_id = h.doc_id
+ WHERE needle = 'the and' AND starts_with(source, 'src1') AND (source || '/' || h.doc_id > 'src11/' OR (source || '/' || h.doc_id = 'src11/' AND "start" > 40)) ORDER BY 1, 2 LIMIT 30""")
+def search_page(spark, sf):
+    rows = table(spark, sf, "documents").select(F.concat_ws("/", "source", "doc_id").alias("file"), "text")
+    return relations.search(rows, "file", "text", "the and", "src1", "src11/", 40, 30)
+
+
+@query("SELECT d.doc_id AS path FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality <> 1")
+def index_gaps(spark, sf):
+    contexts = table(spark, sf, "labels").select(F.col("doc_id").alias("file"), F.when(F.col("quality") == 1, "indexed").otherwise("partial").alias("capability"))
+    return relations.gaps(table(spark, sf, "documents").select(F.col("doc_id").alias("path")), contexts).select("path")
+
+
+@query(LINES_SQL + ", " + SEARCH_SQL + """ SELECT h.doc_id, h.needle, h."start", l.line, h."start" - l."start" + 1 AS col FROM hits h JOIN lines l ON l.doc_id = h.doc_id AND l."start" <= h."start" AND l."end" >= h."start" + length(h.needle)""")
+def line_and_column(spark, sf):
+    found = relations.span_join(document_lines(spark, sf), needle_hits(spark, sf), "doc_id", "contains", bucket=4096)
+    return found.select("doc_id", F.col("r_needle").alias("needle"), F.col("r_start").alias("start"), "line", (F.col("r_start") - F.col("start") + 1).alias("col"))
+
+
+@query("""SELECT doc_id, length(substr(text, 1, n)) - length(replace(substr(text, 1, n), chr(10), '')) + 1 AS line, length(string_split(substr(text, 1, n), chr(10))[-1]) + 1 AS col,
+ least(2 * n, length(text)) AS "end", greatest(0, 1000 - n) AS remaining FROM (SELECT doc_id, text, (n_chars // 2)::INT AS n FROM documents)""")
+def spans_and_budgets(spark, sf):
+    n = F.floor(F.col("n_chars") / 2).cast("int")
+    d = table(spark, sf, "documents").select("doc_id", "text", n.alias("n"))
+    return d.select("doc_id", T.line_of(F.col("text"), F.col("n")).alias("line"), T.column_of(F.col("text"), F.col("n")).alias("col"), T.clamped(2 * F.col("n"), F.col("text")).alias("end"), T.remaining(F.lit(1000), F.col("n")).alias("remaining"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:100], ' ') AS items, CASE WHEN len(string_split(text, ' ')) > 100 THEN 'page_budget' END AS reason FROM documents")
+def truncated_lists(spark, sf):
+    cut = table(spark, sf, "documents").select("doc_id", T.truncated(F.split("text", " ", -1)).alias("t"))
+    return cut.select("doc_id", F.concat_ws(" ", "t.items").alias("items"), "t.reason")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS p FROM pages), v AS (SELECT page_id, p FROM p UNION ALL SELECT page_id, '/' || p FROM p UNION ALL SELECT page_id, replace(p, '/', '/../') FROM p UNION ALL SELECT page_id, replace(p, '.', '\\') FROM p)
+SELECT page_id, p, p <> '' AND NOT regexp_matches(p, '(^|/)(\\.{1,2})?(/|$)') AND NOT contains(p, '\\') AS safe FROM v""")
+def safe_paths(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("p"))
+    each = p.select("page_id", F.explode(F.array(F.col("p"), F.concat(F.lit("/"), "p"), F.replace("p", F.lit("/"), F.lit("/../")), F.replace("p", F.lit("."), F.lit("\\")))).alias("p"))
+    return each.select("page_id", "p", P.safe_relative(F.col("p")).alias("safe"))
+
+
+@query("""SELECT page_id, regexp_extract(p, '(\\.[^./]*)$', 1) AS extension, regexp_extract(p, '^(.*)/[^/]*$', 1) AS directory, CASE WHEN starts_with(p, h || '/en/') THEN substr(p, length(h) + 5) ELSE '../' || substr(p, length(h) + 2) END AS relative
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/$', '') AS p FROM pages) WHERE p <> h""")
+def path_parts(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("h"), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/$", "").alias("p")).where("p != h")
+    return p.select("page_id", P.extension(F.col("p")).alias("extension"), P.directory(F.col("p")).alias("directory"), P.relative(F.col("p"), F.concat("h", F.lit("/en"))).alias("relative"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(url, '/en/') ORDER BY page_id LIMIT 40")
+def select_by_substring(spark, sf):
+    return scoring.select_matching(table(spark, sf, "pages").select("page_id", "url"), "url", "/en/", "page_id", 40)
+
+
+@query("SELECT doc_id, lang FROM documents")
+def without_sources(spark, sf):
+    return scoring.without_sources(table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("function"), F.upper("text").alias("body")))
+
+
+# ---- runs, queues and benchmarks, continued
+
+@query("""SELECT count(*) AS selected, count(*) FILTER (quality = 1) AS evaluated, count(*) FILTER (quality = 1 AND toxic = 1) AS reused, count(*) FILTER (quality = 0) AS failed,
+ count(*) FILTER (l.doc_id IS NULL) AS pending, coalesce(sum(d.doc_id) FILTER (quality = 1 AND toxic <> 1), 0)::BIGINT AS new_input_tokens FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def run_counters(spark, sf):
+    status = F.when(F.col("quality") == 1, "evaluated").otherwise("failed")
+    records = table(spark, sf, "labels").select("doc_id", status.alias("status"), (F.col("toxic") == 1).alias("reused"), F.col("doc_id").alias("input_tokens"))
+    return scoring.run_counters(table(spark, sf, "documents").select("doc_id"), records, "doc_id")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'http_500' END AS problem FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR quality = 0")
+def failures_and_pending(spark, sf):
+    records = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "evaluated").otherwise("failed").alias("status"), F.lit("http_500").alias("error"))
+    return scoring.failures_and_pending(table(spark, sf, "documents"), records, "doc_id")
+
+
+@query("""SELECT o_custkey, CASE WHEN b > 0 THEN 'blocked' WHEN i > 0 THEN 'interrupted' WHEN f + p > 0 THEN 'partial' ELSE 'complete' END AS status FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 250000) AS b,
+ count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 150000) AS i, count(*) FILTER (o_orderpriority LIKE '1%' AND o_totalprice > 200000) AS f, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 200000) AS p FROM orders GROUP BY 1)""")
+def run_statuses(spark, sf):
+    n = lambda c: F.sum(F.expr(c).cast("long"))
+    counts = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        n("o_orderstatus = 'P' and o_totalprice > 250000").alias("blocked"), n("o_orderstatus = 'P' and o_totalprice > 150000").alias("interrupted"),
+        n("o_orderpriority like '1%' and o_totalprice > 200000").alias("failed"), n("o_orderstatus = 'O' and o_totalprice > 200000").alias("pending"),
+    )
+    return scoring.run_status(counts).select("o_custkey", "status")
+
+
+@query("SELECT o_orderkey, printf('%.3f', o_totalprice) AS price FROM orders")
+def fixed_decimals(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", T.fixed3(F.col("o_totalprice")).alias("price"))
+
+
+@query("SELECT o_orderpriority AS kind, count(*) AS count FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")
+def subjects_by_kind(spark, sf):
+    subjects = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_custkey").alias("file"))
+    return coverage.by_kind(subjects, table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("file")))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS distinct_count FROM lineitem GROUP BY 1")
+def distinct_themes(spark, sf):
+    return coverage.distinct_per(table(spark, sf, "lineitem"), "l_returnflag", "l_partkey")
+
+
+@query(TASK_SQL + """ SELECT id, CASE WHEN hit THEN 'failed' ELSE state END AS state, CASE WHEN hit THEN 'timeout' END AS error, CASE WHEN hit THEN NULL ELSE deadline END AS deadline
+ FROM (SELECT *, coalesce(state = 'running' AND role <> 'challenger', false) AS hit FROM t)""")
+def fail_tasks(spark, sf):
+    tasks = order_tasks(spark, sf)
+    errors = tasks.where("state = 'running'").select("id", F.when(F.col("role") == "challenger", "old").otherwise(F.col("attempt")).alias("attempt"), F.lit("timeout").alias("error"))
+    return lifecycle.fail(tasks, errors).select("id", "state", "error", "deadline")
+
+
+@query(TASK_SQL + """, n AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT t.*, coalesce(n.n, 0) AS n, CASE role WHEN 'challenger' THEN 'investigator' ELSE role END AS back FROM t LEFT JOIN n ON t.id = n.id AND CASE t.role WHEN 'challenger' THEN 'investigator' ELSE t.role END = 'investigator'),
+x AS (SELECT *, state = 'completed' AND n < 3 AND priority IN (1, 2) AS again FROM b) SELECT id, CASE WHEN again THEN 'queued' ELSE state END AS state, CASE WHEN again THEN back ELSE role END AS role FROM x""")
+def continue_inconclusive(spark, sf):
+    tasks = order_tasks(spark, sf)
+    attempts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.lit("investigator").alias("role"))
+    disposition = F.when(F.col("priority") == 1, "needs_context").when(F.col("priority") == 2, "budget_exhausted").otherwise("supported_candidate")
+    return lifecycle.continue_inconclusive(tasks, attempts, tasks.select(F.col("id").alias("task_id"), disposition.alias("disposition"))).select("id", "state", "role")
+
+
+@query("""WITH d AS (SELECT l_orderkey AS c, max(l_linenumber) AS d FROM lineitem GROUP BY 1) SELECT o_orderkey AS task_id, coalesce(d, 0) + 1 AS depth, CASE WHEN coalesce(d, 0) + 1 > 3 THEN 'depth_limited' ELSE 'proposed' END AS state
+FROM orders LEFT JOIN d ON o_orderkey = c WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def follow_up_depths(spark, sf):
+    proposals = table(spark, sf, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderpriority").alias("theme"))
+    parents = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("depth"))
+    return lifecycle.follow_ups(proposals, parents, ["1-URGENT", "2-HIGH"]).select("task_id", "depth", "state")
+
+
+@query("""WITH f AS (SELECT 'f' || c_custkey AS id, c_nationkey AS subject_id, 'k' || (c_custkey % 3) AS key, c_custkey % 4 AS s, c_mktsegment AS theme, c_custkey % 5 AS depth, c_acctbal > 0 AS open FROM customer WHERE c_custkey BETWEEN 1 AND 100),
+c AS (SELECT 'c' || s_suppkey AS c, s_nationkey AS subject_id, 'BUILDING' AS theme, s_suppkey % 4 AS s, CASE WHEN s_acctbal > 3000 THEN 'k' || (s_suppkey % 3) END AS key FROM supplier),
+k AS (SELECT f.id, min(c) AS c FROM f JOIN c ON f.theme = c.theme AND f.subject_id = c.subject_id AND (f.s = c.s OR f.key = c.key) GROUP BY 1)
+SELECT f.id, CASE WHEN good THEN k.c END AS candidate_id, CASE WHEN NOT good THEN 'rejected' WHEN k.c IS NOT NULL THEN 'known' ELSE 'admitted' END AS action FROM (SELECT *, open AND depth <= 3 AND theme IN ('BUILDING', 'MACHINERY') AS good FROM f) f LEFT JOIN k ON f.id = k.id""")
+def approve_followups(spark, sf):
+    key = F.col("c_custkey")
+    followups = table(spark, sf, "customer").select(
+        F.concat(F.lit("f"), key).alias("id"), F.col("c_nationkey").alias("subject_id"), F.concat(F.lit("k"), key % 3).alias("operation_key"), (key % 4).alias("start"), (key % 4 + 5).alias("end"),
+        F.col("c_mktsegment").alias("theme"), (key % 5).alias("depth"), F.when(F.col("c_acctbal") > 0, "proposed").otherwise("approved").alias("state"),
+    )
+    key, s = F.col("s_suppkey"), table(spark, sf, "supplier")
+    candidates = s.select(F.concat(F.lit("c"), key).alias("candidate_id"), F.lit("BUILDING").alias("theme"), F.col("s_nationkey").alias("subject_id"), (key % 4).alias("start"), (key % 4 + 5).alias("end"))
+    results = s.where("s_acctbal > 3000").select(F.concat(F.lit("c"), key).alias("task_id"), F.concat(F.lit("k"), key % 3).alias("operation_key"))
+    return lifecycle.approve(followups, [f"f{i}" for i in range(1, 101)], candidates, results, ["BUILDING", "MACHINERY"])
+
+
+CASES_SQL = """WITH cases AS (SELECT item_id AS case_id, CASE WHEN item_id % 4 = 0 THEN 'negative' ELSE 'positive' END AS expected, item_id % 50 AS file, item_id * 20 % 1000 AS a, item_id * 20 % 1000 + 40 AS b FROM benchmark),
+c AS (SELECT o_orderkey AS id, o_custkey % 50 AS file, o_orderkey % 1000 AS a, o_orderkey % 1000 + 30 AS b, o_orderpriority AS theme, CASE o_orderstatus WHEN 'O' THEN 'excluded' ELSE 'selected' END AS decision,
+ CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'P' THEN 'failed' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 'refuted_hypothesis' WHEN o_orderkey % 3 = 1 THEN 'supported_candidate' ELSE 'needs_context' END AS disposition,
+ CASE WHEN o_totalprice > 100000 THEN o_custkey % 50 END AS op FROM orders),
+j AS (SELECT case_id, expected, c.*, cases.file AS f, coalesce(state = 'completed', false) AS done, op IS NULL OR (op = cases.file AND c.a + 10 <= cases.b AND c.a + 20 > cases.a) AS about FROM cases LEFT JOIN c
+ ON cases.file = c.file AND c.a <= cases.b AND c.b > cases.a AND theme IN ('1-URGENT', '3-MEDIUM')),
+g AS (SELECT case_id, expected, count(id) AS candidates, count(state) AS chosen, count(*) FILTER (done) AS done, count(*) FILTER (done AND about) AS out, count(*) FILTER (done AND about AND disposition = 'supported_candidate') AS yes,
+ count(*) FILTER (done AND about AND disposition = 'refuted_hypothesis') AS no, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (decision = 'excluded') AS exc FROM j GROUP BY 1, 2)
+SELECT case_id, expected, candidates, CASE WHEN candidates = 0 THEN 'no_candidate' WHEN chosen = 0 THEN CASE WHEN exc = candidates THEN 'excluded_by_scope' ELSE 'unselected' END WHEN done = 0 THEN CASE WHEN failed > 0 THEN 'failed' ELSE 'pending' END
+ WHEN out = 0 THEN 'different_operation_reviewed' WHEN yes > 0 THEN CASE expected WHEN 'negative' THEN 'potential_false_positive' ELSE 'supported' END WHEN no > 0 THEN 'refuted' ELSE 'unresolved' END AS status, chosen > 0 AS selected, out > 0 AS investigated, yes > 0 AS supported FROM g"""
+
+
+def order_cases(spark, sf) -> DataFrame:
+    i, key, o = F.col("item_id"), F.col("o_orderkey"), table(spark, sf, "orders")
+    cases = table(spark, sf, "benchmark").select(i.alias("case_id"), F.when(i % 4 == 0, "negative").otherwise("positive").alias("expected"), (i % 50).alias("file"), (i * 20 % 1000).alias("start"), (i * 20 % 1000 + 40).alias("end"), F.array(F.lit("1-URGENT"), F.lit("3-MEDIUM")).alias("themes"))
+    candidates = o.select(key.alias("id"), key.alias("subject_id"), F.col("o_orderpriority").alias("theme"), F.when(F.col("o_orderstatus") == "O", "excluded").otherwise("selected").alias("decision"))
+    subjects = o.select(key.alias("subject_id"), (F.col("o_custkey") % 50).alias("file"), (key % 1000).alias("start"), (key % 1000 + 30).alias("end"))
+    tasks = o.where("o_orderstatus != 'O'").select(key.alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("state"))
+    disposition = F.when(key % 3 == 0, "refuted_hypothesis").when(key % 3 == 1, "supported_candidate").otherwise("needs_context")
+    op = F.when(F.col("o_totalprice") > 100000, F.col("o_custkey") % 50)
+    results = o.where("o_orderstatus = 'F'").select(key.alias("task_id"), disposition.alias("disposition"), op.alias("op_file"), F.when(op.isNotNull(), key % 1000 + 10).alias("op_start"), F.when(op.isNotNull(), key % 1000 + 20).alias("op_end"))
+    return coverage.evaluate_cases(cases, candidates, subjects, tasks, results)
+
+
+@query(CASES_SQL)
+def benchmark_cases(spark, sf):
+    return order_cases(spark, sf)
+
+
+@query("""WITH c(theme, text) AS (VALUES ('1-URGENT', 'look now'), ('3-MEDIUM', 'look soon')) SELECT o_orderkey, coalesce(text, 'look') AS contract FROM orders LEFT JOIN c ON o_orderpriority = theme""")
+def review_contracts(spark, sf):
+    texts = spark.createDataFrame([("1-URGENT", "look now"), ("3-MEDIUM", "look soon")], "theme string, text string")
+    return coverage.contract(table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("theme")), texts, "look").select("o_orderkey", "contract")
+
+
+@query(TASK_SQL + """, done AS (SELECT l_returnflag AS disposition, l_partkey AS k FROM lineitem JOIN t ON t.id = l_orderkey AND t.state = 'completed')
+SELECT 'dispositions' AS report, disposition AS key, count(*) AS count FROM done GROUP BY 2 UNION ALL SELECT 'catalogue', o_orderstatus, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'candidates_by_theme', o_orderpriority || '/' || o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'followups', event_type, count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'capabilities', role || '/none', count(*) FROM conversations GROUP BY 2 UNION ALL SELECT 'files_without_subjects', lang, count(*) FROM documents WHERE doc_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 2
+UNION ALL SELECT 'execution', 'drained', count(*) FILTER (false) FROM t UNION ALL SELECT 'operation_groups', 'distinct_operations', count(DISTINCT k) FROM done
+UNION ALL SELECT 'operation_groups', 'repeated_groups', count(*) FROM (SELECT k FROM done GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'usage', 'reported_input', sum(user_id)::BIGINT FROM events""")
+def coverage_reports(spark, sf):
+    o, e = table(spark, sf, "orders"), table(spark, sf, "events")
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_returnflag").alias("disposition"), F.col("l_partkey").alias("operation_key"))
+    out = coverage.coverage_summary({
+        "tasks": order_tasks(spark, sf), "task_results": results, "candidates": o.select(F.col("o_orderpriority").alias("theme"), F.col("o_orderstatus").alias("decision")),
+        "followups": e.select(F.col("event_type").alias("state")), "coverage": table(spark, sf, "conversations").select(F.col("role").alias("capability"), F.lit("none").alias("reasons")),
+        "files": table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("lang").alias("language")),
+        "subjects": table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), F.lit("p").alias("purpose"), F.lit("k").alias("kind")),
+        "usage": e.select(F.col("user_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")),
+    })
+    keys = {"dispositions": "disposition", "catalogue": "decision", "candidates_by_theme": "theme || '/' || decision", "followups": "state", "capabilities": "capability || '/' || reasons", "files_without_subjects": "language"}
+    parts = [out[name].select(F.lit(name).alias("report"), F.expr(key).alias("key"), "count") for name, key in keys.items()]
+    value = lambda name, column, key: out[name].select(F.lit(name).alias("report"), F.lit(key).alias("key"), F.col(column).cast("long").alias("count"))
+    parts += [value("execution", "queue_drained", "drained"), value("operation_groups", "distinct_operations", "distinct_operations"), value("operation_groups", "repeated_groups", "repeated_groups"), value("usage", "reported_input", "reported_input")]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,15 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder that spark.checkpoint.dir names, so that a lost executor costs no recomputation. Where it is
+    unset, in a folder of our own, but only if driver and tasks are one process."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()

@@ -34,9 +34,19 @@ def snapshot(found: DataFrame, largest: int = FILE_BYTES) -> DataFrame:
         .when(F.col("bytes") > largest, "file_size_limit")
     )
     out = found.withColumn("reason", reason).withColumn("public", path.rlike(paths.PUBLIC))
+    out = out.withColumn("public", F.col("public") & F.col("reason").isNull())
     return out.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).withColumn("hash", F.sha2("content", 256)).withColumn("language", paths.language(path)).withColumn("purpose", paths.purpose(path))
 
 
+def omissions(taken: DataFrame, listed: DataFrame) -> DataFrame:
+    """path, reason of what a snapshot leaves out: what its policy says, and of the paths that are listed elsewhere (path, kind), such as hidden files and links that Spark's
+    readers don't see, the rest: private ones by policy, links and hidden ones by kind."""
+    path = F.col("path")
+    unseen = listed.join(taken.select("path"), "path", "left_anti")
+    reason = F.when(path.rlike(paths.PRIVATE), "private_file_policy").when(F.col("kind") == "link", "symbolic_link").otherwise("hidden_from_reader")
+    return taken.where("reason is not null").select("path", "reason").unionByName(unseen.select("path", reason.alias("reason")))
+
+
 def inventory(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(source files, skipped ones with a reason) of files(), each in order of path."""
     path = F.col("path")

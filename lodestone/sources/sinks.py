@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import markdown_escape
 from ..operators.relations import artifacts
+from ..session import cut
 
 
 def write_generation(df: DataFrame, root: str, table: str, number: int) -> None:
@@ -19,6 +20,7 @@ def put_artifacts(texts: DataFrame, text_col: str, stored: DataFrame | None, pat
     new = artifacts(texts, text_col)
     if stored is not None:
         new = new.join(stored.select("digest"), "digest", "left_anti")
+    new = cut(new)  # what is written is what is returned, worked out once
     new.write.mode("append").parquet(path)
     return new
 

@@ -237,3 +237,93 @@ def test_ordered_digest_gathers_no_group(spark):
     for i in range(20_000):
         want.setdefault({0: "b", 1: None}.get(i % 10, "a"), hashlib.sha256()).update(hashlib.sha256(f"{i}\x1ft{i}".encode()).hexdigest().encode())
     assert {r.g: r.fingerprint for r in done.collect()} == {k: v.hexdigest() for k, v in want.items()} and done.count() == 3
+
+
+def test_ranks_need_no_single_task(spark):
+    """A group with most rows, nulls as a group, and no window without a bounded partition over the rows."""
+    r = random.Random(5)
+    rows = [(i, r.choice(["a"] * 8 + ["b", None]), r.randint(0, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, p int").repartition(6)
+    got = {x.id: (x.n, x.m) for x in relations.grouped_rank(relations.global_rank(df, [F.desc("p"), F.asc("id")], "n"), ["g"], [F.asc("p"), F.asc("id")], "m").collect()}
+    order = sorted(rows, key=lambda x: (-x[2], x[0]))
+    assert all(got[x[0]][0] == k for k, x in enumerate(order, 1))
+    for g in ("a", "b", None):
+        assert [got[x[0]][1] for x in sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))] == list(range(1, sum(x[1] == g for x in rows) + 1))
+    assert relations.global_rank(df.limit(0), [F.asc("id")], "n").count() == 0
+
+
+def test_offsets_of_hits_and_lines(spark):
+    rows = [(1, "a\n\nbc"), (2, ""), (3, "aaaa"), (4, "x" + "ab" * 5000), (4, "ab"), (5, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    found = sorted((x.id, x.start, x.end) for x in relations.hits(df, ["id"], F.col("t"), F.lit("aa")).collect())
+    assert found == [(3, 0, 2), (3, 2, 4)]
+    assert sorted(x.start for x in relations.hits(df, ["id"], F.col("t"), F.lit("ab")).collect()) == sorted([0, *range(1, 10_001, 2)])
+    assert sorted((x.id, x.line, x.start, x.end) for x in relations.text_lines(df.where("id < 4"), ["id"], F.col("t")).collect()) == [(1, 1, 0, 1), (1, 2, 2, 2), (1, 3, 3, 5), (2, 1, 0, 0), (3, 1, 0, 4)]
+    with pytest.raises(ValueError):
+        relations.search(df, "t", "t", "ab")
+
+
+def test_paths_from_folders(spark):
+    df = spark.createDataFrame([("a/b/c.ts", "a/x", "../b/c.ts"), ("a", "", "a"), ("a/b", "a/b", ""), ("b", "a/c", "../../b")], "p string, d string, want string")
+    for x in df.select("p", "want", P.relative(F.col("p"), F.col("d")).alias("r"), P.ancestors(F.col("p")).alias("up")).collect():
+        assert x.r == x.want and x.up == ["/".join(x.p.split("/")[:k]) for k in range(x.p.count("/") + 1)]
+
+
+def test_output_of_another_run_is_refused(spark, tmp_path):
+    from lodestone.sources import dataset
+
+    run = {"root": "/r", "model": "m", "questionsHash": "q", "sanitizerVersion": "1", "mode": "defects"}
+    for _ in range(2):
+        dataset.claim_output(spark, str(tmp_path / "out"), run)
+    for other in ({"model": "n"}, {"mode": "classification"}, {"root": "/s"}):
+        with pytest.raises(ValueError):
+            dataset.claim_output(spark, str(tmp_path / "out"), run | other)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "summary.json").write_text(json.dumps({k: v for k, v in run.items() if k != "mode"} | {"model": "older"}))
+    with pytest.raises(ValueError):
+        dataset.claim_output(spark, str(tmp_path / "old"), run)
+
+
+def test_datasets_are_checked_and_imported_once(spark, tmp_path):
+    import hashlib
+
+    from lodestone.sources import dataset
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    content = {"a.ts": b"export function f() {}", "b/c.ts": b"x"}
+    files = lambda d: spark.createDataFrame([(p, len(b), bytearray(b)) for p, b in d.items()], "path string, bytes long, content binary")
+    own = {"inventory.json": b"{}", "functions.jsonl": b"{}"}
+    manifest = spark.createDataFrame([(p, sha(b), len(b)) for p, b in own.items()], "path string, sha256 string, bytes long")
+    inventory = spark.createDataFrame([(p, sha(b)) for p, b in content.items()], "file string, sourceHash string")
+    functions = spark.createDataFrame([("f1", "a.ts"), ("f2", "b/c.ts")], "id string, file string")
+    answers = spark.createDataFrame([("f1", "q", "present"), ("f2", "q", "absent")], "function_id string, question string, choice string")
+    good = dict(manifest=manifest, dataset=files(own), source=files(content), inventory=inventory, functions=functions, answers=answers)
+    wrong = lambda **x: {r.problem for r in dataset.violations(**(good | x)).collect()}
+    assert wrong() == set()
+    assert wrong(manifest=manifest.where("path != 'inventory.json'")) == {"missing_artifact_descriptor"}
+    assert wrong(dataset=files(own | {"functions.jsonl": b"[]"})) == {"dataset_hash_mismatch"} and wrong(source=files({"a.ts": content["a.ts"]})) == {"source_hash_mismatch"}
+    assert wrong(answers=answers.where("function_id = 'f1'")) == {"function_without_answers"} and wrong(functions=functions.where("id = 'f1'")) == {"answers_without_function"}
+    assert wrong(functions=functions.union(functions)) == {"repeated_function"}
+    root = str(tmp_path / "store")
+    with pytest.raises(ValueError, match="source_hash_mismatch"):
+        dataset.import_dataset(root, 1, **(good | {"source": files({})}))
+    with pytest.raises(ValueError, match="size_limit"):
+        dataset.import_dataset(root, 1, **good, limit=3)
+    assert [dataset.import_dataset(root, 1, **good) for _ in range(2)] == ["imported", "already_imported"]
+    assert readers.generation(spark, root, "functions", 1).count() == 2 and dataset.meta(readers.generation(spark, root, "meta", 1), "datasetId")
+    with pytest.raises(ValueError, match="different_dataset"):
+        dataset.import_dataset(root, 1, **(good | {"manifest": manifest.limit(1)}))
+
+
+def test_hidden_files_and_links_are_omitted_with_a_reason(spark):
+    found = spark.createDataFrame([("a.ts", 1, bytearray(b"x")), ("public/x.bin", 1, bytearray(b"y"))], "path string, bytes long, content binary")
+    taken = readers.snapshot(found)
+    listed = spark.createDataFrame([("a.ts", "file"), (".env", "file"), ("l.ts", "link"), (".eslintrc.json", "file")], "path string, kind string")
+    assert {r.path: r.reason for r in readers.omissions(taken, listed).collect()} == {"public/x.bin": "unsupported_content_metadata_only", ".env": "private_file_policy", "l.ts": "symbolic_link", ".eslintrc.json": "hidden_from_reader"}
+    assert not any(r.public for r in taken.where("reason is not null").collect())
+
+
+def test_bench_picks_its_queries():
+    import bench
+
+    assert bench.selected(dict.fromkeys(["operation_groups", "op10_b", "op2_a", "pipeline", "plan_full", "opera"])) == ["plan_full", "operation_groups", "op2_a", "op10_b", "pipeline"]
