@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import in_worker
 
 ROW, BLOCK = 2048, 1 << 21
+#: Packed ids and positions are 16-bit.
+IDS = 1 << 16
 
 
 class RoomTree:
@@ -75,6 +77,8 @@ def tokenizer(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values()) >= IDS:
+        raise ValueError(f"{path} has ids beyond {IDS - 1}, which packed rows can't hold")
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -98,9 +102,11 @@ def pack(docs: DataFrame, row: int = ROW, end_id: int = 50256, id_col: str = "do
     doc_ids and doc_offsets (each segment's document, and its first token's place in that document).
 
     Every document ends with end_id; a null or empty text is that one token. Documents longer than a row are split; none
-    is cut short: `unpack` gives all back. Repeated rows and null ids are packed like others. Empty table: no rows. The vocabulary
-    has to have less than 65,536 ids, and a row no more tokens.
+    is cut short: `unpack` gives all back. Repeated rows and null ids are packed like others. Empty table: no rows. Ids beyond
+    65,535, in the vocabulary or as end_id, and rows of more than 65,536 tokens are refused. Document ids are integers.
     """
+    if not 0 <= end_id < IDS or not 1 <= row <= IDS:
+        raise ValueError(f"end_id has to be below {IDS}, and a row 1 to {IDS} tokens")
     path = vocabulary or vocabulary_path()
 
     def flush(held: list[tuple[int | None, np.ndarray]], first: int) -> pa.RecordBatch:

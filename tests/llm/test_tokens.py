@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import numpy as np
@@ -96,6 +97,17 @@ def test_packing_loses_nothing(spark):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_packing_refuses_what_rows_cannot_hold(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for wrong in ({"end_id": 65_536}, {"end_id": -1}, {"row": 0}, {"row": 65_537}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, **wrong)
+    wide = tmp_path / "wide.tiktoken"
+    wide.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b + 65_300}\n" for b in range(256)))
+    with pytest.raises(ValueError):
+        packing.tokenizer(str(wide))
+
+
 def test_round_trip_is_decode_of_encode(spark):
     docs = spark.createDataFrame([(1, "Some words, and  more words.\n"), (2, None), (3, ""), (3, ""), (4, "né   " * 700)], "doc_id long, text string")
     one, two = bpe.round_trip(docs), bpe.decode(bpe.encode(docs))
