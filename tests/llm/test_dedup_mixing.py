@@ -44,6 +44,13 @@ def test_mixing_equals_sql(spark, rows):
     assert all(0 <= r.taken <= 2 * r.size for r in got)
 
 
+def test_mixing_takes_rows_without_an_id(spark):
+    rows = [(None, "a b", "a"), (None, "c", None), (None, "c", None), (1, "d e f", "a"), (2, "g " * 30, "b"), (None, None, "b")]
+    columns, want = duck(rows, mixing.SQL)
+    got = mixing.mix(frame(spark, rows).repartition(3)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_targets_share_the_excess(spark):
     sums = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), ("d", 0), (None, 50)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sums, (5, 2, 1), 1.5, 2.0).collect()}

@@ -97,3 +97,27 @@ def test_rare_ngrams_of_a_large_input_are_kept(spark, monkeypatch):
     for i, t in enumerate(texts[1:], 1):
         s = stream(t)
         assert got[i] == pytest.approx(sum(math.log10(p(s[:k], s[k])) for k in range(ppm.ORDER, len(s))))
+
+
+def test_rows_without_an_id_long_texts_and_clashing_names(spark):
+    """A null id trains, a text of more than CHUNK bytes is scored whole, and columns that have the names of the operator's own change nothing."""
+    long = "ab " * (ppm.CHUNK // 3 + 10)
+    assert len(long) > ppm.CHUNK
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    trains = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    rows = [(None, "cd ab"), (None, "cd ab"), (trains, long), (held, "ab cd ef")]
+    extra = "row kind block part blob n rare held_out score".split()
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra)).repartition(2)
+    got = ppm.scores(docs).collect()
+    assert got and len(got) == len(rows) and got[0].__fields__ == "doc_id held_out n_tokens n_known train_tokens base_score score".split()
+    n = long.count(" ") + 1 + 2 * 3
+    assert all(r.train_tokens == n for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[held].held_out and not by[None].held_out and not by[trains].held_out
+    assert (by[trains].n_tokens, by[trains].n_known) == (long.count(" ") + 1,) * 2
+    assert (by[held].n_tokens, by[held].n_known) == (4, 3)
+    p = plain([t for i, t in rows if i != held], float("inf"))
+    for i in (None, held):
+        s = stream(dict(rows)[i])
+        assert by[i].score == pytest.approx(sum(math.log10(p(s[:k], s[k])) for k in range(ppm.ORDER, len(s))))
+    assert by[None].score == next(r.score for r in reversed(got) if r.doc_id is None)
