@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, htmltext, langid, mixing, near_dedup, packing, ppm, urlfilter
+from . import bpe, conversations, exact_dedup, fingerprint, hard_negatives, htmltext, langid, mixing, near_dedup, packing, ppm, simhash, urlfilter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op7_html_text, op8_lm_score, op9_fingerprints, op10_exact_dedup)}
-ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), hard_negatives.moved())
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op7_html_text, op8_lm_score, op9_fingerprints, op10_exact_dedup, op11_conversation_repair, op12_simhash, op13_hard_negatives)}
+ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
