@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Every document has a fixed hash of its id. A source's words are summed by hash bucket; walking the buckets finds the one
+Every document has a fixed hash of its id and text. A source's words are summed by hash bucket; walking the buckets finds the one
 in which the running sum passes the source's budget. Only that bucket is refined, by the next BITS bits of the hash, and so
 on LEVELS times; then one bucket is left, of at most a few documents, and the threshold is the bucket's end that comes nearer to the budget. Selecting is
 a filter on the hash: nothing is sorted, and a smaller budget's documents are always among a larger one's.
@@ -11,6 +11,7 @@ since sums are formed before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,18 +23,19 @@ BITS, LEVELS = 12, 3
 WEIGHTS = (5, 2, 1)
 
 
-def id_hash(id_: Column) -> Column:
-    """The first BITS * LEVELS bits of the id's MD5; a null id counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def row_hash(id_: Column, text: Column) -> Column:
+    """The first BITS * LEVELS bits of the MD5 of id and text, so that rows without an id, or of one id, are told apart by their texts; null counts as empty."""
+    name = F.concat_ws(" ", F.coalesce(id_.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, size in words, and the 36-bit hash of the id (null: of the empty text)."""
+    """id, source, size in words, and the 36-bit hash of id and text."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        id_hash(F.col(id_col)).alias("h"),
+        row_hash(F.col(id_col), F.col(text_col)).alias("h"),
     )
 
 
@@ -97,7 +99,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
 
     A source whose target is r times its size and a rest takes each document r times, and once more those whose hash is
     below the source's threshold. Null texts have size 0; the null source is a source of its own, the last. Rows that tie
-    in the hash (repeated ids) are taken alike. Empty table: no rows. Other columns are not looked at. Deterministic.
+    in the hash (those of one id and text) are taken alike. Empty table: no rows. Other columns are not looked at. Deterministic.
     """
     rows = cut(sized(docs, id_col, text_col, source_col).withColumn("s", source_key(F.col("source"))))
     plan = thresholds(rows, weights, share, most)
@@ -106,18 +108,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
 
 def mix_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as mixed: each row as many times as the mix takes it, all columns as they were. A row without words is taken as
-    often as its hash says."""
+    often as its hash says, but no more often than `most` allows."""
     slim = cut(sized(docs, id_col, text_col, source_col).withColumn("s", source_key(F.col("source"))))
     plan = thresholds(slim, weights, share, most).select("s", "times", "below")
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(source_col)).alias("s"), id_hash(F.col(id_col)).alias("h"))
-    copies = join_small(tagged, plan, ["s"]).withColumn("copies", F.expr(COPIES)).where("copies > 0")
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(F.col(source_col)).alias("s"), row_hash(F.col(id_col), F.col(text_col)).alias("h"))
+    copies = join_small(tagged, plan, ["s"]).withColumn("copies", F.least(F.expr(COPIES), F.lit(math.ceil(most)))).where("copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w,
       row_number() OVER (ORDER BY source IS NULL, source) AS place FROM s),

@@ -101,3 +101,33 @@ def test_no_python_runs(spark):
     for f in (exact_dedup.exact_dedup, mixing.mix, exact_dedup.dedup_rows, mixing.mix_rows):
         plan = f(frame(spark, ROWS[1]))._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_sources_of_rows_without_ids_meet_their_targets(spark):
+    """Rows without an id, or of one id, are told apart by their texts."""
+    r = random.Random(6)
+    rows = [(None, " ".join(r.choice("abcdefgh") for _ in range(5)) + f" {i}", "b") for i in range(40)] + [(i, "x y", "b") for i in range(3)]
+    rows += [(7, f"w{i} " * 4, "a") for i in range(60)] + [(100 + i, f"v{i} " * 9, "c") for i in range(90)]
+    columns, want = duck(rows, mixing.SQL)
+    got = mixing.mix(frame(spark, rows).repartition(3)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    taken = {}
+    for x in got:
+        taken.setdefault((x.source_size, x.target), []).append(x)
+    assert len(taken) == 3
+    for (_, target), some in taken.items():
+        assert abs(sum(x.taken for x in some) - target) <= max(x.size for x in some)
+
+
+def test_empty_rows_are_taken_no_more_often_than_others(spark):
+    rows = [(i, "" if i % 2 else "a b c", "s") for i in range(60)] + [(100 + i, "w " * 40, "t") for i in range(9)]
+    times = {}
+    for x in mixing.mix_rows(frame(spark, rows)).collect():
+        times[x.doc_id] = times.get(x.doc_id, 0) + 1
+    assert max(times.values()) <= 2
+
+
+def test_rows_of_one_id_are_dealt_over_all_runs(spark):
+    rows = exact_dedup.leaf_rows(frame(spark, [(None, f"t{i % 9}", "x") for i in range(2000)]).repartition(3), "doc_id", "text", 64)
+    sizes = [x["count"] for x in rows.groupBy("run").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 100
