@@ -37,8 +37,8 @@ PATH, WORDS, MEASURES, HIDDEN = 128, 32, 6, 16
 EPOCHS, RATE = 14, 0.02
 
 # Elements of HTML by what they do to text.
-RAW = frozenset("script style noscript template textarea iframe svg math object noframes noembed xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes: an open element of the second set, if no element of the third is between.
 CLOSES = {

@@ -141,6 +141,11 @@ def test_language_edges_and_accuracy(spark, sf):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def test_formulas_code_and_fallbacks_are_text():
+    page = "<body><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><xmp>code</xmp><object data=a>inner</object><noembed>old</noembed></body>"
+    assert [b.text for b in htmltext.blocks(page)] == ["Let x=2 be", "code", "inner", "old"]
+
+
 # ---- fingerprints
 
 
