@@ -1,6 +1,6 @@
 """Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every row is dealt to one of R = FAN ** k runs by its id. A run is sorted by digest; the leaf level keeps, of each digest
+Every row is dealt to one of R = FAN ** k runs by a hash of its id and place. A run is sorted by digest; the leaf level keeps, of each digest
 of a run, the identifier that stays and the number of rows it stands for. Then runs are merged in rounds, FAN at a time
 (a binomial tree of degree FAN): the exchange brings the FAN runs of a parent together, slice by slice of the digests,
 the sort merges them, and a running comparison along the sorted run keeps one row a digest. After k rounds one run is
@@ -27,7 +27,7 @@ def leaf_rows(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFra
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     return docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
         "id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("check"),
-        F.pmod(F.xxhash64("id"), F.lit(runs)).alias("run"),
+        F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(runs)).alias("run"),
     )
 
 
