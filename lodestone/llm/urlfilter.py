@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut, join_small
+from .components import reshuffled
 
 SUPPORT, CONFIDENCE = 0.005, 0.8
 #: (verdict, host, path)
@@ -95,7 +96,7 @@ def match(rows: DataFrame, rules: DataFrame, own: DataFrame) -> DataFrame:
     words = [r[0] for r in index.select("token").distinct().collect()]  # among the frequent ones
     rows = rows.withColumn("known", among(F.col("tokens"), words))
     sets = cut(rows.select("known").distinct())
-    hits = sets.select("known", F.explode("known").alias("token")).join(F.broadcast(index), "token").dropDuplicates(["known", "rule_id", "class"])
+    hits = sets.select("known", F.explode("known").alias("token")).join(reshuffled(index, "token"), "token").dropDuplicates(["known", "rule_id", "class"])
     fits = hits.groupBy("known", "rule_id").agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"), F.first("verdict").alias("verdict"), F.first("confidence").alias("c"), F.first("support").alias("s")).where("have = n")
     best = cut(fits.groupBy("known").agg(F.max(F.struct("c", "s", (F.col("verdict") == "allow").alias("a"), "verdict"))["verdict"].alias("mined")))
     return join_small(rows, best, ["known"], "left").drop("known")
