@@ -74,5 +74,5 @@ def test_stages_keep_columns_and_stand_empty_tables(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert [int(n[2:].split("_")[0]) for n in llm.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in llm.QUERIES] == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
