@@ -52,12 +52,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each stage's rows are written to the shared checkpoint folder and read again."""
+    """All stages over documents. Each stage's rows are written to the shared checkpoint folder and read again; they are removed when the next stage's are there. The last
+    folder stays, for the result that is computed from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shared_dir(docs)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
