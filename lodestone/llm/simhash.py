@@ -217,7 +217,8 @@ def links(fps: DataFrame, same: DataFrame, limit: int = LIMIT) -> DataFrame:
     leaders = index.groupBy("key").agg(F.max_by("fp", F.struct("company", "fp")).alias("l0"), *[F.max_by("fp", F.xxhash64("fp", F.lit(i))).alias(f"l{i}") for i in range(1, LEADERS + 1)])
     leaders = cut(leaders)
     met = probes.join(reshuffled(leaders.withColumnRenamed("key", "_key"), "_key"), F.col("key") == F.col("_key"))
-    stars = met.select("fp", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS + 1)]))).alias("l")).where(linked("fp", "l", limit))
+    near = F.filter(F.array(*[f"l{i}" for i in range(LEADERS + 1)]), lambda x: (x != F.col("fp")) & (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= limit))
+    stars = met.select("fp", near.alias("near")).where("size(near) > 0").select("fp", F.explode(F.array_distinct("near")).alias("l"))
     first = cut(components(stars.select(F.col("fp").alias("a"), F.col("l").alias("b")).union(same)))
 
     of = reshuffled(first, "node")
