@@ -182,28 +182,30 @@ def after(text: str | None, generation: str, query: Sequence[object], start: obj
 
 def keyset_page(rows: DataFrame, key: str, start: object, limit: int, size: Column | None = None, budget: int = PAGE_BYTES) -> DataFrame:
     """The next `limit` rows after `start` by key, as long as their sizes stay in the budget, with has_more. One look-ahead row more is
-    read, so the page is a top-k and never sorts the table."""
+    read, so the page is a top-k and never sorts the table. A first row that is beyond the budget by itself is an error, not an empty page."""
     ahead = rows.where(F.col(key) > F.lit(start)).orderBy(key).limit(limit + 1)
     order = Window.orderBy(key)
     bytes_ = F.sum(size if size is not None else F.lit(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     all_ = Window.partitionBy()
     marked = ahead.withColumn("_at", F.row_number().over(order)).withColumn("_bytes", bytes_)
-    marked = marked.withColumn("_in", (F.col("_at") <= limit) & (F.col("_bytes") <= budget)).withColumn("has_more", F.sum(F.col("_in").cast("int")).over(all_) < F.count(F.lit(1)).over(all_))
+    alone = F.raise_error(F.lit("single_result_exceeds_budget")).cast("boolean")
+    inside = F.when((F.col("_at") == 1) & (F.col("_bytes") > budget), alone).otherwise((F.col("_at") <= limit) & (F.col("_bytes") <= budget))
+    marked = marked.withColumn("_in", inside).withColumn("has_more", F.sum(F.col("_in").cast("int")).over(all_) < F.count(F.lit(1)).over(all_))
     return marked.where("_in").drop("_at", "_bytes", "_in")
 
 
-def pages(rows: DataFrame, key: str, limit: int, columns: Sequence[str]) -> list[list]:
-    """All pages of a small result, each from a keyset: for tests and the bench."""
-    out, at = [], rows.agg(F.min(key)).first()[0]
-    if at is None:
-        return out
-    at = at - 1 if isinstance(at, int) else ""
-    while True:
-        page = keyset_page(rows, key, at, limit).collect()
-        out.append([tuple(r[c] for c in columns) for r in page])
-        if not page or not page[-1]["has_more"]:
-            return out
-        at = page[-1][key]
+def pages(rows: DataFrame, key: str, limit: int, columns: Sequence[str], ahead: int = 10) -> Iterator[list[tuple]]:
+    """All pages from a keyset, one after the other: a job fetches the rows of up to `ahead` pages, and no more than these are held. Keys are unique and not null."""
+    at, more = None, True
+    while more:
+        later = rows if at is None else rows.where(F.col(key) > F.lit(at))
+        found = later.select(key, *columns).orderBy(key).limit(limit * ahead + 1).toArrow()
+        more = found.num_rows > limit * ahead
+        keys, cells = found.column(0).to_pylist(), [c.to_pylist() for c in found.columns[1:]]
+        for begin in range(0, min(found.num_rows, limit * ahead), limit):
+            end = min(begin + limit, limit * ahead, found.num_rows)
+            at = keys[end - 1]
+            yield list(zip(*(c[begin:end] for c in cells), strict=True))
 
 
 #: The low bits of monotonically_increasing_id: a row's place in its partition.

@@ -100,7 +100,7 @@ def test_spans_with_and_without_blocks(spark):
 @given(st.lists(st.integers(-5, 40), unique=True, max_size=30), st.integers(1, 7))
 def test_pages_have_every_row_once(spark, ids, limit):
     rows = spark.createDataFrame([(i,) for i in ids], "id int")
-    got = relations.pages(rows, "id", limit, ["id"])
+    got = list(relations.pages(rows, "id", limit, ["id"], ahead=3))
     assert [r[0] for p in got for r in p] == sorted(ids) and all(len(p) <= limit for p in got)
 
 
@@ -108,6 +108,10 @@ def test_page_budget_and_cursors(spark):
     rows = spark.createDataFrame([(i, "x" * 10) for i in range(5)], "id int, t string")
     page = relations.keyset_page(rows, "id", -1, 4, F.octet_length("t"), budget=25).collect()
     assert [r.id for r in page] == [0, 1] and page[0].has_more
+    large = spark.createDataFrame([(1, "x" * 200), (2, "y")], "id int, t string")
+    with pytest.raises(Exception, match="single_result_exceeds_budget"):
+        relations.keyset_page(large, "id", 0, 4, F.octet_length("t"), budget=100).collect()
+    assert [r.id for r in relations.keyset_page(large, "id", 1, 4, F.octet_length("t"), budget=100).collect()] == [2]
     c = relations.cursor("g1", ["callers", "f"], "k7")
     assert relations.after(c, "g1", ["callers", "f"], "") == "k7" and relations.after(None, "g1", ["x"], "") == ""
     for bad in ((c, "g2", ["callers", "f"], ""), (c, "g1", ["callers", "g"], ""), (c, "g1", ["callers", "f"], 0), ("x" * 5000, "g1", [], ""), ("!!", "g1", [], "")):
