@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.paths import directory, normalized
-from .relations import split_offsets
+from .elements import NAME, lexed
 
 COMMENT = ("<!--", "<!--.*?-->")
-TAG = r"(?s)<([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>"
 
 
 def masked(html: Column) -> Column:
@@ -19,13 +18,9 @@ def masked(html: Column) -> Column:
 
 
 def anchors(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, start, end, tag of every opening tag outside comments, by splitting the masked text at its tags: no Python, whole texts, linear in a page."""
-    tags = pages.select(id_col, masked(F.col(html_col)).alias("clean"))
-    tags = tags.select(id_col, F.split("clean", TAG, -1).alias("parts"), F.regexp_extract_all("clean", F.lit(TAG), F.lit(0)).alias("tags"))
-    length = lambda x: F.coalesce(F.length(x), F.lit(0)).cast("long")
-    pieces = F.zip_with("parts", "tags", lambda p, t: F.struct(length(p).alias("n"), length(t).alias("skip"), t.alias("t")))
-    each = split_offsets(tags, [id_col], pieces).where("t is not null")
-    return each.select(id_col, F.col("end").alias("start"), (F.col("end") + F.col("skip")).alias("end"), F.lower(F.regexp_extract("t", TAG, 1)).alias("tag"))
+    """id, start, end, tag of every opening tag, quotes and raw texts understood: no Python, whole texts, linear in a page."""
+    opened = lexed(pages, [id_col], F.col(html_col)).where("kind = 'open'")
+    return opened.select(id_col, "start", "end", F.lower(F.regexp_extract("t", f"^<({NAME})", 1)).alias("tag"))
 
 
 def links(pages: DataFrame, id_col: str, html_col: str, path_col: str) -> DataFrame:
