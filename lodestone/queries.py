@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .functions import answers as A
 from .functions import paths as P
 from .functions import text as T
-from .operators import markup, relations, scoring
+from .operators import configuration, elements, markup, relations, scoring, search_index
 from .plans import coverage, lifecycle, planner
-from .session import table
+from .session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -444,14 +444,47 @@ MASKED_SQL = r"""SELECT page_id, array_to_string(list_transform(regexp_extract_a
  lambda x: CASE WHEN starts_with(x, '<!--') AND length(x) > 4 THEN regexp_replace(x, '[^\r\n\x{2028}\x{2029}]', ' ', 'g') ELSE x END), '') AS m FROM pages"""
 
 
-@query(rf"""WITH m AS ({MASKED_SQL}), t AS (SELECT page_id, unnest(regexp_split_to_array(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>')) AS gap, unnest(list_append(regexp_extract_all(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>'), NULL)) AS tag,
- unnest(range(len(regexp_split_to_array(m, '(?s)<[a-zA-Z][a-zA-Z0-9-]*[^>]*>')))) AS k FROM m),
-s AS (SELECT *, sum(length(gap) + coalesce(length(tag), 0)) OVER (PARTITION BY page_id ORDER BY k) AS upto FROM t)
-SELECT page_id, (upto - length(tag))::BIGINT AS "start", upto::BIGINT AS "end", lower(regexp_extract(tag, '<([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag FROM s WHERE tag IS NOT NULL""")
+#: Tags by cutting pages at each <: comments and raw texts are told by what was opened last.
+TAGS_SQL = r"""p AS (SELECT page_id, unnest(string_split(html, '<')) AS piece, generate_subscripts(string_split(html, '<'), 1) AS k FROM pages),
+o AS (SELECT page_id, k, piece, lower(regexp_extract(piece, '^/?([a-zA-Z][^\s/>]*)', 1)) AS name, starts_with(piece, '/') AS closes, strpos(piece, '>') AS gt,
+ (sum(length(piece) + 1) OVER (PARTITION BY page_id ORDER BY k) - length(piece) - 2)::BIGINT AS s,
+ coalesce(max(CASE WHEN starts_with(piece, '!--') THEN k END) OVER before, 0) > coalesce(max(CASE WHEN contains(piece, '-->') THEN k END) OVER before, 0) AS hidden
+ FROM p WINDOW before AS (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+raw AS (SELECT *, name IN ('script', 'style', 'textarea', 'title', 'xmp', 'iframe', 'noembed', 'noframes') AS is_raw FROM o WHERE k > 1 AND NOT hidden AND name <> '' AND gt > 0),
+tags AS (SELECT page_id, k, name, closes, s, s + gt + 0 AS e, substr(piece, 1, gt) AS tag FROM (
+ SELECT *, coalesce(max(CASE WHEN is_raw AND NOT closes THEN k END) OVER b, 0) > coalesce(max(CASE WHEN is_raw AND closes THEN k END) OVER b, 0) AS within
+ FROM raw WINDOW b AS (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE NOT within OR (is_raw AND closes)),
+opened AS (SELECT *, name IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') AS void FROM tags WHERE NOT closes)"""
+
+
+@query(rf"""WITH {TAGS_SQL} SELECT page_id, s AS "start", (e + 1)::BIGINT AS "end", name AS tag FROM opened""")
 def html_anchors(spark, sf):
     return markup.anchors(table(spark, sf, "pages"), "page_id", "html")
 
 
+#: An element's end tag is the first of its name with as many opened as closed ones between; else it ends with what is around it, or where its sibling begins.
+@query(rf"""WITH {TAGS_SQL}, c AS (SELECT * FROM tags WHERE closes),
+pairs AS (SELECT o.page_id, o.k, o.s, min(c.k) AS ck FROM opened o JOIN c ON o.page_id = c.page_id AND o.name = c.name AND c.k > o.k AND NOT o.void
+ AND (SELECT count(*) FROM opened x WHERE x.page_id = o.page_id AND x.name = o.name AND x.k > o.k AND x.k < c.k)
+   = (SELECT count(*) FROM c y WHERE y.page_id = o.page_id AND y.name = o.name AND y.k > o.k AND y.k < c.k) GROUP BY ALL),
+placed AS (SELECT o.*, p.ck, (SELECT count(*) FROM pairs q WHERE q.page_id = o.page_id AND q.k < o.k AND q.ck > o.k) AS level,
+ (SELECT min(q.ck) FROM pairs q WHERE q.page_id = o.page_id AND q.k < o.k AND q.ck > o.k) AS outer_k FROM opened o LEFT JOIN pairs p ON p.page_id = o.page_id AND p.k = o.k),
+ends AS (SELECT x.*, t.e + 1 AS own_end, u.s AS outer_start, length(g.html) AS last,
+ CASE WHEN x.name IN ('p', 'li', 'dt', 'dd', 'tr', 'td', 'th', 'option') THEN (SELECT min(z.s) FROM placed z WHERE z.page_id = x.page_id AND z.name = x.name AND z.k > x.k AND z.level = x.level) END AS sibling
+ FROM placed x JOIN pages g ON g.page_id = x.page_id LEFT JOIN tags t ON t.page_id = x.page_id AND t.k = x.ck LEFT JOIN tags u ON u.page_id = x.page_id AND u.k = x.outer_k)
+SELECT page_id, s AS "start", (CASE WHEN void THEN e + 1 WHEN ck IS NOT NULL THEN own_end ELSE least(coalesce(outer_start, last), coalesce(sibling, last)) END)::BIGINT AS "end", name FROM ends""")
+def html_elements(spark, sf):
+    anchors = elements.template_anchors(table(spark, sf, "pages"), "page_id", "html")
+    return anchors.where("kind = 'template_node' and name not like '#%'").select("page_id", "start", "end", "name")
+
+
+@query(rf"""WITH {TAGS_SQL}, a AS (SELECT page_id, s, tag, unnest(regexp_extract_all(tag, '\s[^\s=>]+="[^"]*"')) AS x FROM opened)
+SELECT page_id, (s + strpos(tag, x) + 1)::BIGINT AS "start", (s + strpos(tag, x) + length(x))::BIGINT AS "end", lower(regexp_extract(x, '\s([^=]+)=', 1)) AS name, lower(regexp_extract(x, '\s([^=]+)=', 1)) IN ('[innerhtml]', 'v-html') AS html_binding FROM a""")
+def html_attributes(spark, sf):
+    anchors = elements.template_anchors(table(spark, sf, "pages"), "page_id", "html")
+    return anchors.where("kind = 'template_attribute'").select("page_id", "start", "end", "name", "html_binding")
+
+
 @query(r"""WITH m AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages), e AS (SELECT page_id, unnest(regexp_extract_all(h, '(?i)\shref="([^"]*)"', 1)) AS href FROM m)
 SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE array_to_string(list_filter(string_split(href, '/'), lambda x: x NOT IN ('', '.')), '/') END AS target FROM e""")
 def html_links(spark, sf):
@@ -588,6 +621,42 @@ def search_page(spark, sf):
     return relations.search(rows, "file", "text", "the and", "src1", "src11/", 40, 30)
 
 
+#: The same text without its comment, read by DuckDB's own JSON parser.
+@query(r"""WITH t AS (SELECT event_id, concat('{"id": ', event_id, ', "props": ', props, ', "tags": [{"kind": "', event_type, '"}, {"more": [', user_id, ', {"last": null}]}]}') AS j FROM events)
+SELECT event_id, replace(x.fullkey, '"', '') AS path, replace(x.value::VARCHAR, ' ', '') AS value FROM t, json_tree(t.j) AS x WHERE x.fullkey NOT LIKE '%]' AND x.fullkey <> '$'""")
+def json_paths(spark, sf):
+    text = F.concat(F.lit('{"id": '), "event_id", F.lit(', "props": '), "props", F.lit(', // {"no": "'), "event_type", F.lit('"}\n "tags": [{"kind": "'), "event_type", F.lit('"}, {"more": ['), "user_id", F.lit(', {"last": null}]}]}'))
+    rows = table(spark, sf, "events").select(F.struct("event_id", text.alias("j")).alias("row"), text.alias("j"))
+    found = configuration.json_properties(rows, "row", "j")
+    path = F.aggregate("path", F.lit("$"), lambda done, x: F.concat(done, F.when(x.startswith("["), x).otherwise(F.concat(F.lit("."), x))))
+    value = F.substring(F.col("row.j"), (F.col("value_start") + 1).cast("int"), (F.col("end") - F.col("value_start")).cast("int"))
+    return found.select("row.event_id", path.alias("path"), F.replace(value, F.lit(" "), F.lit("")).alias("value"))
+
+
+RESOURCES = '{"resources": [{"type": "%s", "name": "e%s", "identity": {"type": "u%s"}, "resources": [{"type": "props", "resources": [%s]}, 5]}, "no", {"name": "last"}]}'
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT event_id, printf('{RESOURCES}', event_type, event_id::VARCHAR, user_id::VARCHAR, props) AS j FROM events),
+r AS (SELECT event_id, 0 AS depth, unnest(json_extract(j, '$.resources[*]')) AS v FROM t
+ UNION ALL SELECT event_id, depth + 1, unnest(json_extract(v, '$.resources[*]')) FROM r WHERE json_type(v) = 'OBJECT' AND depth < 20)
+SELECT event_id, depth, json_extract_string(v, '$.type') AS type, json_extract_string(v, '$.name') AS name, json_extract_string(v, '$.identity.type') AS identity_type FROM r WHERE json_type(v) = 'OBJECT'""")
+def nested_resources(spark, sf):
+    text = F.format_string(RESOURCES, F.col("event_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("props"))
+    found = configuration.resources(table(spark, sf, "events").select("event_id", text.alias("j")), "event_id", "j")
+    return found.where("reason is null").select("event_id", "depth", "type", "name", "identity_type")
+
+
+#: Every text is cut as the index cuts it, and every chunk is searched.
+@query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 8000)) AS s FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, s, string_split(substr(text, s + 1, 8200), 'the ') AS parts FROM c),
+h AS (SELECT doc_id, s, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * 4)) AS pos FROM p WHERE len(parts) > 1)
+SELECT doc_id::VARCHAR AS file, (s + pos)::BIGINT AS "start", (s + pos + 4)::BIGINT AS "end" FROM h WHERE pos < 8000""")
+def indexed_search(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    chunks = cut(search_index.chunked(rows, "file", "text"))
+    return search_index.search_all(chunks, cut(search_index.postings(chunks)), "the ")
+
+
 @query("SELECT d.doc_id AS path FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality <> 1")
 def index_gaps(spark, sf):
     contexts = table(spark, sf, "labels").select(F.col("doc_id").alias("file"), F.when(F.col("quality") == 1, "indexed").otherwise("partial").alias("capability"))
