@@ -9,11 +9,8 @@ import json
 import operator
 from collections.abc import Iterator, Sequence
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.paths import ancestors, directory
@@ -21,8 +18,8 @@ from ..session import cut
 
 #: The bytes of a page, the length of a cursor.
 PAGE_BYTES, CURSOR_CHARS = 96 * 1024, 4096
-#: Digests of a piece of a group.
-DIGESTS = 4096
+#: Digests that a node of a digest tree has below it, and the bits of a key's hash that a level of an inventory's tree tells apart.
+FAN, NIBBLE = 64, 4
 
 
 def span_join(left: DataFrame, right: DataFrame, key: str, how: str = "contains", bucket: int | None = None, kind: str = "inner") -> DataFrame:
@@ -83,6 +80,35 @@ def drift(expected: DataFrame, found: DataFrame, key: str = "path", digest: str
     return e.join(f, key, "full").select(key, kind.alias("problem")).where("problem is not null")
 
 
+def digest_tree(rows: DataFrame, key: str, digest: str, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of an inventory of unique keys. leaves: its rows with `leaf`, the first `levels` hex digits of the key's SHA-256, which deal them evenly; nodes: level, prefix, digest, each over its 16
+    children, level 0 the root. A leaf's digest is over its rows in order: take so many levels that 16 ** levels leaves have few rows each."""
+    leaves = rows.withColumn("leaf", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, levels))
+    pair = F.concat_ws("\x1f", F.col(key).cast("string"), F.coalesce(F.col(digest), F.lit("\x1e")))
+    joined = lambda child: F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("digest")
+    level = leaves.groupBy(F.col("leaf").alias("prefix")).agg(joined(pair))
+    nodes = level.select(F.lit(levels).alias("level"), "prefix", "digest")
+    for depth in reversed(range(levels)):
+        level = level.groupBy(F.substring("prefix", 1, depth).alias("prefix")).agg(joined(F.concat_ws(":", "prefix", "digest")))
+        nodes = nodes.unionByName(level.select(F.lit(depth).alias("level"), "prefix", "digest"))
+    return nodes, leaves
+
+
+def tree_drift(expected: tuple[DataFrame, DataFrame], found: tuple[DataFrame, DataFrame], key: str, digest: str) -> DataFrame:
+    """What drift() says of two inventories with digest trees of as many levels, from the roots down: of each level only the children of nodes that differ are compared, and only rows of leaves that
+    differ are read. Where the trees are stored by level, and leaves in order, the rest isn't touched."""
+    (a, a_rows), (b, b_rows) = expected, found
+    levels = a.agg(F.max("level")).first()[0] or 0
+    differ = None
+    for depth in range(levels + 1):
+        x, y = (t.where(F.col("level") == depth).select("prefix", F.col("digest").alias(n)) for t, n in ((a, "x"), (b, "y")))
+        if differ is not None:
+            x, y = (t.join(differ, F.substring(t.prefix, 1, depth - 1) == F.col("_up"), "left_semi") for t in (x, y))
+        differ = cut(x.join(y, "prefix", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("prefix").alias("_up")))
+    some = lambda rows: rows.join(differ, F.col("leaf") == F.col("_up"), "left_semi")
+    return drift(some(a_rows), some(b_rows), key, digest)
+
+
 def reuse(files: DataFrame, before: DataFrame, key: str = "path", digest: str = "hash") -> DataFrame:
     """files with whether the generation before has the same content under the same path."""
     old = before.select(F.col(key).alias("_k"), F.col(digest).alias("_d")).distinct()
@@ -104,55 +130,29 @@ def intact(stored: DataFrame) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, by: Sequence[str], parts: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """A fingerprint of the rows of each group: the SHA-256 of their own digests, in order. Rows are hashed and sorted in ranges, which split
-    groups, too; a group's digests then go through one task in pieces of DIGESTS, and none is held longer than it takes to hash it."""
+    """A fingerprint of the rows of each group, in order: the root of a tree of SHA-256 over fixed ranges. Rows are hashed and ranked by range-partitioned sorts; FAN neighbours' digests at a time
+    are joined and hashed, level upon level, until a group has one. No task has more than FAN digests of a node at once, however many rows a group has. Without groups
+    an empty table has the digest of nothing."""
     own = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in parts]), 256)
-    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(groups)]
-    order = [f"_g{i}" for i in range(len(groups))] + [f"_b{i}" for i in range(len(by))]
-    hashed = rows.select(*keys, *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], own.alias("_d"))
-    ranged = hashed.repartitionByRange(*order, "_d").sortWithinPartitions(*order, "_d")
-    fields = [f for f in ranged.schema.fields if f.name.startswith("_g")]
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        range_, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            names = [c.to_pylist() for c in batch.columns[: len(groups)]]
-            digests = batch.column(batch.num_columns - 1).to_pylist()
-            begin = 0
-            for i in range(1, len(digests) + 1):
-                if i == len(digests) or i - begin >= DIGESTS or any(n[i] != n[begin] for n in names):
-                    piece = pa.array(["".join(d or "" for d in digests[begin:i])])
-                    columns = [c.slice(begin, 1) for c in batch.columns[: len(groups)]]
-                    yield pa.record_batch([*columns, pa.array([range_], pa.int32()), pa.array([at], pa.int64()), piece], names=out_names)
-                    begin, at = i, at + 1
-
-    out_names = [*(f.name for f in fields), "_range", "_at", "_piece"]
-    kinds = [StructField("_range", IntegerType()), StructField("_at", LongType()), StructField("_piece", StringType())]
-    cut = ranged.mapInArrow(pieces, StructType([*fields, *kinds]))
-    dealt = cut.repartition(*[f.name for f in fields]) if groups else cut.repartition(1)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([*first, pa.array([state.hexdigest()])], names=[*(f.name for f in fields), "fingerprint"])
-
-        now, first, state = None, [], None
-        for batch in batches:
-            names = [c.to_pylist() for c in batch.columns[: len(groups)]]
-            for i, piece in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                key = tuple(n[i] for n in names)
-                if state is None or key != now:
-                    if state is not None:
-                        yield out()
-                    now, first, state = key, [c.slice(i, 1) for c in batch.columns[: len(groups)]], hashlib.sha256()
-                state.update(piece.encode())
-        if state is not None:
-            yield out()
-        elif not groups:
-            first, state = [], hashlib.sha256()
-            yield out()
-
-    done = dealt.sortWithinPartitions(*[f.name for f in fields], "_range", "_at").mapInArrow(digest, StructType([*fields, StructField("fingerprint", StringType())]))
-    return done.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(groups)], "fingerprint")
+    keys = [f"_g{i}" for i in range(len(groups))]
+    order = [f"_b{i}" for i in range(len(by))] + ["_d"]
+    hashed = rows.select(*[F.col(c).alias(k) for c, k in zip(groups, keys, strict=True)], *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], own.alias("_d"))
+    total = [F.col(c).asc() for c in order]
+    ranked = grouped_rank(hashed, keys, total, "_at") if keys else global_rank(hashed, total, "_at")
+    level = ranked.select(*keys, (F.col("_at") - 1).alias("_at"), "_d")
+    done = None
+    while done is None or not level.isEmpty():
+        nodes = level.groupBy(*keys, F.floor(F.col("_at") / FAN).alias("_at")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_d"))), lambda x: x["_d"]), "").alias("_j"))
+        nodes = nodes.select(*keys, "_at", F.sha2("_j", 256).alias("_d"))
+        sizes = nodes.groupBy(*[F.col(k).alias(f"_s{k}") for k in keys]).agg(F.max("_at").alias("_last"))
+        marked = cut(nodes.join(sizes, [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]) if keys else nodes.withColumn("_last", sizes.select("_last").scalar()))
+        root = marked.where("_last = 0").select(*keys, F.col("_d").alias("fingerprint"))
+        done = root if done is None else done.unionByName(root)
+        level = marked.where("_last > 0").drop("_last")
+    named = done.select(*[F.col(k).alias(c) for c, k in zip(groups, keys, strict=True)], "fingerprint")
+    if not groups and named.isEmpty():
+        return named.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("fingerprint"))
+    return named
 
 
 class StaleCursor(ValueError):
@@ -208,6 +208,35 @@ def pages(rows: DataFrame, key: str, limit: int, columns: Sequence[str], ahead:
             yield list(zip(*(c[begin:end] for c in cells), strict=True))
 
 
+#: The most files and rows that a page with work caps examines.
+PAGE_FILES, PAGE_EXAMINED = 10, 500
+
+
+def capped_page(files: DataFrame, calls: DataFrame, match: Column, after: tuple[str, int] | None, limit: int, most_files: int = PAGE_FILES, most_examined: int = PAGE_EXAMINED) -> DataFrame:
+    """The calls (file, ordinal) that a page examines, in order after a place, with `hit` (match) and on every row what the page says: next_file, next_ordinal (where the next begins after), exhausted, examined.
+
+    A page ends at its `limit`-th hit, its `most_examined`-th call or its `most_files`-th file (file), whichever is first; files without calls count. A page that examines no call but
+    isn't at the end has one row, whose ordinal is null. Top-k's of files and calls: nothing is sorted whole.
+    """
+    from_file, from_ordinal = after or ("", -1)
+    near = files.where(F.col("file") >= F.lit(from_file)).select("file").orderBy("file").limit(most_files + 1)
+    near = near.withColumn("_rank", F.row_number().over(Window.orderBy("file")))
+    some = near.where(F.col("_rank") <= most_files)
+    later = (F.col("file") > F.lit(from_file)) | (F.col("ordinal") > F.lit(from_ordinal))
+    ahead = calls.where(later & (F.col("file") >= F.lit(from_file))).join(F.broadcast(some.select("file")), "file").withColumn("hit", F.coalesce(match, F.lit(False)))
+    ahead = ahead.orderBy("file", "ordinal").limit(most_examined + 1)
+    order = Window.orderBy("file", "ordinal")
+    before = F.coalesce(F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = ahead.withColumn("_in", (F.row_number().over(order) <= most_examined) & (before < limit))
+    stops = ahead.agg(F.coalesce(F.bool_or(~F.col("_in")), F.lit(False)).alias("_capped"), F.max(F.when(F.col("_in"), F.struct("file", "ordinal"))).alias("_last"), F.count_if("_in").alias("examined"))
+    # after its last file a page stands behind all that the file has
+    stops = stops.withColumn("_file", some.agg(F.max("file").alias("f")).select("f").scalar()).withColumn("_more", near.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() > most_files)
+    end = F.when(F.col("_capped"), F.col("_last")).otherwise(F.struct(F.col("_file").alias("file"), F.lit((1 << 31) - 1).alias("ordinal")))
+    stops = stops.select("examined", (~F.col("_capped") & ~F.col("_more")).alias("exhausted"), end["file"].alias("next_file"), end["ordinal"].cast("int").alias("next_ordinal"))
+    shown = ahead.where("_in").drop("_in")
+    return stops.join(shown, F.lit(True), "left").select(*shown.columns, "next_file", "next_ordinal", "exhausted", "examined")
+
+
 #: The low bits of monotonically_increasing_id: a row's place in its partition.
 PLACE = 33
 

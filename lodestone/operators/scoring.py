@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,11 @@ def rank(summaries: DataFrame, id_col: str) -> DataFrame:
     return global_rank(global_rank(summaries, by_relevance, "relevance_rank"), by_review, "review_rank")
 
 
-def classify(long: DataFrame, id_col: str) -> DataFrame:
-    """A row an id: the questions answered present and unclear, and the guard behaviour or null."""
-    listed = lambda label: F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("choice") == label, F.col("question")))))
+def classify(long: DataFrame, id_col: str, rubric: Sequence[str] = ()) -> DataFrame:
+    """A row an id: the questions answered present and unclear, in the rubric's order, others after them by name, and the guard behaviour or null."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(q) for q in rubric]).cast("array<string>"), F.col("question")), F.lit(0)), F.lit(len(rubric) + 1))
+    of = lambda label: F.array_sort(F.collect_list(F.when(F.col("choice") == label, F.struct(order.alias("at"), F.col("question").alias("q")))))
+    listed = lambda label: F.concat_ws(",", F.transform(of(label), lambda x: x["q"]))
     return long.groupBy(id_col).agg(
         listed("present").alias("present_categories"),
         listed("unclear").alias("unclear_categories"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lifecycle import INCONCLUSIVE
+
 
 def counts(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
@@ -42,6 +44,8 @@ def coverage_summary(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     if (results := t("task_results")) and tasks:
         done = results.join(tasks.where("state = 'completed'").select(F.col("id").alias("task_id")), "task_id")
         out["dispositions"], out["operation_groups"] = counts(done, "disposition"), operation_groups(done, "operation_key")
+        uncertain = done.agg(F.count_if(F.col("disposition").isin(*INCONCLUSIVE)).alias("n"))
+        out["execution"] = out["execution"].withColumn("unresolved_completed", uncertain.select("n").scalar())
     if followups := t("followups"):
         out["followups"] = counts(followups, "state")
     if subjects := t("subjects"):

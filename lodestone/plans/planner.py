@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical
 from ..operators.relations import grouped_rank
+from ..session import cut
 
 # Fixed values: (theme, any of these questions, and any of these if there are some).
 RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
@@ -105,13 +106,16 @@ def declared_use(contexts: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def diversify(rows: DataFrame) -> DataFrame:
-    """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority."""
+    """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority. Candidates are worked out once; only what
+    ranks need is sorted, and joined back by row."""
+    numbered = cut(rows).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("priority").asc(), F.col("rank").asc(), F.col("id").asc()]
-    deferred = F.col("decision") == "deferred"
-    ranked = grouped_rank(grouped_rank(rows.where(deferred), ["file"], order, "_file"), ["theme"], order, "_theme")
-    later = F.col("priority") + (F.col("_file") - 1) * FILE_STEP + (F.col("_theme") - 1) * THEME_STEP
-    moved = ranked.withColumn("priority", later.cast("long")).select(*rows.columns)
-    return moved.unionByName(rows.where(~F.coalesce(deferred, F.lit(False))))
+    slim = numbered.where("decision = 'deferred'").select("_row", "file", "theme", "priority", "rank", "id")
+    of_file = grouped_rank(slim.drop("theme"), ["file"], order, "_file").select("_row", "_file")
+    of_theme = grouped_rank(slim.drop("file"), ["theme"], order, "_theme").select(F.col("_row").alias("_row2"), "_theme")
+    placed = numbered.join(of_file, "_row", "left").join(of_theme, F.col("_row") == F.col("_row2"), "left")
+    later = F.col("priority") + F.coalesce((F.col("_file") - 1) * FILE_STEP, F.lit(0)) + F.coalesce((F.col("_theme") - 1) * THEME_STEP, F.lit(0))
+    return placed.withColumn("priority", later.cast("long")).select(*rows.columns)
 
 
 def select_all(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from .functions import answers as A
 from .functions import paths as P
 from .functions import text as T
 from .operators import configuration, elements, markup, relations, scoring, search_index
-from .plans import coverage, lifecycle, planner
+from .plans import coverage, event_log, lifecycle, planner
 from .session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,6 +272,43 @@ def failure_breaker(spark, sf):
     return found.select("user_id", "run", "length")
 
 
+#: Each task's events one after the other, by recursion over their number.
+LOG_SQL = """WITH RECURSIVE e AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id AS pos, 'a' || event_id % 2 AS name,
+ CASE event_type WHEN 'click' THEN 'claimed' WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'expired' ELSE 'retried' END AS kind,
+ CASE event_id % 3 WHEN 0 THEN 'refuted_hypothesis' ELSE 'supported_candidate' END AS disposition FROM events),
+s AS (SELECT DISTINCT id, 0::BIGINT AS k, 'queued' AS state, 'localizer' AS role, NULL::VARCHAR AS attempt, NULL::BIGINT AS deadline, 0 AS l, 0 AS i, 0 AS c, 0 AS accepted FROM e
+ UNION ALL SELECT id, k, CASE WHEN claims THEN 'running' WHEN ends THEN 'completed' WHEN gives THEN 'queued' WHEN fails THEN 'failed' WHEN late OR again THEN 'queued' ELSE state END,
+  CASE WHEN gives AND NOT ends THEN CASE role WHEN 'localizer' THEN 'investigator' ELSE 'challenger' END ELSE role END,
+  CASE WHEN claims THEN name WHEN late OR again THEN NULL ELSE attempt END, CASE WHEN claims THEN pos + 400 WHEN gives OR fails OR late THEN NULL ELSE deadline END,
+  l + (claims AND role = 'localizer')::INT, i + (claims AND role = 'investigator')::INT, c + (claims AND role = 'challenger')::INT, accepted + (claims OR gives OR fails OR late OR again)::INT FROM (
+  SELECT *, own AND kind = 'result' AS gives, own AND kind = 'result' AND (role = 'challenger' OR disposition = 'refuted_hypothesis') AS ends, own AND kind = 'failed' AS fails, own AND kind = 'expired' AND deadline < pos AS late,
+   kind = 'claimed' AND state = 'queued' AS claims, kind = 'retried' AND state = 'failed' AND CASE role WHEN 'localizer' THEN l WHEN 'investigator' THEN i ELSE c END < 3 AS again
+  FROM (SELECT s.id, e.k, e.pos, e.name, e.kind, e.disposition, state, role, attempt, deadline, l, i, c, accepted, coalesce(state = 'running' AND attempt = e.name, false) AS own FROM s JOIN e ON s.id = e.id AND e.k = s.k + 1)))
+SELECT id, state, role, attempt, deadline, l + i + c AS attempts, accepted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS last FROM s) WHERE last = 1"""
+
+
+@query(LOG_SQL)
+def event_log_fold(spark, sf):
+    e = table(spark, sf, "events")
+    kinds = F.create_map(*[F.lit(x) for x in ("click", "claimed", "purchase", "result", "error", "failed", "view", "expired")])
+    log = e.select(
+        F.col("user_id").alias("task_id"), F.col("event_id").alias("sequence"), F.coalesce(kinds[F.col("event_type")], F.lit("retried")).alias("kind"), F.concat(F.lit("a"), (F.col("event_id") % 2).cast("string")).alias("attempt"),
+        F.col("event_id").alias("at"), (F.col("event_id") + 400).alias("deadline"), F.when(F.col("event_id") % 3 == 0, "refuted_hypothesis").otherwise("supported_candidate").alias("disposition"), F.lit("r").alias("result"), F.lit("e").alias("error"),
+    )
+    done = event_log.fold(e.select(F.col("user_id").alias("id")).distinct(), log)
+    accepted = F.size(F.filter("outcomes", lambda o: o["accepted"]))
+    return done.select("id", "state", "role", "attempt", "deadline", F.size("attempts").alias("attempts"), accepted.alias("accepted"))
+
+
+@query("""WITH d AS (SELECT o_orderstatus, CASE l_returnflag WHEN 'R' THEN 'needs_context' WHEN 'A' THEN 'budget_exhausted' ELSE 'supported_candidate' END AS disposition FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
+SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') AS outstanding, count(*) AS unresolved_completed FROM d WHERE disposition <> 'supported_candidate'""")
+def uncertain_results(spark, sf):
+    tasks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("queued").alias("state"))
+    said = F.when(F.col("l_returnflag") == "R", "needs_context").when(F.col("l_returnflag") == "A", "budget_exhausted").otherwise("supported_candidate")
+    results = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task_id"), said.alias("disposition"), F.lit("k").alias("operation_key"))
+    return coverage.coverage_summary({"tasks": tasks, "task_results": results})["execution"].select("outstanding", "unresolved_completed")
+
+
 @query("""WITH n AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1), t AS (SELECT DISTINCT user_id AS id FROM events)
 SELECT t.id, CASE WHEN coalesce(n, 0) < 3 THEN 'queued' ELSE 'failed' END AS state FROM t LEFT JOIN n USING (id)""")
 def retry_failed(spark, sf):
@@ -288,6 +325,19 @@ def keyset_page(spark, sf):
     return relations.keyset_page(calls, "id", 1000, 20, F.lit(6000))  # 16 rows of these fit the budget
 
 
+#: All files and calls are numbered; the page's are told by their numbers.
+@query("""WITH f AS (SELECT o_orderkey AS file, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey >= 7),
+c AS (SELECT l_orderkey AS file, l_linenumber AS ordinal, l_returnflag = 'R' AS hit FROM lineitem JOIN f ON l_orderkey = file WHERE n <= 10 AND (l_orderkey > 7 OR l_linenumber > 1)),
+w AS (SELECT *, row_number() OVER (ORDER BY file, ordinal) <= 500 AND coalesce(sum(hit::INT) OVER (ORDER BY file, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 6 AS inside FROM c),
+s AS (SELECT count(*) FILTER (WHERE inside) AS examined, count(*) FILTER (WHERE NOT inside) > 0 AS capped, max((file, ordinal)) FILTER (WHERE inside) AS last FROM w)
+SELECT file, ordinal, hit, (CASE WHEN capped THEN last[1] ELSE (SELECT max(file) FROM f WHERE n <= 10) END)::BIGINT AS next_file, (CASE WHEN capped THEN last[2] ELSE 2147483647 END)::INTEGER AS next_ordinal,
+ NOT capped AND (SELECT count(*) FROM f) <= 10 AS exhausted, examined FROM s LEFT JOIN (SELECT * FROM w WHERE inside) ON true""")
+def work_capped_page(spark, sf):
+    files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"))
+    calls = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ordinal"), "l_returnflag")
+    return relations.capped_page(files, calls, F.col("l_returnflag") == "R", (7, 1), 6).drop("l_returnflag")
+
+
 LINES_SQL = """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 l AS (SELECT doc_id, line, t, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1)::BIGINT AS s FROM p), lines AS (SELECT doc_id, line, t, s AS "start", s + length(t) AS "end" FROM l)"""
 
@@ -370,13 +420,29 @@ def inventory_drift(spark, sf):
     return relations.drift(a, b, "doc_id")
 
 
+@query("""WITH a AS (SELECT doc_id, sha256(text) AS x FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN sha256(upper(text) || '.') ELSE sha256(text) END AS y FROM documents WHERE doc_id % 11 <> 2)
+SELECT doc_id, CASE WHEN y IS NULL THEN 'missing' WHEN x IS NULL THEN 'unexpected' ELSE 'changed' END AS problem FROM a FULL JOIN b USING (doc_id) WHERE x IS DISTINCT FROM y""")
+def tree_difference(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    a = d.where("doc_id % 10 != 3").select("doc_id", F.sha2("text", 256).alias("hash"))
+    b = d.where("doc_id % 11 != 2").select("doc_id", F.sha2(F.when(F.col("doc_id") % 8 == 0, F.concat(F.upper("text"), F.lit("."))).otherwise(F.col("text")), 256).alias("hash"))
+    trees = [relations.digest_tree(cut(x), "doc_id", "hash") for x in (a, b)]
+    return relations.tree_drift(*[(cut(nodes), leaves) for nodes, leaves in trees], "doc_id", "hash")
+
+
 @query("SELECT sha256(text) AS digest, any_value(length(text)) AS n_chars FROM documents GROUP BY 1")
 def artifact_dedupe(spark, sf):
     stored = relations.artifacts(table(spark, sf, "documents"), "text")
     return relations.intact(stored).select("digest", F.length("json").cast("long").alias("n_chars"))
 
 
-@query("""SELECT source, sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint FROM (SELECT source, doc_id, sha256(doc_id || chr(31) || sha256(text)) AS h FROM documents) GROUP BY 1""")
+#: The tree of digests, 64 at a time; a group that has one node left keeps it.
+TREE_SQL = "WITH l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, sha256(doc_id || chr(31) || sha256(text)) AS h FROM documents), l1 AS (SELECT source, k // 64 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l0 GROUP BY ALL)"
+for _level in range(2, 6):
+    TREE_SQL += f", l{_level} AS (SELECT source, k // 64 AS k, CASE WHEN max(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY x.k)) END AS h FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM l{_level - 1}) AS x GROUP BY source, x.k // 64)"
+
+
+@query(f"{TREE_SQL} SELECT source, h AS fingerprint FROM l5")
 def ordered_fingerprint(spark, sf):
     rows = table(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("hash"))
     return relations.ordered_digest(rows, ["doc_id"], ["doc_id", "hash"], ["source"])

@@ -228,19 +228,41 @@ def test_streams(spark, tmp_path):
     assert sorted(r.events for r in queue.active_time(batch, "user", "time", "1 minute").collect()) == [1, 2]
 
 
-def test_ordered_digest_gathers_no_group(spark):
-    """A group is spread over ranges and pieces, and never collected into an array."""
+def test_ordered_digest_is_a_tree(spark):
+    """A group is spread over ranges and nodes of FAN; the root is that of the same tree by loops."""
     import hashlib
 
     from lodestone.operators import relations
 
-    rows = spark.range(20_000).selectExpr("if(id % 10 = 0, 'b', if(id % 10 = 1, null, 'a')) AS g", "id", "concat('t', id) AS t").repartition(5, "id")
-    done = relations.ordered_digest(rows, ["id"], ["id", "t"], ["g"])
-    assert "collect_list" not in done._jdf.queryExecution().toString()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = spark.range(20_000).selectExpr("if(id % 10 = 0, 'b', if(id % 10 = 1, null, if(id = 2, 'one', 'a'))) AS g", "id", "concat('t', id) AS t").repartition(5, "id")
+
+    def root(level):
+        while True:
+            level = [sha("".join(level[i : i + relations.FAN])) for i in range(0, len(level), relations.FAN)]
+            if len(level) == 1:
+                return level[0]
+
     want = {}
     for i in range(20_000):
-        want.setdefault({0: "b", 1: None}.get(i % 10, "a"), hashlib.sha256()).update(hashlib.sha256(f"{i}\x1ft{i}".encode()).hexdigest().encode())
-    assert {r.g: r.fingerprint for r in done.collect()} == {k: v.hexdigest() for k, v in want.items()} and done.count() == 3
+        want.setdefault({0: "b", 1: None}.get(i % 10, "one" if i == 2 else "a"), []).append(sha(f"{i}\x1ft{i}"))
+    done = relations.ordered_digest(rows, ["id"], ["id", "t"], ["g"])
+    assert {r.g: r.fingerprint for r in done.collect()} == {k: root(v) for k, v in want.items()} and done.count() == 4
+    assert relations.ordered_digest(rows.limit(0), ["id"], ["id"], ["g"]).count() == 0
+    whole = [sha(f"{i}") for i in range(20_000)]
+    assert [tuple(r) for r in relations.ordered_digest(rows, ["id"], ["id"]).collect()] == [(root(whole),)]
+    assert [tuple(r) for r in relations.ordered_digest(rows.limit(0), ["id"], ["id"]).collect()] == [(sha(""),)]
+
+
+def test_tree_difference_reads_only_what_differs(spark):
+    a = spark.range(3000).selectExpr("concat('f', id) AS path", "sha2(cast(id AS string), 256) AS hash")
+    b = a.where("path not in ('f7', 'f8')").selectExpr("path", "if(path = 'f9', 'x', hash) AS hash").union(spark.createDataFrame([("new", "h"), ("nul", None)], "path string, hash string"))
+    trees = [relations.digest_tree(x, "path", "hash", levels=2) for x in (a, b)]
+    got = sorted(map(tuple, relations.tree_drift(*trees, "path", "hash").collect()))
+    assert got == sorted(map(tuple, relations.drift(a, b).collect())) == [("f7", "missing"), ("f8", "missing"), ("f9", "changed"), ("new", "unexpected"), ("nul", "unexpected")]
+    same = relations.tree_drift(trees[0], relations.digest_tree(a.repartition(5), "path", "hash", levels=2), "path", "hash")
+    assert same.count() == 0
+    assert trees[0][0].where("level = 0").count() == 1 and trees[0][0].where("level = 2").count() <= 256
 
 
 def test_ranks_need_no_single_task(spark):
