@@ -95,6 +95,112 @@ def deeper(done: Column, x: Column) -> Column:
     now = done["now"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
     return F.struct(now.alias("now"), F.greatest(done["most"], now).alias("most"))
 
+#: A line of a map or list: indentation, dashes, a key, what parts it from its value, a value in quotes or plain, spaces, a comment. Other lines can't be read.
+YAML_PLAIN = r"(?:[^\s\"'\[\]{}#&*!|>%@`,?:-]|[-?:](?=[^\s]))(?:[^\s#:]++|(?<=\S)#|:(?=\S)| ++(?=[^\s#]))*+"
+YAML_QUOTED = r"\"(?:[^\"\\]++|\\.)*+\"|'(?:[^']++|'')*+'"
+YAML_KEY = rf"{YAML_QUOTED}|{YAML_PLAIN}"
+YAML_VALUE = rf"{YAML_QUOTED}|{YAML_PLAIN}"
+YAML_LINE = rf"^( *)((?:-(?: +|(?=\r?$)))*)(?:({YAML_KEY})( *):(?=[ \r]|$))?( *)({YAML_VALUE})?( *)((?<![^ ])#[^\r]*)?\r?$"
+#: Columns beyond this one are too deep, and longer lines too long to be read.
+MOST_COLUMN, MOST_LINE = 200, 8000
+
+
+def yaml_masked(yaml: Column) -> Column:
+    """yaml with its comments as spaces; offsets stay. Lines that can't be read stay as they are."""
+    comment = lambda line: F.regexp_extract(line, YAML_LINE, 8)
+
+    def masked_line(line: Column) -> Column:
+        end = F.when(line.endswith("\r"), F.lit("\r")).otherwise(F.lit(""))
+        n = F.length(comment(line))
+        kept = F.substring(line, F.lit(1), F.length(line) - n - F.length(end))
+        return F.when(n > 0, F.concat(kept, F.repeat(F.lit(" "), n), end)).otherwise(line)
+
+    return F.array_join(F.transform(F.split(yaml, "\n", -1), masked_line), "\n")
+
+
+def yaml_entries(rows: DataFrame, keep: list[str], yaml: Column) -> DataFrame:
+    """keep, _row, _at (line and place), level (twice the column, one more for a list's item), item, key and value spans, bad: a row for every dash and key of a text's lines, and for scalars alone."""
+    texts = rows.select(*keep, F.coalesce(yaml, F.lit("")).alias("_yaml")).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
+    each = texts.select(*keep, "_row", F.posexplode(F.split("_yaml", "\n", -1)).alias("line", "t"))
+    own = Window.partitionBy("_row").orderBy("line")
+    each = each.withColumn("_from", F.sum(F.length("t").cast("long") + 1).over(own) - F.length("t") - 1)
+    part = lambda i: F.regexp_extract("t", YAML_LINE, i)
+    marker = F.col("t").rlike(r"^---\s*$")
+    seen = F.coalesce(F.sum((~F.col("t").rlike(r"^\s*(#.*)?$")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("_skip", F.col("t").rlike(r"^\s*(#.*)?$") | (marker & (seen == 0)))
+    each = each.where("not _skip").withColumn("bad", (F.length("t") > MOST_LINE) | ~F.col("t").rlike(YAML_LINE) | (F.length(part(1)) + F.length(part(2)) > MOST_COLUMN))
+    names = ["indent", "dashes", "name", "gap", "space", "value"]
+    each = each.select("*", *[F.when(~F.col("bad"), part(i)).otherwise("").alias(n) for i, n in enumerate(names, 1)])
+    body = F.length("indent") + F.length("dashes")
+    has_key = F.col("name") != ""
+    value_at = body + F.when(has_key, F.length("name") + F.length("gap") + 1).otherwise(0) + F.length("space")
+    # the columns of a line's dashes
+    columns = F.filter(F.transform(F.split("dashes", ""), lambda c, i: F.when(c == "-", i + F.length("indent"))), lambda c: c.isNotNull())
+    entry = lambda column, item, name, value: F.struct(column.cast("int").alias("column"), F.lit(item).alias("item"), name.alias("named"), value.alias("valued"))
+    last = F.size(columns) - 1
+    scalar = (F.col("value") != "") & ~has_key
+    items = F.transform(columns, lambda c, i: entry(c, True, F.lit(False), scalar & (i == last)))
+    keys = F.when(has_key, F.array(entry(body, False, F.lit(True), F.col("value") != ""))).when(scalar & (F.size(columns) == 0), F.array(entry(body, False, F.lit(False), F.lit(True))))
+    listed = F.when(F.col("bad"), F.array(entry(F.lit(0), False, F.lit(False), F.lit(False)))).otherwise(F.concat(items, F.coalesce(keys, F.array().cast("array<struct<column:int,item:boolean,named:boolean,valued:boolean>>"))))
+    out = each.select(*keep, "_row", "line", "_from", "bad", body.alias("_body"), value_at.alias("_value_at"), "name", "value", F.posexplode(listed).alias("k", "e"))
+    span = lambda cond, at, n: (F.when(cond, F.col("_from") + at), F.when(cond, F.col("_from") + at + n))
+    key_start, key_end = span(F.col("e.named"), F.col("_body"), F.length("name"))
+    value_start, value_end = span(F.col("e.valued"), F.col("_value_at"), F.length("value"))
+    level = 2 * F.col("e.column") + F.col("e.item").cast("int")
+    at = F.col("line").cast("long") * (MOST_COLUMN + 1) + F.col("k")
+    return out.select(*keep, "_row", at.alias("_at"), level.alias("level"), F.col("e.item").alias("item"), "bad", (F.col("_from") + F.col("e.column")).alias("start"), key_start.alias("key_start"), key_end.alias("key_end"), value_start.alias("value_start"), value_end.alias("value_end"), "name")
+
+
+def yaml_placed(entries: DataFrame) -> DataFrame:
+    """entries with parent (_at; null at the top) and wrong: the nearest entry above with less indentation, and whether a text can be read whole: its lines are known, entries of one parent are all
+    keys or all items in one column, keys differ, and nothing has both a scalar and entries."""
+    by = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    levels = sorted(r[0] for r in entries.select("level").distinct().collect())  # at most twice MOST_COLUMN
+    above = [F.last(F.when(F.col("level") == n, F.col("_at")), ignorenulls=True).over(by).alias(f"_l{n}") for n in levels]
+    held = entries.select("*", *above)
+    parent = F.lit(None).cast("long")
+    if levels:
+        parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"_l{n}")) for n in levels]))
+    held = held.withColumn("parent", parent).drop(*[f"_l{n}" for n in levels])
+    siblings = Window.partitionBy("_row", "parent")
+    mixed = (F.min("level").over(siblings) != F.max("level").over(siblings)) | (~F.col("item") & F.col("key_start").isNull() & (F.count(F.lit(1)).over(siblings) > 1))
+    named = F.when(F.col("key_start").isNotNull(), F.regexp_replace("name", r"^[\"']|[\"']$", ""))
+    twice = named.isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy("_row", "parent", named)) > 1)
+    # an entry is before its children, so a child that follows at once has it as parent
+    own_scalar = F.last(F.when(F.col("value_start").isNotNull(), F.col("_at")), ignorenulls=True).over(by)
+    both = F.coalesce(own_scalar == F.col("parent"), F.lit(False))
+    wrong = F.max((F.col("bad") | mixed | twice | both).cast("int")).over(Window.partitionBy("_row")) == 1
+    return held.withColumn("wrong", wrong)
+
+
+def yaml_nodes(rows: DataFrame, id_col: str, yaml_col: str) -> DataFrame:
+    """id, start, end, container of the nodes of YAML texts made of block maps, block lists, plain and quoted scalars of a line, and comments: map and sequence from their first entry to the end of the last value in them,
+    scalar for keys and values.
+
+    Texts with anything else (flow collections, anchors, aliases, tags, block scalars, several documents, tabs), with repeated keys or uneven indentation have no nodes, see `yaml_reasons`; so null and empty ones. Rows that share an id are texts
+    of their own.
+    """
+    good = yaml_placed(yaml_entries(rows, [id_col], F.col(yaml_col))).where("not wrong")
+    scalars = good.select(id_col, F.explode(F.array(F.struct(F.col("key_start").alias("start"), F.col("key_end").alias("end")), F.struct(F.col("value_start").alias("start"), F.col("value_end").alias("end")))).alias("s"))
+    scalars = scalars.select(id_col, "s.start", "s.end", F.lit("scalar").alias("container")).where("start is not null")
+    # a collection ends with the last thing before the next entry that is less indented
+    by = Window.partitionBy("_row").orderBy("_at")
+    own_end = F.greatest(F.coalesce("value_end", F.lit(-1)), F.coalesce(F.col("key_end") + 1, F.lit(-1)), F.when(F.col("item"), F.col("start") + 1).otherwise(-1))
+    ended = good.withColumn("_end", own_end).withColumn("_before", F.lag("_end").over(by)).withColumn("_last", F.last("_end").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    levels = sorted(r[0] for r in good.select("level").distinct().collect())
+    after = by.rowsBetween(1, Window.unboundedFollowing)
+    stop = F.lit(None).cast("long")
+    for n in levels:
+        stop = F.when(F.col("level") == n, F.first(F.when(F.col("level") < n, F.col("_before")), ignorenulls=True).over(after)).otherwise(stop)
+    heads = ended.withColumn("_stop", stop).withColumn("_n", F.row_number().over(Window.partitionBy("_row", "parent").orderBy("_at"))).where("_n = 1 and (item or key_start is not null)")
+    return scalars.unionByName(heads.select(id_col, "start", F.coalesce("_stop", "_last").alias("end"), F.when(F.col("item"), "sequence").otherwise("map").alias("container")))
+
+
+def yaml_reasons(rows: DataFrame, id_col: str, yaml_col: str) -> DataFrame:
+    """id, reason of the YAML texts that `yaml_nodes` can't read."""
+    wrong = yaml_placed(yaml_entries(rows, [id_col], F.col(yaml_col))).where("wrong").select(id_col, "_row").distinct()
+    return wrong.select(id_col, F.lit(YAML_ERROR).alias("reason"))
+
 
 def configuration_subjects(rows: DataFrame, path_col: str, text_col: str) -> DataFrame:
     """path, start, end, kind: a file that isn't empty is a subject as a whole, a dependency manifest by its name or a configuration."""

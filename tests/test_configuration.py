@@ -179,3 +179,124 @@ def test_resources_equal_descent(spark):
 def test_long_texts_are_linear(spark, n):
     text = json.dumps({f"k{i}": "v\\\"" * 3 for i in range(n)})
     assert C.json_properties(frame(spark, [text]), "id", "t").count() == n
+
+
+def plain_yaml(text):
+    """(start, end, container) by recursive descent over lines, None where a text can't be read. The plain scalars that the tests use are words."""
+    import re
+
+    entries, at, first = [], 0, True
+    for line in text.split("\n"):
+        body = line.rstrip("\r")
+        code = re.sub(r"(^|(?<= ))#.*$", "", body) if "'" not in body and '"' not in body else body
+        code = code.rstrip(" ")
+        if code.strip() and not (code == "---" and first):
+            first = False
+            col = len(code) - len(code.lstrip(" "))
+            items = []
+            while code[col:] == "-" or code[col : col + 2] == "- ":
+                items.append(col)
+                col += 1
+                while col < len(code) and code[col] == " ":
+                    col += 1
+            rest = code[col:]
+            m = re.fullmatch(r"([\w.-]+|\"[^\"]*\"|'[^']*')( *):(?: +(.*))?", rest)
+            key, value = (m[1], m[3]) if m else (None, rest or None)
+            if value is not None and value != "" and not re.fullmatch(r"[\w./:-]+(?: +[\w./]+)*|\"[^\"]*\"|'[^']*'", value):
+                return None
+            for c in items:
+                entries.append([2 * c + 1, at + c, None, None, None])
+            if key:
+                start = at + col + len(rest) - len(value) if value else None
+                entries.append([2 * col, at + col, (at + col, at + col + len(key)), (start, start + len(value)) if value else None, key.strip("\"'")])
+            elif value:
+                if items:
+                    entries[-1][3] = (at + col, at + col + len(value))
+                else:
+                    entries.append([2 * col, at + col, None, (at + col, at + col + len(value)), None])
+        at += len(line) + 1
+    out = []
+
+    def end_of(e):
+        return max(e[3][1] if e[3] else -1, e[2][1] + 1 if e[2] else -1, e[1] + 1 if e[0] % 2 else -1)
+
+    def collection(i, above):
+        """The entries from i on that are deeper than above; where they end."""
+        level, names, begin, n = entries[i][0], set(), i, 0
+        while i < len(entries) and entries[i][0] > above:
+            e = entries[i]
+            if e[0] != level or (e[4] is not None and e[4] in names):
+                raise ValueError
+            names.add(e[4])
+            n += 1
+            if e[2]:
+                out.append((*e[2], "scalar"))
+            if e[3]:
+                out.append((*e[3], "scalar"))
+            i += 1
+            if i < len(entries) and entries[i][0] > level:
+                if e[3]:
+                    raise ValueError
+                i = collection(i, level)
+        alone = entries[begin][0] % 2 == 0 and entries[begin][2] is None
+        if alone and n > 1 or any(x[0] == level and x[0] % 2 == 0 and x[2] is None for x in entries[begin:i]) and n > 1:
+            raise ValueError
+        if not alone:
+            out.append((entries[begin][1], end_of(entries[i - 1]), "sequence" if level % 2 else "map"))
+        return i
+
+    try:
+        if entries and collection(0, -1) != len(entries):
+            return None
+    except ValueError:
+        return None
+    return sorted(out)
+
+
+YAML = [
+    "limits:\n  attempts: 3 # hint\n",
+    "a: 1\nb:\n- x\n- y: 2\n  z: 3\n- - p\n  - q\nc: 'it # no'\n",
+    "---\n# top\nname: \"q: r\"\nurl: http://x/y\nlist:\n  - one\n  # between\n  - two # c\r\n  -\n    deep: yes\n",
+    "plain scalar", "", "# only\n", "a:\n    b: 1\n  c: 2\n", "a: 1\na: 2\n", "a: [1, 2]\n", "a: &x 1\nb: *x\n", "a: |\n  text\n", "a: 1\n  b: 2\n", "- a\nb: 1\n", "\ta: 1\n", "a: 1\n---\nb: 2\n", "x\ny\n", "k: \n  - - - v\n", "a:\nb:\n",
+]
+
+
+def some_yaml(r):
+    lines = []
+
+    def put(indent, depth):
+        kind = r.choice(["map", "list"])
+        for i in range(r.randint(1, 3)):
+            head = " " * indent + (f"k{i}:" if kind == "map" else "-")
+            if depth < 3 and r.random() < 0.4:
+                lines.append(head + r.choice(["", "  # note"]))
+                put(indent + r.choice([2, 4]), depth + 1)
+            else:
+                lines.append(head + r.choice([" v", " two words", " 'q'", "", " 1.5 # c"]))
+            if r.random() < 0.2:
+                lines.append(r.choice(["", "# c: d", "      # far"]))
+
+    put(0, 0)
+    return "\n".join(lines) + r.choice(["", "\n"])
+
+
+def test_yaml_equals_a_plain_parser(spark):
+    r = random.Random(6)
+    rows = YAML + [some_yaml(r) for _ in range(120)]
+    df = frame(spark, rows)
+    got = {i: [] for i in range(len(rows))}
+    for x in C.yaml_nodes(df, "id", "t").collect():
+        got[x.id].append((x.start, x.end, x.container))
+    wrong = {x.id for x in C.yaml_reasons(df, "id", "t").collect()}
+    for i, t in enumerate(rows):
+        want = plain_yaml(t)
+        assert (i in wrong) == (want is None), t
+        assert sorted(got[i]) == (want or []), t
+    assert sum(plain_yaml(t) is None for t in YAML) == 10
+
+
+def test_yaml_comments_are_masked(spark):
+    for x in frame(spark, YAML).select("t", C.yaml_masked(F.col("t")).alias("m")).collect():
+        assert len(x.m) == len(x.t) and all(a in (b, " ") for a, b in zip(x.m, x.t, strict=True))
+    clean = frame(spark, YAML[:3]).select("id", C.yaml_masked(F.col("t")).alias("m")).collect()
+    assert {x.id: x.m for x in clean} == {0: "limits:\n  attempts: 3       \n", 1: YAML[1], 2: YAML[2].replace("# top", "     ").replace("# between", "         ").replace("# c", "   ")}
