@@ -368,3 +368,44 @@ def damage_and_repair(conversations: DataFrame, key: str = "conv_id", turn: str
     not looked at."""
     done = repair(damaged(conversations, key, turn, role, text), conversations.select(F.col(key).alias("conv")))
     return done.withColumnsRenamed({"conv": key, "sha256": "repaired_sha256"})
+
+
+def sql_ways(state: int) -> str:
+    """The cheapest of the edits of a row in a state, for SQL: structs of cost, audit and lines, of which the least is taken."""
+
+    def way(condition: str, cost: str, letter: str, role: str, to: int) -> str:
+        lines = f"{role} || ':' || text || CASE s{to}.lines WHEN '' THEN '' ELSE chr(10) || s{to}.lines END"
+        return f"CASE WHEN {condition} THEN {{'cost': {cost} + s{to}.cost, 'audit': '{letter}' || s{to}.audit, 'lines': {lines}}} END"
+
+    keeps = [way(f"stays AND c = '{initial}'", "truncated::BIGINT", "K", "role", to) for initial, to in STEP[state].items()]
+    reroled = way("stays", f"{REROLE} + truncated::BIGINT", "R", f"'{WANTS[state]}'", INSERTED[state])
+    deleted = f"{{'cost': {DELETE} + s{state}.cost, 'audit': 'D' || s{state}.audit, 'lines': s{state}.lines}}"
+    return f"list_min([{', '.join([deleted, *keeps, reroled])}]) AS b{state}"
+
+
+#: By recursion from each conversation's last row: the cheapest edits from there on in each state. CRC-32 is worked out bit by bit.
+SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295, list_transform(
+    string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS h FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM o, range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM d),
+f AS (SELECT *, solid = '' AS blank, solid <> '' AND seen > 1 AS duplicate, solid <> '' AND seen = 1 AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM n)),
+w AS (
+  SELECT conv_id, max(i) + 1 AS i, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS s0, {'cost': 4::BIGINT, 'audit': 'II', 'lines': 'user:' || chr(10) || 'assistant:'} AS s1,
+    {'cost': 2::BIGINT, 'audit': 'I', 'lines': 'assistant:'} AS s2, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS s3 FROM f GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([b0, {'cost': 2 + v2.cost, 'audit': 'I' || v2.audit, 'lines': 'user:' || CASE v2.lines WHEN '' THEN '' ELSE chr(10) || v2.lines END}]),
+    list_min([b1, {'cost': 2 + v2.cost, 'audit': 'I' || v2.audit, 'lines': 'user:' || CASE v2.lines WHEN '' THEN '' ELSE chr(10) || v2.lines END}]), v2,
+    list_min([b3, {'cost': 2 + b2.cost, 'audit': 'I' || b2.audit, 'lines': 'user:' || CASE b2.lines WHEN '' THEN '' ELSE chr(10) || b2.lines END}]) FROM (
+    SELECT *, list_min([b2, {'cost': 2 + b3.cost, 'audit': 'I' || b3.audit, 'lines': 'assistant:' || CASE b3.lines WHEN '' THEN '' ELSE chr(10) || b3.lines END}]) AS v2 FROM (
+      SELECT conv_id, i, """ + ", ".join(map(sql_ways, range(STATES))) + r""" FROM (SELECT f.*, NOT f.blank AND NOT f.duplicate AS stays, s0, s1, s2, s3 FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i - 1)))),
+a AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+  count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(s0.cost, 0)::BIGINT AS cost, coalesce(s0.audit, '') AS audit, sha256(coalesce(s0.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN a ON k.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = 1
+"""

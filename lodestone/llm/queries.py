@@ -69,4 +69,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack_tokens, op2_bpe, op3_url_filter, op4_language, op5_mix_sources, op6_near_duplicates, op7_html_text, op8_lm_score, op9_fingerprints, op10_exact_dedup, op11_conversation_repair, op12_simhash, op13_hard_negatives)}
-ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLE_SQL = {"op5_mix_sources": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_conversation_repair": conversations.SQL, "op13_hard_negatives": hard_negatives.SQL}

@@ -5,6 +5,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,15 @@ def test_nulls_ties_repeats_and_long_texts(spark):
     assert C.damage_and_repair(frame(spark, [])).count() == 0
 
 
+def test_sql_says_the_same():
+    rows = some(21, 150)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = {r[0]: tuple(r[1:]) for r in con.execute(C.SQL).fetchall()}
+    assert got == {conv: plain(kept) for conv, kept in damaged(rows).items()}
+
+
 def test_repaired_rows_are_in_order(spark):
     rows = C.placed(C.damaged(frame(spark, some(9, 60))))
     audit = C.cheapest(C.faults(rows))
