@@ -44,6 +44,17 @@ def violations(choice: Column, confidence: Column, probabilities: Column, labels
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
 
 
+def response_violations(model: Column, wanted: Column, answers: Column, rubric: Column, usage: Column, slight: float = SLIGHT) -> Column:
+    """array<string>: what is wrong with a whole response. answers: map question -> struct<type, choice, confidence, probabilities>, whose questions have to be the rubric's, each with an answer by its
+    criteria's labels (named question:problem); the model has to be the one asked, token counts (usage: struct<input_tokens, output_tokens>) whole numbers from 0 on."""
+    of = lambda e: F.transform(violations(e["value"]["choice"], e["value"]["confidence"], e["value"]["probabilities"], F.map_keys(F.element_at(rubric, e["key"])["criteria"]), slight), lambda x: F.concat(e["key"], F.lit(":"), x))
+    each = F.flatten(F.transform(F.map_entries(answers), lambda e: F.when(F.map_contains_key(rubric, e["key"]), of(e)).otherwise(F.array().cast("array<string>"))))
+    kind = F.transform(F.filter(F.map_entries(answers), lambda e: ~F.coalesce(e["value"]["type"] == "choice", F.lit(False))), lambda e: F.concat(e["key"], F.lit(":type")))
+    checks = [("model", model == wanted), ("answers", same_keys(answers, F.map_keys(rubric))), ("usage", is_count(usage["input_tokens"]) & is_count(usage["output_tokens"]))]
+    own = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
+    return F.concat(own, F.coalesce(F.concat(kind, each), F.array().cast("array<string>")))
+
+
 def rubric_mode(rubric: Column) -> Column:
     """defects or classification for a rubric, map question -> struct<type, instructions, criteria: map>; null if it is neither."""
     entries = F.map_entries(rubric)

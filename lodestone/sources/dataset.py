@@ -18,10 +18,14 @@ SNAPSHOT_BYTES = 512 << 20
 IDENTITY = ("root", "model", "questionsHash", "sanitizerVersion")
 
 
-def stored(spark: SparkSession, path: str) -> dict[str, object] | None:
-    """The one JSON object at a path, or None where there is nothing."""
+#: What a run says of itself; nothing else of its files is read.
+RUN = "root string, model string, questionsHash string, sanitizerVersion string, mode string, status string"
+
+
+def stored(spark: SparkSession, path: str, schema: str = RUN) -> dict[str, object] | None:
+    """The one JSON object at a path, by a schema, or None where there is nothing."""
     try:
-        row = spark.read.option("multiLine", True).json(path).first()
+        row = spark.read.schema(schema).option("multiLine", True).json(path).first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

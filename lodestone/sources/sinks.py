@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,26 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(markdown_escape(F.col(c).cast("string")), F.lit("")) for c in columns]), F.lit(" |")).alias("value"))
 
 
-def write_report(df: DataFrame, path: str, columns: list[str], order: list[Column | str]) -> None:
-    """json and markdown folders below path, in order."""
-    ordered = df.orderBy(*order)
-    ordered.write.mode("overwrite").json(f"{path}/json")
-    markdown_table(ordered, columns).write.mode("overwrite").text(f"{path}/markdown")
+def write_report(df: DataFrame, path: str, columns: list[str], order: list[Column | str], lists: Mapping[str, DataFrame] | None = None) -> None:
+    """The folders json and markdown below path, in order, and one of JSON lines for each of lists, such as candidates and follow-ups. All are written beside path first and take its place when they
+    are complete: a write that fails leaves the report that was there."""
+    spark = df.sparkSession
+    ordered = cut(df.orderBy(*order))  # sorted once
+    new, old = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}", f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        ordered.write.json(f"{new}/json")
+        markdown_table(ordered, columns).write.text(f"{new}/markdown")
+        for name, rows in (lists or {}).items():
+            rows.write.json(f"{new}/{name}")
+    except BaseException:
+        fs.delete(hadoop.Path(new), True)
+        raise
+    if fs.exists(at):
+        fs.rename(at, hadoop.Path(old))
+    if not fs.rename(hadoop.Path(new), at):
+        fs.rename(hadoop.Path(old), at)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(hadoop.Path(old), True)
