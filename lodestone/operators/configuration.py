@@ -124,13 +124,16 @@ def yaml_entries(rows: DataFrame, keep: list[str], yaml: Column) -> DataFrame:
     each = texts.select(*keep, "_row", F.posexplode(F.split("_yaml", "\n", -1)).alias("line", "t"))
     own = Window.partitionBy("_row").orderBy("line")
     each = each.withColumn("_from", F.sum(F.length("t").cast("long") + 1).over(own) - F.length("t") - 1)
-    part = lambda i: F.regexp_extract("t", YAML_LINE, i)
     marker = F.col("t").rlike(r"^---\s*$")
     seen = F.coalesce(F.sum((~F.col("t").rlike(r"^\s*(#.*)?$")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     each = each.withColumn("_skip", F.col("t").rlike(r"^\s*(#.*)?$") | (marker & (seen == 0)))
-    each = each.where("not _skip").withColumn("bad", (F.length("t") > MOST_LINE) | ~F.col("t").rlike(YAML_LINE) | (F.length(part(1)) + F.length(part(2)) > MOST_COLUMN))
+    # the line's parts by one match; a line that doesn't fit stays whole
+    parts = F.split(F.regexp_replace("t", YAML_LINE, "$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01", -1)
+    each = each.where("not _skip").withColumn("_parts", F.when((F.length("t") <= MOST_LINE) & ~F.contains("t", F.lit("\x01")), parts))
+    fits = F.coalesce(F.size("_parts") == 6, F.lit(False))
+    each = each.withColumn("bad", ~fits | F.when(fits, F.length(F.col("_parts")[0]) + F.length(F.col("_parts")[1]) > MOST_COLUMN).otherwise(False))
     names = ["indent", "dashes", "name", "gap", "space", "value"]
-    each = each.select("*", *[F.when(~F.col("bad"), part(i)).otherwise("").alias(n) for i, n in enumerate(names, 1)])
+    each = each.select("*", *[F.when(~F.col("bad"), F.col("_parts")[i]).otherwise("").alias(n) for i, n in enumerate(names)]).drop("_parts")
     body = F.length("indent") + F.length("dashes")
     has_key = F.col("name") != ""
     value_at = body + F.when(has_key, F.length("name") + F.length("gap") + 1).otherwise(0) + F.length("space")
@@ -180,7 +183,7 @@ def yaml_nodes(rows: DataFrame, id_col: str, yaml_col: str) -> DataFrame:
     Texts with anything else (flow collections, anchors, aliases, tags, block scalars, several documents, tabs), with repeated keys or uneven indentation have no nodes, see `yaml_reasons`; so null and empty ones. Rows that share an id are texts
     of their own.
     """
-    good = yaml_placed(yaml_entries(rows, [id_col], F.col(yaml_col))).where("not wrong")
+    good = cut(yaml_placed(yaml_entries(rows, [id_col], F.col(yaml_col))).where("not wrong"))
     scalars = good.select(id_col, F.explode(F.array(F.struct(F.col("key_start").alias("start"), F.col("key_end").alias("end")), F.struct(F.col("value_start").alias("start"), F.col("value_end").alias("end")))).alias("s"))
     scalars = scalars.select(id_col, "s.start", "s.end", F.lit("scalar").alias("container")).where("start is not null")
     # a collection ends with the last thing before the next entry that is less indented

@@ -712,6 +712,46 @@ def nested_resources(spark, sf):
     return found.where("reason is null").select("event_id", "depth", "type", "name", "identity_type")
 
 
+#: Where each part of the text begins, from the lengths of those before it.
+@query("""WITH t AS (SELECT event_id, length(event_id::VARCHAR) AS n, length(event_type) AS k, length(user_id::VARCHAR) AS u FROM events),
+p AS (SELECT *, 5 + n AS props, 5 + n + 13 AS dash FROM t), q AS (SELECT *, dash + 2 AS kind, dash + 8 AS kind_value, dash + 8 + k + 5 AS usr, dash + 8 + k + 5 + 6 AS usr_value FROM p),
+r AS (SELECT *, usr_value + u AS usr_end, usr_value + u + 3 + n + 1 + 2 AS dash2 FROM q)
+SELECT event_id, x[1]::BIGINT AS "start", x[2]::BIGINT AS "end", CASE x[3] WHEN 0 THEN 'scalar' WHEN 1 THEN 'map' ELSE 'sequence' END AS container FROM (SELECT event_id, unnest([[0, 2, 0], [4, 4 + n, 0], [props, props + 5, 0], [kind, kind + 4, 0],
+ [kind_value, kind_value + k, 0], [usr, usr + 4, 0], [usr_value, usr_end, 0], [dash2 + 2, dash2 + 6, 0], [0, dash2 + 6, 1], [dash, dash2 + 6, 2], [kind, usr_end, 1]]) AS x FROM r)""")
+def yaml_nodes(spark, sf):
+    text = F.concat(F.lit("id: "), "event_id", F.lit("\nprops: # c\n  - kind: "), "event_type", F.lit("\n    user: "), "user_id", F.lit(" # "), "event_id", F.lit("\n  - last\n"))
+    return configuration.yaml_nodes(table(spark, sf, "events").select("event_id", text.alias("t")), "event_id", "t")
+
+
+@query("""WITH f AS (SELECT DISTINCT concat(CASE event_type WHEN 'view' THEN 'dist' WHEN 'click' THEN 'src/Node_Modules' WHEN 'error' THEN 'a/node_modules/b' ELSE 'src' END, '/', user_id, CASE user_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.D.ts' WHEN 2 THEN '.MJS' WHEN 3 THEN '.json' ELSE '.tsx' END) AS path FROM events)
+SELECT path, regexp_matches(lower(path), '\.[cm]?[jt]sx?$') AND NOT regexp_matches(lower(path), '\.d\.[cm]?ts$') AS source, len(list_intersect(string_split(path, '/')[1:-2], ['.git', 'node_modules', 'dist', 'build', 'coverage', '.angular', '.cache', 'bin', 'obj'])) > 0 AS excluded FROM f""")
+def source_files(spark, sf):
+    folder = F.when(F.col("event_type") == "view", "dist").when(F.col("event_type") == "click", "src/Node_Modules").when(F.col("event_type") == "error", "a/node_modules/b").otherwise("src")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".D.ts", ".MJS", ".json", ".tsx")]), (F.col("user_id") % 5 + 1).cast("int"))
+    files = table(spark, sf, "events").select(F.concat(folder, F.lit("/"), F.col("user_id").cast("string"), suffix).alias("path")).distinct()
+    return files.select("path", P.is_source(F.col("path")).alias("source"), P.in_excluded_directory(F.col("path")).alias("excluded"))
+
+
+@query(PLAN_SQL + " SELECT id, subject_id, theme, purpose, 'queued' AS state, 'localizer' AS role, priority FROM p WHERE decision = 'deferred'")
+def planned_tasks(spark, sf):
+    return planner.tasks(planner.plan(*order_subjects(spark, sf), rules=RULES))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def cleared_files(spark, sf):
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return relations.delete_by(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), gone, ["l_orderkey"])
+
+
+@query("""SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL WHEN event_type = 'click' THEN 'defects' WHEN event_type = 'view' THEN 'classification' END AS mode FROM events""")
+def rubric_modes(spark, sf):
+    kind = "map<string,struct<type:string,instructions:string,criteria:map<string,string>>>"
+    criteria = lambda labels: F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[F.lit("c")] * len(labels)))
+    asked = F.struct(F.lit("choice").alias("type"), F.when(F.col("user_id") % 7 == 0, " ").otherwise("i").alias("instructions"), F.when(F.col("event_type") == "click", criteria(A.DEFECT_LABELS)).otherwise(criteria(A.PRESENCE_LABELS)).alias("criteria"))
+    name = F.when(F.col("event_type") == "view", F.concat(F.lit("input_"), "event_type")).otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", A.rubric_mode(F.create_map(name, asked).cast(kind)).alias("mode"))
+
+
 #: Every text is cut as the index cuts it, and every chunk is searched.
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 8000)) AS s FROM documents WHERE text IS NOT NULL),
 p AS (SELECT doc_id, s, string_split(substr(text, s + 1, 8200), 'the ') AS parts FROM c),
