@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, salts
 from .components import components, reshuffled
 from .shingles import shingle_set, word_hashes
 
@@ -101,24 +101,34 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> D
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, limit: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets have 100 * intersection >= limit * union. Only the texts of pairs are moved."""
+    """Of pairs (a, b), those whose full sets have 100 * intersection >= limit * union. Only the texts of pairs are moved. The partners of an a are dealt over slices, and
+    each slice has the text of a once, before theirs."""
     texts = cut(of_nodes(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), id_col, text_col))
+    pairs = pairs.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(salts(docs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, own = word_hashes(), None, None
+        hashes, now, own = word_hashes(), None, []
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last:  # rows come in order of a
-                    last, own = ta, shingle_set(ta, width, hashes)
-                other = shingle_set(tb, width, hashes)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= limit * (len(own) + len(other) - both))
-            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_b = pairs.join(reshuffled(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"), "b")
-    with_a = with_b.join(reshuffled(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"), "a")
-    return with_a.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+            found = []
+            for a, slice_, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, slice_) != now:
+                    now, own = (a, slice_), []
+                s = shingle_set(text, width, hashes)
+                if b is None:
+                    own.append(s)  # one, but for ids that have several texts
+                    continue
+                for x in own:
+                    both = len(np.intersect1d(x, s, assume_unique=True))
+                    if 100 * both >= limit * (len(x) + len(s) - both):
+                        found.append((a, b))
+                        break
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    members = pairs.join(reshuffled(texts.withColumnRenamed("id", "b"), "b"), "b").select("a", "slice", "b", "text")
+    leaders = pairs.select("a", "slice").distinct().join(reshuffled(texts.withColumnRenamed("id", "a"), "a"), "a").select("a", "slice", F.lit(None).cast("long").alias("b"), "text")
+    both = leaders.union(members).repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def size_class(n: Column) -> Column:
