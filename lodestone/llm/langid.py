@@ -15,7 +15,7 @@ import functools
 import itertools
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import cut, in_worker
 from .tables import Table
 
-#: Words remembered by a Python worker.
-WORDS = 200_000
+#: Words remembered by a Python worker, and the bytes of their table: with more languages, fewer words.
+WORDS, TABLE_BYTES = 200_000, 1 << 27
 SMOOTH = 0.05
 #: Characters of a word that are looked up at once; steps after which sums over segmentations are scaled anew, so that neither long
 #: words nor small probabilities leave what a double can hold.
@@ -214,6 +214,7 @@ class Scorer:
 
     def __init__(self, path: str, p: np.ndarray):
         self.lattice, self.p = Lattice(path), p
+        self.most = max(1000, min(WORDS, TABLE_BYTES // (8 * max(1, p.shape[1]))))
         self.forget()
 
     def forget(self) -> None:
@@ -233,7 +234,7 @@ class Scorer:
         """By text and language the log-probability; each text's number of words."""
         split = [words_of(t) if t else [] for t in texts]
         new = {w for words in split for w in words if w not in self.place}
-        if len(self.place) + len(new) > WORDS and self.place:
+        if len(self.place) + len(new) > self.most and self.place:
             self.forget()
             new = {w for words in split for w in words}
         if new:
@@ -245,10 +246,9 @@ class Scorer:
         return sums[ends] - sums[ends - sizes], sizes
 
 
-def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """id, lang_pred, score of every row. lang_pred is the likeliest language (ties: the first by name); score, its
-    probability among them if all were as frequent. Null texts and texts without a letter, or a model without languages: und, 0."""
-    path = vocabulary or vocabulary_path()
+def labeller(docs: DataFrame, model: DataFrame, path: str) -> Callable[[list[str | None]], tuple[list[str], list[float]]]:
+    """What tells texts' languages and scores, in a task: the likeliest language (ties: the first by name) and its probability among them if all were as frequent. Null texts and texts
+    without a letter, or a model without languages: und, 0."""
     table = model.toPandas()  # at most the vocabulary's size for each language
     langs = sorted(table["lang"].unique())
     size = len(pieces(path)) + 1
@@ -257,18 +257,29 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     p = np.concatenate([(counts + SMOOTH) / (counts + SMOOTH).sum(0), np.zeros((1, len(langs)))]) if langs else np.zeros((size + 1, 0))
     shared, key = docs.sparkSession.sparkContext.broadcast(p), uuid.uuid4().hex
 
+    def label(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        score, words = in_worker(key, lambda: Scorer(path, shared.value)).score(texts)
+        top = score.argmax(1)
+        odds = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
+        return [langs[i] if ok else "und" for i, ok in zip(top, words, strict=True)], [float(x) if ok else 0.0 for x, ok in zip(odds, words, strict=True)]
+
+    return label
+
+
+#: Texts that are labelled at once.
+AT_ONCE = 500
+
+
+def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """id, lang_pred, score of every row, as `labeller` says."""
+    label = labeller(docs, model, vocabulary or vocabulary_path())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = in_worker(key, lambda: Scorer(path, shared.value)) if langs else None
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                if not langs:
-                    best, share = ["und"] * part.num_rows, [0.0] * part.num_rows
-                else:
-                    score, words = known.score(part.column(1).to_pylist())
-                    top = score.argmax(1)
-                    odds = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
-                    best = [langs[i] if ok else "und" for i, ok in zip(top, words, strict=True)]
-                    share = [float(x) if ok else 0.0 for x, ok in zip(odds, words, strict=True)]
+            for part in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
+                best, share = label(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = StructField(id_col, docs.schema[id_col].dataType)
@@ -282,16 +293,19 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
     """id, held_out, lang_pred, score of every row, learnt from the rows of docs that aren't held out. Rows that repeat count
-    as often as they are there. Empty table: no rows."""
+    as often as they are there. Empty table: no rows. Other columns are not looked at."""
     model = cut(train(docs, ~held_out(id_col), text_col, lang_col, vocabulary))
     return predict(docs, model, id_col, text_col, vocabulary).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None) -> DataFrame:
-    """docs without the rows in which no language is found; columns unchanged, predictions not kept."""
+    """docs without the rows in which no language is found (null, empty or letterless texts); columns unchanged, whatever their names; predictions not kept. Repeated rows stay or go together. Empty table: no rows."""
     path = vocabulary or vocabulary_path()
-    model = cut(train(docs, ~held_out(id_col), text_col, lang_col, path))
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("_text"))
-    found = predict(row, model, "row", "_text", path)
-    return found.where("lang_pred != 'und'").select("row.*")
+    label = labeller(docs, cut(train(docs, ~held_out(id_col), text_col, lang_col, path)), path)
+
+    @F.arrow_udf("string")
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only texts go to Python, not whole rows
+        for batch in batches:
+            yield pa.array([x for i in range(0, len(batch), AT_ONCE) for x in label(batch.slice(i, AT_ONCE).to_pylist())[0]], pa.string())
+
+    return docs.where(language(F.col(text_col)) != "und")
