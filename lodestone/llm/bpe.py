@@ -227,7 +227,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None =
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """decode(encode(docs)), both in one pass of a Python worker, so that an executor holds the vocabulary once a task."""
+    """decode(encode(docs)): id, n_tokens, ids, text of every row, both ways in one pass of a Python worker, so that an executor holds the vocabulary once a task. A null text is empty and has no tokens; repeated rows and ids
+    are rows of their own. Empty table: no rows. Other columns are not looked at."""
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,7 +163,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A document's edited text has its last half replaced by the beginning of the next document's, in order of descending id; the
     first follows the last, and an only row follows itself. Null texts are empty; an empty text's fingerprint is all zeros, and it
-    is like another empty one only. Null ids come last; rows of one id, in the order of a hash of their texts. Empty table: no rows.
+    is like another empty one only. Null ids come last; rows of one id, in the order of a hash of their texts. Empty table: no rows. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

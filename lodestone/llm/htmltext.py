@@ -415,7 +415,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
     """A row per row of pages: id, url, text (the blocks labelled main text, in page order, joined by a space), n_chars.
 
     A null or empty page, or one without main text, has an empty text. Pages are read whole, whatever their length and number of
-    blocks. Repeated rows are treated alike. Empty table: no rows; nothing is learnt from null pages.
+    blocks. Repeated rows are treated alike. Empty table: no rows; nothing is learnt from null pages. Other columns are not looked at.
     """
     shared, key = pages.sparkSession.sparkContext.broadcast(learnt(pages, id_col, html_col, sample)), uuid.uuid4().hex
 

@@ -365,7 +365,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Training rows are those whose crc32(id as text) mod 10 is not 0 (a null id trains). Texts are lower-cased A-Z, null ones are empty and
     have one token, the end. Repeated rows count as often as they are there. Without training rows, no token is known, every symbol is
-    equally likely, and the base score is 0. Empty table: no rows.
+    equally likely, and the base score is 0. Empty table: no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col, 10, 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counted = cut(count(rows.where("not held_out")))

@@ -105,7 +105,7 @@ def match(rows: DataFrame, rules: DataFrame, own: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, confidence: float = CONFIDENCE, labels: DataFrame | None = None) -> DataFrame:
     """A row per row of pages: id, host, path, rule, verdict. What the list leaves open gets the mined rules' verdict, and allow where
     none fits. They are mined from labels (id, verdict: allow or block) where there are any, else from what the list judges. A null URL or one without :// has neither host nor path, no tokens, and is allowed. Repeated rows count as often
-    as they are there. Empty table, or none that the list judges: nothing is mined."""
+    as they are there. Empty table, or none that the list judges: nothing is mined. Other columns are not looked at."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
