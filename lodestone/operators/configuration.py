@@ -85,12 +85,17 @@ def json_properties(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 def json_reasons(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """id, reason of texts that can't be read as JSON once their comments are masked (repeated keys, too, and empty texts), or that are nested too deeply."""
     clean = json_masked(F.col(json_col))
-    inside = F.regexp_replace(without_escapes(clean), r"\"[^\"]*\"|[^{}\[\]]+", "")
-    depth = F.aggregate(F.split(inside, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper)["most"]
+    depth = json_depth(clean)
     reason = F.when(depth > MOST_DEPTH, DEPTH_LIMIT).when(F.try_parse_json(clean).isNull(), JSON_ERROR)
     return rows.where(F.col(json_col).isNotNull()).select(id_col, reason.alias("reason")).where("reason is not null")
 
 
+def json_depth(json: Column) -> Column:
+    """The deepest nesting of a JSON text's brackets, those in strings aside."""
+    brackets = F.regexp_replace(without_escapes(json), r"\"[^\"]*\"|[^{}\[\]\"]+", "")
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper)["most"]
+
+
 def deeper(done: Column, x: Column) -> Column:
     now = done["now"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
     return F.struct(now.alias("now"), F.greatest(done["most"], now).alias("most"))

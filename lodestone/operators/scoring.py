@@ -84,6 +84,16 @@ def run_counters(items: DataFrame, records: DataFrame, key: str) -> DataFrame:
     )
 
 
+def inventory_counters(files: DataFrame, skipped: DataFrame, functions: DataFrame) -> DataFrame:
+    """One row: files, skipped, functions, files_with_parse_errors, from files and skipped ones (path) and functions (file, parseDiagnostics: an array)."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    broken = functions.where(F.size("parseDiagnostics") > 0).agg(F.count_distinct("file").alias("files_with_parse_errors"))
+    out = n(functions, "functions")
+    for part, name in ((n(files, "files"), "files"), (n(skipped, "skipped"), "skipped"), (broken, "files_with_parse_errors")):
+        out = out.withColumn(name, part.select(name).scalar())
+    return out.select("files", "skipped", "functions", "files_with_parse_errors")
+
+
 #: The columns that hold source texts.
 SOURCES = ("function", "body", "sanitizedFunction")
 

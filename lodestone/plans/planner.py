@@ -38,7 +38,7 @@ RULES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("response-disclosure", ("output_sensitive_response",), ()),
 )
 GENERAL, CONTROL = "general-review", "control-sample"
-#: What the kinds of subjects that aren't functions are reviewed for, and their first priorities.
+# What the kinds of subjects that aren't functions are reviewed for, and their first priorities.
 KIND_THEMES = {"template": ("rendering-context",), "dependency_manifest": ("dependency-security",), "configuration": ("configuration-policy",)}
 KIND_THEMES |= {k: ("endpoint-policy", "object-ownership", "response-disclosure") for k in ("route_declaration", "generated_crud")}
 KIND_PRIORITY, KIND_PRIORITY_DEFAULT = {"route_declaration": 15, "template": 80}, 120
@@ -105,6 +105,14 @@ def declared_use(contexts: DataFrame, origins: DataFrame) -> DataFrame:
     return out.withColumn("purpose", F.when(used, "application_candidate").otherwise(F.col("purpose"))).drop("_t")
 
 
+def with_purpose(functions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """functions (file) with the purpose of their file (file, purpose); the one that they have, or null, where it has none."""
+    own = contexts.select(F.col("file").alias("_f"), F.col("purpose").alias("_purpose")).dropDuplicates(["_f"])
+    out = functions.join(own, F.col("file") == F.col("_f"), "left")
+    before = F.col("purpose") if "purpose" in functions.columns else F.lit(None).cast("string")
+    return out.withColumn("purpose", F.coalesce("_purpose", before)).drop("_f", "_purpose")
+
+
 def diversify(rows: DataFrame) -> DataFrame:
     """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority. Candidates are worked out once; only what
     ranks need is sorted, and joined back by row."""

@@ -16,7 +16,7 @@ from .functions import answers as A
 from .functions import paths as P
 from .functions import text as T
 from .operators import configuration, elements, markup, relations, scoring, search_index
-from .plans import coverage, event_log, lifecycle, planner
+from .plans import context, coverage, event_log, lifecycle, planner
 from .session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -737,6 +737,34 @@ def planned_tasks(spark, sf):
     return planner.tasks(planner.plan(*order_subjects(spark, sf), rules=RULES))
 
 
+#: Every page is a template, every event a JSON text or, one of three, broken.
+@query("""WITH f AS (SELECT concat('p', page_id, '.html') AS file, length(html) AS n, 'indexed' AS capability, 'template' AS kind FROM pages
+ UNION ALL SELECT concat('e', event_id, CASE event_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '/package.json' ELSE '.toml' END), length(props) - (event_id % 6 = 0)::INT, CASE WHEN event_id % 6 = 0 OR event_id % 3 = 2 THEN 'partial' ELSE 'indexed' END, CASE event_id % 3 WHEN 1 THEN 'dependency_manifest' ELSE 'configuration' END FROM events)
+SELECT file, capability, kind, n::BIGINT AS "end" FROM f""")
+def context_index(spark, sf):
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    e = F.col("event_id")
+    name = F.concat(F.lit("e"), "event_id", F.when(e % 3 == 0, ".json").when(e % 3 == 1, "/package.json").otherwise(".toml"))
+    events = table(spark, sf, "events").select(name.alias("path"), F.when(e % 6 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("text"))
+    files = pages.unionByName(events).select("path", "text", F.sha2("text", 256).alias("hash"), P.language(F.col("path")).alias("language"))
+    out = context.index(files)
+    return out["context_files"].join(out["subjects"], "file").select("file", "capability", "kind", "end")
+
+
+@query("""SELECT (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS files, (SELECT count(*) FROM documents WHERE lang IS NULL) AS skipped, count(*) AS functions, count(DISTINCT user_id) FILTER (WHERE event_type = 'error') AS files_with_parse_errors FROM events""")
+def inventory_counters(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "lang")
+    found = table(spark, sf, "events").select(F.col("user_id").alias("file"), F.when(F.col("event_type") == "error", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("parseDiagnostics"))
+    return scoring.inventory_counters(d.where("lang is not null"), d.where("lang is null"), found)
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, l_returnflag) AS purpose FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""")
+def function_purposes(spark, sf):
+    contexts = table(spark, sf, "orders").where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("file"), F.col("o_orderpriority").alias("purpose"))
+    functions = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", F.col("l_returnflag").alias("purpose"))
+    return planner.with_purpose(functions, contexts).select(F.col("file").alias("l_orderkey"), "l_linenumber", "purpose")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def cleared_files(spark, sf):
     gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import paths
+from ..operators.configuration import MOST_DEPTH, json_depth
 
 #: The largest file and record, in bytes.
 FILE_BYTES, RECORD_BYTES = 16 << 20, 32 << 20
@@ -38,6 +39,16 @@ def snapshot(found: DataFrame, largest: int = FILE_BYTES) -> DataFrame:
     return out.withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).withColumn("hash", F.sha2("content", 256)).withColumn("language", paths.language(path)).withColumn("purpose", paths.purpose(path))
 
 
+def public_assets(found: DataFrame) -> DataFrame:
+    """path, bytes, extension of the files that the application serves as they are, whether a snapshot takes them or not. Their content isn't read."""
+    return found.where(F.col("path").rlike(paths.PUBLIC)).select("path", "bytes", paths.extension(F.col("path")).alias("extension"))
+
+
+def changed_while_read(found: DataFrame) -> DataFrame:
+    """path of the files whose content isn't as long as their listing says."""
+    return found.where(F.octet_length("content") != F.col("bytes")).select("path")
+
+
 def omissions(taken: DataFrame, listed: DataFrame) -> DataFrame:
     """path, reason of what a snapshot leaves out: what its policy says, and of the paths that are listed elsewhere (path, kind), such as hidden files and links that Spark's
     readers don't see, the rest: private ones by policy, links and hidden ones by kind."""
@@ -60,6 +71,14 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict:
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def bounded_lines(spark: SparkSession, path: str, schema: str, most_bytes: int = RECORD_BYTES, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """Records of a file of JSON lines, each looked at before it is parsed: one that is too long, nested too deeply or broken fails the query. Blank lines don't count."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    refused = F.when(F.octet_length("value") > most_bytes, F.raise_error(F.lit("record_size_limit"))).when(json_depth(F.col("value")) > most_depth, F.raise_error(F.lit("record_depth_limit")))
+    checked = lines.select(F.coalesce(refused.cast("string"), F.col("value")).alias("value"))
+    return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def json_array(spark: SparkSession, path: str, schema: str, member: str | None = None) -> DataFrame:
     """Elements of a JSON array, or of the array in a member of an object. schema is that of an element, as DDL."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")

@@ -123,7 +123,7 @@ def test_comments_are_masked(spark):
 
 def test_broken_deep_and_missing_texts(spark):
     deep = "[" * 101 + "]" * 101
-    rows = ['{"value":', '{"a": 1, }', "", None, deep, "[" * 100 + "]" * 100, '{"a": 1, "b": {"c": 2', '{"ok": "[[[" }']
+    rows = ['{"value":', '{"a": 1, }', "", None, deep, "[" * 100 + "]" * 100, '{"a": 1, "b": {"c": 2', '{"ok": "[[[" }', '{"a": 1, "b": "' + "[" * 200 + '"}']
     reasons = {x.id: x.reason for x in C.json_reasons(frame(spark, rows), "id", "t").collect()}
     assert reasons == {0: "json_parse_error", 1: "json_parse_error", 2: "json_parse_error", 4: "depth_limit", 6: "json_parse_error"}
     got = {x.id: (x.start, x.end, x.key) for x in C.json_properties(frame(spark, rows), "id", "t").where("id in (0, 4, 7)").collect()}
