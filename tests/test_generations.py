@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import relations
+from lodestone.plans import coordinator, event_log, lifecycle
 from lodestone.sources.generations import Conflict, Generations
 from lodestone.streaming.incremental import Index
 
@@ -112,3 +113,47 @@ def test_as_a_stream(spark, tmp_path):
         query = stream.writeStream.foreachBatch(index.process).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         query.awaitTermination(120)
     assert found(index.rows(spark)) == [("a", 0), ("b", 0), ("b", 4)]
+
+
+TASKS = "id string, state string, role string, attempt string, deadline long, result string, error string, priority int"
+ATTEMPTS, EVENTS = "id string, task_id string, role string, started long", "task_id string, sequence long, kind string, attempt string, at long, deadline long"
+
+
+def queue(spark, path, n):
+    store = Generations(spark, str(path))
+    tasks = spark.createDataFrame([(f"t{i}", "queued", "localizer", None, None, None, None, i) for i in range(n)], TASKS)
+    store.publish({"tasks": tasks, "attempts": spark.createDataFrame([], ATTEMPTS), "events": spark.createDataFrame([], EVENTS), "other": rows(spark, 1)}, None)
+    return store
+
+
+def test_two_coordinators_never_claim_a_task_twice(spark, tmp_path):
+    store = queue(spark, tmp_path, 4)
+    raced = []
+
+    def slow(tables):
+        """Another coordinator claims while this one works out its own change."""
+        if not raced:
+            raced.append(coordinator.claim(Generations(spark, str(tmp_path)), 2, 100, 50))
+        return {"tasks": lifecycle.claim(tables["tasks"], 1, 200, 50)}
+
+    done = coordinator.transition(store, slow)
+    assert done.number == 3 and store.latest() == done
+    claimed = {r.id: r.deadline for r in store.table(done, "tasks").where("state = 'running'").collect()}
+    assert claimed == {"t0": 150, "t1": 150, "t2": 250}
+    assert ids(store.table(done, "other")) == [1] and store.names("pins") == []
+    with pytest.raises(Conflict):
+        coordinator.transition(store, lambda tables: {"tasks": store.publish({"tasks": tables["tasks"]}, store.latest()) and tables["tasks"]}, tries=1)
+
+
+def test_claims_leave_attempts_and_events(spark, tmp_path):
+    store = queue(spark, tmp_path, 5)
+    coordinator.claim(store, 2, 100, 50, most_calls=3)
+    done = coordinator.claim(store, 2, 200, 50, most_calls=3)  # the budget leaves one
+    tries = sorted((r.task_id, r.role, r.started) for r in store.table(done, "attempts").collect())
+    assert tries == [("t0", "localizer", 100), ("t1", "localizer", 100), ("t2", "localizer", 200)]
+    said = store.table(done, "events")
+    assert sorted((r.sequence, r.task_id, r.deadline) for r in said.collect()) == [(1, "t0", 150), (2, "t1", 150), (3, "t2", 250)]
+    tasks = store.table(done, "tasks")
+    more = said.selectExpr("*", "cast(null as string) disposition", "cast(null as string) result", "cast(null as string) error")
+    folded = event_log.fold(tasks.select("id"), more).select("id", "state", "role", "attempt", "deadline")
+    assert found(folded) == found(tasks.select("id", "state", "role", "attempt", "deadline"))
