@@ -346,6 +346,13 @@ def gaps(files: DataFrame, contexts: DataFrame) -> DataFrame:
     return files.join(known, F.col("path") == F.col("_f"), "left").where("_f is null or capability is null or capability != 'indexed'").drop("_f")
 
 
+def first_rows(rows: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
+    """The first k rows in a total order: each task keeps its own first k, and no more than these are merged."""
+    if k < 1:
+        raise ValueError("a top-k has one row at least")
+    return rows.orderBy(*order).limit(k)
+
+
 def best_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group; k small. Each task keeps its own first k before the shuffle."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
