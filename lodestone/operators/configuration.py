@@ -18,25 +18,33 @@ from .elements import length, pieces
 MOST_DEPTH, KEY_CHARS = 100, 256
 DEPTH_LIMIT, JSON_ERROR, YAML_ERROR = "depth_limit", "json_parse_error", "yaml_parse_error"
 
-#: Strings are those of a text whose escapes are blanked out; so no string ends inside an escape.
+#: Strings are those of a text without_escapes(); so no string ends inside an escape.
 JSON_TOKEN = r"(?s)\"[^\"]*\"|//[^\r\n]*|/\*.*?(?:\*/|\z)|[{}\[\],:]|[^\s{}\[\],:\"/]+"
 MANIFEST = r"(?:^|/)(?:package\.json|[^/]*lock[^/]*)$"
 
 
+#: What escapes are written as while a text is lexed: noncharacters, which no text has, for the backslash and for an escaped quote and backslash.
+ESCAPE, QUOTE, BACKSLASH = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def without_escapes(json: Column) -> Column:
-    """Escape sequences as two underscores: lengths and offsets stay. A line's end isn't escaped."""
-    return F.regexp_replace(json, r"\\[^\r\n]", "__")
+    """json with escape sequences as two other characters, neither a quote: lengths and offsets stay, and with_escapes() gives back what was there. A line's end isn't escaped."""
+    marked = F.regexp_replace(json, r"\\([^\r\n])", ESCAPE + "$1")
+    return F.replace(F.replace(marked, F.lit(ESCAPE + '"'), F.lit(ESCAPE + QUOTE)), F.lit(ESCAPE + "\\"), F.lit(ESCAPE + BACKSLASH))
+
+
+def with_escapes(json: Column) -> Column:
+    return F.translate(json, ESCAPE + QUOTE + BACKSLASH, '\\"\\')
 
 
 def json_masked(json: Column) -> Column:
     """json with its comments as spaces; offsets stay. Comment signs in strings are no comments."""
-    blanked = F.transform(pieces(without_escapes(json), JSON_TOKEN), lambda x: F.when(x["hit"] & x["t"].startswith("/"), T.mask(x["t"])).otherwise(x["t"]))
-    characters = F.zip_with(F.split(json, ""), F.split(F.array_join(blanked, ""), ""), lambda own, new: F.when(new == " ", new).otherwise(own))
-    return F.when(F.contains(json, F.lit("/")), F.array_join(characters, "")).otherwise(json)
+    parts = F.transform(pieces(without_escapes(json), JSON_TOKEN), lambda x: F.when(x["hit"] & x["t"].startswith("/"), T.mask(x["t"])).otherwise(x["t"]))
+    return F.when(F.contains(json, F.lit("/")), with_escapes(F.array_join(parts, ""))).otherwise(json)
 
 
 def json_tokens(rows: DataFrame, keep: list[str], json: Column) -> DataFrame:
-    """keep, _row, place, start, end, t, kind (string, open, close, comma, colon, scalar, comment) and depth (of a bracket, that inside it) of every token. t has escapes blanked out."""
+    """keep, _row, place, start, end, t, kind (string, open, close, comma, colon, scalar, comment) and depth (of a bracket, that inside it) of every token. t has escapes written as without_escapes() does."""
     texts = rows.select(*keep, without_escapes(F.coalesce(json, F.lit(""))).alias("_json")).withColumn("_row", F.monotonically_increasing_id())
     each = texts.select(*keep, "_row", F.posexplode(pieces(F.col("_json"), JSON_TOKEN)).alias("place", "x")).select(*keep, "_row", "place", "x.*").repartition("_row")
     by = Window.partitionBy("_row").orderBy("place")
@@ -53,8 +61,8 @@ def json_properties(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     Broken texts have the properties that can be read; see `json_reasons`. Texts nested more deeply than MOST_DEPTH have none, null and empty ones neither. Rows that share an id are texts of their own.
     """
-    keep = [id_col, "_source"]
-    tokens = json_tokens(rows.withColumn("_source", F.col(json_col)), keep, F.col(json_col))
+    keep = [id_col, "_length"]
+    tokens = json_tokens(rows.select(id_col, json_col, F.length(json_col).cast("long").alias("_length")), keep, F.col(json_col))
     whole, by = Window.partitionBy("_row"), Window.partitionBy("_row").orderBy("place")
     tokens = tokens.withColumn("_deepest", F.max("depth").over(whole)).where((F.col("_deepest") <= MOST_DEPTH) & (F.col("depth") > 0))
     is_key = (F.col("kind") == "string") & (F.lead("kind").over(by) == "colon")
@@ -64,13 +72,13 @@ def json_properties(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     opened = F.last(F.when(F.col("kind") == "open", F.col("place")), ignorenulls=True).over(level)
     tokens = tokens.withColumn("_container", opened).withColumn("_array", F.last(F.when(F.col("kind") == "open", F.col("t") == "["), ignorenulls=True).over(level))
     commas = F.sum((F.col("kind") == "comma").cast("int")).over(Window.partitionBy("_row", "depth", "_container").orderBy("place"))
-    own = F.substring(F.col("_source"), (F.col("start") + 2).cast("int"), (F.col("end") - F.col("start") - 2).cast("int"))
+    own = with_escapes(F.substring(F.col("t"), F.lit(2), F.length("t") - 2))
     entry = F.when(F.col("_key"), F.left(own, F.lit(KEY_CHARS))).when(F.col("_array") & F.col("kind").isin("open", "comma"), F.concat(F.lit("["), commas.cast("string"), F.lit("]")))
     tokens = tokens.withColumn("_entry", entry)
     # where a value ends: a scalar or string with itself, a bracket with the next closing one of its depth
     after = Window.partitionBy("_row", "depth").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
     closes = F.first(F.when(F.col("kind") == "close", F.col("end")), ignorenulls=True).over(after)
-    tokens = tokens.withColumn("_ends", F.when(F.col("kind") == "open", F.coalesce(closes, F.length("_source"))).otherwise(F.col("end")))
+    tokens = tokens.withColumn("_ends", F.when(F.col("kind") == "open", F.coalesce(closes, F.col("_length"))).otherwise(F.col("end")))
     tokens = tokens.withColumn("value_start", F.lead("start", 2).over(by)).withColumn("_value_kind", F.lead("kind", 2).over(by)).withColumn("_value_end", F.lead("_ends", 2).over(by)).withColumn("_colon_end", F.lead("end", 1).over(by))
     deepest = tokens.agg(F.max("depth")).first()[0] or 0
     around = [F.last(F.when(F.col("depth") == d, F.col("_entry")), ignorenulls=True).over(by) for d in range(1, deepest)]

@@ -39,15 +39,17 @@ def pieces(text: Column, pattern: str) -> Column:
 
 
 def lexed(pages: DataFrame, keep: list[str], html: Column) -> DataFrame:
-    """keep, _row, place, start, end, t and kind (text, comment, declaration, open, close) of every token; a raw element's text is a token of its own."""
+    """keep, _row, place, start, end, kind (text, comment, declaration, open, close), name and, of opening tags, t of every token; a raw element's text is a token of its own."""
     rows = pages.select(*keep, F.coalesce(html, F.lit("")).alias("_html")).withColumn("_row", F.monotonically_increasing_id())
     parts = F.flatten(F.transform(pieces(F.col("_html"), LEXER), split_raw))
     each = rows.select(*keep, "_row", F.posexplode(parts).alias("place", "x")).select(*keep, "_row", "place", F.col("x.t").alias("t"), F.col("x.hit").alias("hit"))
-    each = each.repartition("_row").where("t != ''")
-    upto = F.sum(length(F.col("t"))).over(Window.partitionBy("_row").orderBy("place"))
     t = F.col("t")
     kind = F.when(~F.col("hit"), "text").when(t.startswith("<!--"), "comment").when(t.startswith("<!") | t.startswith("<?"), "declaration").when(t.startswith("</"), "close").otherwise("open")
-    return each.select(*keep, "_row", "place", (upto - length(t)).alias("start"), upto.alias("end"), "t", kind.alias("kind"))
+    name = F.when(kind.isin("open", "close"), F.lower(F.regexp_extract(t, rf"^</?({NAME})", 1))).when(~F.col("hit"), "#text").when(F.lower(t).startswith("<!doctype"), "#documentType")
+    # what is shuffled of a page: its tags' texts, and of everything else only the length
+    slim = each.where("t != ''").select(*keep, "_row", "place", length(t).alias("n"), kind.alias("kind"), name.alias("name"), F.when(kind == "open", t).alias("t")).repartition("_row")
+    upto = F.sum("n").over(Window.partitionBy("_row").orderBy("place"))
+    return slim.select(*keep, "_row", "place", (upto - F.col("n")).alias("start"), upto.alias("end"), "kind", "name", "t")
 
 
 def split_raw(x: Column) -> Column:
@@ -64,9 +66,8 @@ def matched(tokens: DataFrame) -> DataFrame:
     An end tag ends the latest open element of its name; one that has none is passed over. Void elements are their tag. An element without an end tag ends at the end tag of
     the nearest element around it that has one, or with the text; those of SIBLING_ENDS at the latest where the next of their name begins there.
     """
-    name = F.lower(F.regexp_extract("t", rf"^</?({NAME})", 1))
     whole = F.max("end").over(Window.partitionBy("_row"))
-    tags = tokens.withColumn("_last", whole).where("kind in ('open', 'close')").withColumn("name", name).where(~F.col("name").isin(*VOID) | (F.col("kind") == "open"))
+    tags = tokens.withColumn("_last", whole).where("kind in ('open', 'close')").where(~F.col("name").isin(*VOID) | (F.col("kind") == "open"))
     void = F.col("name").isin(*VOID)
     own = Window.partitionBy("_row", "name").orderBy("place")
     step = F.when(void, 0).when(F.col("kind") == "open", 1).otherwise(-1)
@@ -113,8 +114,7 @@ def template_anchors(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     opened = matched(tokens)
     none = F.lit(False)
     nodes = opened.select(id_col, "start", "end", F.lit("template_node").alias("kind"), "name", none.alias("html_binding"))
-    doctype = (F.col("kind") == "declaration") & F.lower("t").startswith("<!doctype")
-    others = tokens.where((F.col("kind") == "text") | doctype).select(id_col, "start", "end", F.lit("template_node").alias("kind"), F.when(doctype, "#documentType").otherwise("#text").alias("name"), none.alias("html_binding"))
+    others = tokens.where("name in ('#text', '#documentType')").select(id_col, "start", "end", F.lit("template_node").alias("kind"), "name", none.alias("html_binding"))
     attrs = attributes(opened, [id_col]).select(id_col, "start", "end", F.lit("template_attribute").alias("kind"), "name", "html_binding")
     return nodes.unionByName(others).unionByName(attrs)
 

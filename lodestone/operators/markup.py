@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.paths import directory, normalized
-from .elements import NAME, lexed
+from .elements import lexed
 
 COMMENT = ("<!--", "<!--.*?-->")
 
@@ -20,7 +20,7 @@ def masked(html: Column) -> Column:
 def anchors(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """id, start, end, tag of every opening tag, quotes and raw texts understood: no Python, whole texts, linear in a page."""
     opened = lexed(pages, [id_col], F.col(html_col)).where("kind = 'open'")
-    return opened.select(id_col, "start", "end", F.lower(F.regexp_extract("t", f"^<({NAME})", 1)).alias("tag"))
+    return opened.select(id_col, "start", "end", F.col("name").alias("tag"))
 
 
 def links(pages: DataFrame, id_col: str, html_col: str, path_col: str) -> DataFrame:
