@@ -42,6 +42,8 @@ GENERAL, CONTROL = "general-review", "control-sample"
 KIND_THEMES = {"template": ("rendering-context",), "dependency_manifest": ("dependency-security",), "configuration": ("configuration-policy",)}
 KIND_THEMES |= {k: ("endpoint-policy", "object-ownership", "response-disclosure") for k in ("route_declaration", "generated_crud")}
 KIND_PRIORITY, KIND_PRIORITY_DEFAULT = {"route_declaration": 15, "template": 80}, 120
+#: All themes that a candidate may have.
+THEMES = tuple(dict.fromkeys([*(r[0] for r in RULES), GENERAL, CONTROL, *(t for names in KIND_THEMES.values() for t in names)]))
 NOT_APPLICATION = ("test_or_fixture", "example_or_tooling", "vendor")
 FILE_STEP, THEME_STEP, BOOST, CONTROL_PRIORITY = 20, 4, 20, 150
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 CITATION = "struct<file:string,start:bigint,end:bigint,sourceHash:string>"
 CITED = f"array<struct<text:string,citations:array<{CITATION}>>>"
+FLOW = f"array<struct<from:{CITATION},to:{CITATION},boundary:string,relationship:string,status:string>>"
+PROPOSALS = f"array<struct<subjectId:string,theme:string,operation:{CITATION},rationale:string>>"
 RESULT = (
     f"result_id string, task_id string, role string, disposition string, summary string, operation {CITATION}, invariant string, facts {CITED}, assumptions array<string>, counterevidence {CITED}, unresolved array<string>, "
-    f"flow array<struct<from:{CITATION},to:{CITATION},boundary:string,relationship:string,status:string>>, follow_ups array<struct<subjectId:string,theme:string,operation:{CITATION},rationale:string>>"
+    f"flow {FLOW}, follow_ups {PROPOSALS}"
 )
 # What fields may hold.
 DISPOSITIONS = ("supported_candidate", "refuted_hypothesis", "no_relevant_operation", "needs_context", "budget_exhausted")

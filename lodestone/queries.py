@@ -16,7 +16,7 @@ from .functions import answers as A
 from .functions import paths as P
 from .functions import text as T
 from .operators import configuration, elements, markup, relations, scoring, search_index
-from .plans import context, coverage, event_log, lifecycle, planner
+from .plans import context, coverage, event_log, lifecycle, planner, results
 from .session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -772,6 +772,28 @@ def function_purposes(spark, sf):
     return planner.with_purpose(functions, contexts).select(F.col("file").alias("l_orderkey"), "l_linenumber", "purpose")
 
 
+#: Each order is a result about a span of one file; its customer is the task, with a subject, and for every other nation with what was served.
+@query("""WITH r AS (SELECT o_orderkey AS result_id, o_orderstatus, o_orderpriority, o_orderkey % 4 AS f, o_orderkey % 50 AS s, o_orderkey % 50 + 5 AS e, c_custkey % 30 AS a, c_custkey % 30 + 40 AS z, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT result_id, 'invalid_result' AS problem FROM r WHERE o_orderpriority LIKE '5%' UNION ALL SELECT result_id, 'unsupported_candidate' FROM r WHERE o_orderstatus = 'F' AND f = 0 UNION ALL SELECT result_id, 'citation_not_observed' FROM r WHERE c_nationkey % 2 = 1
+UNION ALL SELECT result_id, 'citation_hash_mismatch' FROM r WHERE e > 52 UNION ALL SELECT result_id, 'operation_outside_function' FROM r WHERE s < a OR e > z UNION ALL SELECT result_id, 'operation_not_parsed_anchor' FROM r WHERE s >= a AND e <= z AND s % 2 = 1""")
+def result_rules(spark, sf):
+    customers = table(spark, sf, "customer")
+    place = F.col("o_orderkey") % 50
+    operation = F.struct(F.lit("f").alias("file"), place.alias("start"), (place + 5).alias("end"), F.lit("h").alias("sourceHash"))
+    facts = F.when(F.col("o_orderkey") % 4 != 0, F.array(F.struct(F.lit("t").alias("text"), F.array(operation).alias("citations"))))
+    found = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("result_id"), F.col("o_custkey").alias("task_id"), F.lit("challenger").alias("role"), F.when(F.col("o_orderstatus") == "F", "supported_candidate").otherwise("needs_context").alias("disposition"),
+        F.when(F.col("o_orderpriority").startswith("5"), "").otherwise("s").alias("summary"), operation.alias("operation"), F.lit("i").alias("invariant"), facts.alias("facts"),
+        *[F.lit(None).cast(kind).alias(c) for c, kind in (("assumptions", "array<string>"), ("counterevidence", results.CITED), ("unresolved", "array<string>"), ("flow", results.FLOW), ("follow_ups", results.PROPOSALS))],
+    )
+    begin = F.col("c_custkey") % 30
+    subjects = customers.select(F.col("c_custkey").alias("task_id"), F.col("c_custkey").alias("subject_id"), F.lit("f").alias("file"), begin.alias("start"), (begin + 40).alias("end"))
+    served = customers.where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("task_id"), F.lit("f").alias("file"), F.lit(0).alias("start"), F.lit(60).alias("end"), F.lit("h").alias("sourceHash"))
+    files = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("f").alias("file"), F.lit("h").alias("hash"), F.lit(52).alias("length"))
+    anchors = table(spark, sf, "nation").select(F.lit("f").alias("file"), (F.col("n_nationkey") * 2).alias("start"), (F.col("n_nationkey") * 2 + 5).alias("end"))
+    return results.problems(found, served, files, subjects, subjects, anchors, planner.THEMES)
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def cleared_files(spark, sf):
     gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
