@@ -270,7 +270,9 @@ def test_ranks_need_no_single_task(spark):
     r = random.Random(5)
     rows = [(i, r.choice(["a"] * 8 + ["b", None]), r.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g string, p int").repartition(6)
-    got = {x.id: (x.n, x.m) for x in relations.grouped_rank(relations.global_rank(df, [F.desc("p"), F.asc("id")], "n"), ["g"], [F.asc("p"), F.asc("id")], "m").collect()}
+    ranked = relations.global_rank(df, [F.desc("p"), F.asc("id")], "n")
+    got = {x.id: (x.n, x.m) for x in relations.grouped_rank(ranked, ["g"], [F.asc("p"), F.asc("id")], "m", most=100).collect()}
+    assert got == {x.id: (x.n, x.m) for x in relations.grouped_rank(ranked, ["g"], [F.asc("p"), F.asc("id")], "m").collect()}
     order = sorted(rows, key=lambda x: (-x[2], x[0]))
     assert all(got[x[0]][0] == k for k, x in enumerate(order, 1))
     for g in ("a", "b", None):
