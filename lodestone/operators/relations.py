@@ -256,11 +256,14 @@ def global_rank(rows: DataFrame, order: Sequence[Column], name: str) -> DataFram
 GROUP_ROWS = 1 << 20
 
 
-def grouped_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, most: int = GROUP_ROWS) -> DataFrame:
+def largest_group(rows: DataFrame, by: Sequence[str]) -> int:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def grouped_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, most: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """row_number within groups of which any may hold most rows. Groups are counted first: where none has more than `most` rows it is a window, one shuffle by group; else the rank over all rows by
-    group and order, less the rank at which the group begins, so that a group is spread over tasks. `order` has to be total within a group; nulls are a group. rows are read twice."""
-    largest = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= most:
+    group and order, less the rank at which the group begins, so that a group is spread over tasks. `order` has to be total within a group; nulls are a group. rows are read twice, unless the caller knows the largest group's size."""
+    if (largest_group(rows, by) if largest is None else largest) <= most:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     ranked = global_rank(rows, [*[F.col(c).asc() for c in by], *order], "_rank")
     starts = ranked.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min("_rank").alias("_start"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
-from ..operators.relations import grouped_rank
+from ..operators.relations import grouped_rank, largest_group
 from ..session import cut
 
 # Fixed values: (theme, any of these questions, and any of these if there are some).
@@ -116,16 +116,15 @@ def with_purpose(functions: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def diversify(rows: DataFrame) -> DataFrame:
-    """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority. Candidates are worked out once; only what
-    ranks need is sorted, and joined back by row."""
-    numbered = cut(rows).withColumn("_row", F.monotonically_increasing_id())
+    """Deferred candidates, later by their place in their file and in their theme, of which one may hold most; others keep their priority. Candidates are worked out once."""
+    known = cut(rows)
     order = [F.col("priority").asc(), F.col("rank").asc(), F.col("id").asc()]
-    slim = numbered.where("decision = 'deferred'").select("_row", "file", "theme", "priority", "rank", "id")
-    of_file = grouped_rank(slim.drop("theme"), ["file"], order, "_file").select("_row", "_file")
-    of_theme = grouped_rank(slim.drop("file"), ["theme"], order, "_theme").select(F.col("_row").alias("_row2"), "_theme")
-    placed = numbered.join(of_file, "_row", "left").join(of_theme, F.col("_row") == F.col("_row2"), "left")
-    later = F.col("priority") + F.coalesce((F.col("_file") - 1) * FILE_STEP, F.lit(0)) + F.coalesce((F.col("_theme") - 1) * THEME_STEP, F.lit(0))
-    return placed.withColumn("priority", later.cast("long")).select(*rows.columns)
+    ranked = deferred = known.where("decision = 'deferred'")
+    for by in ("file", "theme"):
+        ranked = grouped_rank(ranked, [by], order, f"_{by}", largest=largest_group(deferred, [by]))
+    later = F.col("priority") + (F.col("_file") - 1) * FILE_STEP + (F.col("_theme") - 1) * THEME_STEP
+    moved = ranked.withColumn("priority", later.cast("long")).select(*rows.columns)
+    return moved.unionByName(known.where("decision is null or decision != 'deferred'"))
 
 
 def select_all(rows: DataFrame) -> DataFrame:
@@ -165,4 +164,4 @@ def plan(subjects: DataFrame, answers: DataFrame, routed: DataFrame, seed: str =
     if not seed or len(seed) > 200:
         raise ValueError("a seed has 1 to 200 characters")
     rows = diversify(boost(candidates(subjects, answers, seed, rules, all_source), routed))
-    return select_all(rows) if maximum is None else select_sample(rows, maximum)
+    return select_all(rows) if maximum is None else select_sample(cut(rows), maximum)  # which reads them several times
