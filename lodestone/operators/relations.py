@@ -7,6 +7,7 @@ import functools
 import hashlib
 import json
 import operator
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -217,6 +218,8 @@ def capped_page(files: DataFrame, calls: DataFrame, match: Column, after: tuple[
 
     A page ends at its `limit`-th hit, its `most_examined`-th call or its `most_files`-th file (file), whichever is first; files without calls count. A page that examines no call but
     isn't at the end has one row, whose ordinal is null. Top-k's of files and calls: nothing is sorted whole.
+
+    A place should be one call's. Of calls that share one those without a hit come first, then by their other columns, so that a page is the same however its rows are dealt; the next page begins after the place.
     """
     from_file, from_ordinal = after or ("", -1)
     near = files.where(F.col("file") >= F.lit(from_file)).select("file").orderBy("file").limit(most_files + 1)
@@ -224,8 +227,10 @@ def capped_page(files: DataFrame, calls: DataFrame, match: Column, after: tuple[
     some = near.where(F.col("_rank") <= most_files)
     later = (F.col("file") > F.lit(from_file)) | (F.col("ordinal") > F.lit(from_ordinal))
     ahead = calls.where(later & (F.col("file") >= F.lit(from_file))).join(F.broadcast(some.select("file")), "file").withColumn("hit", F.coalesce(match, F.lit(False)))
-    ahead = ahead.orderBy("file", "ordinal").limit(most_examined + 1)
-    order = Window.orderBy("file", "ordinal")
+    rest = [F.col(f"`{f.name}`") for f in ahead.schema.fields if f.name not in ("file", "ordinal", "hit") and not re.search("map<|variant", f.dataType.simpleString())]
+    total = [F.col("file"), F.col("ordinal"), F.col("hit"), *rest]
+    ahead = ahead.orderBy(*total).limit(most_examined + 1)
+    order = Window.orderBy(*total)
     before = F.coalesce(F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = ahead.withColumn("_in", (F.row_number().over(order) <= most_examined) & (before < limit))
     stops = ahead.agg(F.coalesce(F.bool_or(~F.col("_in")), F.lit(False)).alias("_capped"), F.max(F.when(F.col("_in"), F.struct("file", "ordinal"))).alias("_last"), F.count_if("_in").alias("examined"))

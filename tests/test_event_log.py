@@ -151,6 +151,14 @@ def test_pages_with_work_caps(spark):
     assert relations.capped_page(listed.limit(0), table.limit(0), F.col("m"), None, 4).first().exhausted
 
 
+def test_a_page_is_the_same_however_calls_of_one_place_are_dealt(spark):
+    files = spark.createDataFrame([("f",)], "file string")
+    rows = [("f", 1, True, "c"), ("f", 2, True, "b"), ("f", 2, False, "z"), ("f", 2, True, "a"), ("f", 3, False, "y")]
+    for r in (rows, rows[::-1], rows[2:] + rows[:2]):
+        page = relations.capped_page(files, spark.createDataFrame(r, "file string, ordinal int, m boolean, name string").coalesce(1), F.col("m"), None, 2).collect()
+        assert sorted((x.ordinal, x.name) for x in page) == [(1, "c"), (2, "a"), (2, "z")] and page[0].examined == 3
+
+
 def test_uncertain_results_and_the_rubrics_order(spark):
     tasks = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "queued")], "id int, state string")
     results = spark.createDataFrame([(1, "needs_context", None), (2, "supported_candidate", "k"), (3, "budget_exhausted", None)], "task_id int, disposition string, operation_key string")
