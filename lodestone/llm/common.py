@@ -28,10 +28,20 @@ def shared_dir(df: DataFrame) -> None:
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="lodestone-"))
 
 
+#: Spark's setting that removes a query's shuffle files when it ends, not when the driver happens to collect its garbage. It holds for queries made while it is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder: a lost executor costs no recomputation."""
+    """df, computed once and kept in the shared checkpoint folder: a lost executor costs no recomputation. The shuffle files that led to it go."""
     shared_dir(df)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def ascii_lower(text: Column) -> Column:

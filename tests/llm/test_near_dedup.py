@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lodestone.llm import common
 from lodestone.llm import components, near_dedup
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -79,3 +80,13 @@ def test_components(spark, edges):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert got == {(x, find(x)) for x in parent}
+
+
+def test_a_cut_leaves_no_shuffle_files_and_the_session_as_it_was(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return {f for f in found.split(",") if "shuffle_" in f and f.endswith(".data")}
+
+    there, before = files(), spark.conf.get(common.CLEANUP, None)
+    rows = common.cut(spark.range(0, 3000, 1, 3).selectExpr("id % 7 AS k").groupBy("k").count())
+    assert not files() - there and rows.count() == 7 and spark.conf.get(common.CLEANUP, None) == before
