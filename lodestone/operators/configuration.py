@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, dealt
 from .elements import length, pieces
 
 #: The deepest nesting, the longest key that is kept, and the reasons that are given.
@@ -133,7 +133,8 @@ def yaml_masked(yaml: Column) -> Column:
 
 def yaml_entries(rows: DataFrame, keep: list[str], yaml: Column) -> DataFrame:
     """keep, _row, _at (line and place), level (twice the column, one more for a list's item), item, key and value spans, bad: a row for every dash and key of a text's lines, and for scalars alone."""
-    texts = rows.select(*keep, F.coalesce(yaml, F.lit("")).alias("_yaml")).withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
+    texts = rows.select(*keep, F.coalesce(yaml, F.lit("")).alias("_yaml")).withColumn("_row", F.monotonically_increasing_id())
+    texts = dealt(rows, texts, yaml, "_row")
     each = texts.select(*keep, "_row", F.posexplode(F.split("_yaml", "\n", -1)).alias("line", "t"))
     own = Window.partitionBy("_row").orderBy("line")
     each = each.withColumn("_from", F.sum(F.length("t").cast("long") + 1).over(own) - F.length("t") - 1)
@@ -202,7 +203,7 @@ def yaml_nodes(rows: DataFrame, id_col: str, yaml_col: str) -> DataFrame:
     # a collection ends with the last thing before the next entry that is less indented
     by = Window.partitionBy("_row").orderBy("_at")
     own_end = F.greatest(F.coalesce("value_end", F.lit(-1)), F.coalesce(F.col("key_end") + 1, F.lit(-1)), F.when(F.col("item"), F.col("start") + 1).otherwise(-1))
-    ended = good.withColumn("_end", own_end).withColumn("_before", F.lag("_end").over(by)).withColumn("_last", F.last("_end").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ended = dealt(rows, good, F.col(yaml_col), "_row").withColumn("_end", own_end).withColumn("_before", F.lag("_end").over(by)).withColumn("_last", F.last("_end").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     levels = sorted(r[0] for r in good.select("level").distinct().collect())
     after = by.rowsBetween(1, Window.unboundedFollowing)
     stop = F.lit(None).cast("long")

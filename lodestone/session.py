@@ -6,7 +6,8 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -41,3 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
+
+
+#: Characters of texts that a task sorts the tokens or lines of: some hundred thousand rows.
+TASK_CHARS = 1 << 21
+
+
+def dealt(texts: DataFrame, rows: DataFrame, chars: Column, key: str) -> DataFrame:
+    """rows by key over so many partitions that each has about TASK_CHARS characters of texts, which are counted first: what a task sorts doesn't grow with the input. Their number is given, so that
+    Spark doesn't join small partitions whose rows are many once they are exploded."""
+    total = texts.agg(F.sum(F.length(chars).cast("long"))).first()[0] or 0
+    return rows.repartition(max(1, -(-total // TASK_CHARS)), key)

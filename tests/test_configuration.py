@@ -300,3 +300,10 @@ def test_yaml_comments_are_masked(spark):
         assert len(x.m) == len(x.t) and all(a in (b, " ") for a, b in zip(x.m, x.t, strict=True))
     clean = frame(spark, YAML[:3]).select("id", C.yaml_masked(F.col("t")).alias("m")).collect()
     assert {x.id: x.m for x in clean} == {0: "limits:\n  attempts: 3       \n", 1: YAML[1], 2: YAML[2].replace("# top", "     ").replace("# between", "         ").replace("# c", "   ")}
+
+
+def test_texts_are_dealt_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.session.TASK_CHARS", 50)
+    n = 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    yaml = spark.createDataFrame([(i, "a: 1\nbb: 2") for i in range(5 * n)], "id int, t string")
+    assert C.yaml_entries(yaml, ["id"], F.col("t")).rdd.getNumPartitions() == -(-5 * n * 10 // 50) >= n
