@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 #: Elements without an end tag, those whose text is raw, those that a sibling of their name ends, and attributes that bind HTML.
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 RAW = "script style textarea title xmp iframe noembed noframes".split()
@@ -47,7 +49,8 @@ def lexed(pages: DataFrame, keep: list[str], html: Column) -> DataFrame:
     kind = F.when(~F.col("hit"), "text").when(t.startswith("<!--"), "comment").when(t.startswith("<!") | t.startswith("<?"), "declaration").when(t.startswith("</"), "close").otherwise("open")
     name = F.when(kind.isin("open", "close"), F.lower(F.regexp_extract(t, rf"^</?({NAME})", 1))).when(~F.col("hit"), "#text").when(F.lower(t).startswith("<!doctype"), "#documentType")
     # what is shuffled of a page: its tags' texts, and of everything else only the length
-    slim = each.where("t != ''").select(*keep, "_row", "place", length(t).alias("n"), kind.alias("kind"), name.alias("name"), F.when(kind == "open", t).alias("t")).repartition("_row")
+    slim = each.where("t != ''").select(*keep, "_row", "place", length(t).alias("n"), kind.alias("kind"), name.alias("name"), F.when(kind == "open", t).alias("t"))
+    slim = dealt(pages, slim, html, "_row")
     upto = F.sum("n").over(Window.partitionBy("_row").orderBy("place"))
     return slim.select(*keep, "_row", "place", (upto - F.col("n")).alias("start"), upto.alias("end"), "kind", "name", "t")
 

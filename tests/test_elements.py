@@ -198,3 +198,11 @@ def test_long_pages(spark, n):
     page = "<div>" * n + "x" + "</div>" * n
     got = anchors(spark, [page])[0]
     assert len(got) == n + 1 and got[0][:2] == (0, len(page))
+
+
+def test_pages_are_dealt_by_their_length(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.session.TASK_CHARS", 50)
+    n = 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages = spark.createDataFrame([(i, "<b>xyz</b>") for i in range(5 * n)], "id int, t string")
+    tokens = elements.lexed(pages, ["id"], F.col("t"))
+    assert tokens.rdd.getNumPartitions() == n and tokens.count() == 15 * n
