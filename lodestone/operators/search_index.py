@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from . import relations
 
+#: Three code points from here.
+TRIGRAM = r"(?s)(?=([^\uDC00-\uDFFF]..))"
 #: Trigrams that are intersected, and the chunks that a page of matches reads.
 RAREST, PAGE_CHUNKS = 4, 10
 #: The most matches of a page, and what is said of every search.
@@ -23,12 +26,9 @@ MOST_MATCHES, CAVEAT, PAGE_REASON = 50, "literal_matches_not_dataflow", "page_bu
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text, in code points."""
-    chars = F.split(text, "")
-    n = F.size(chars)
-    after = lambda k: F.slice(chars, F.lit(k + 1), F.greatest(n - k, F.lit(0)))
-    joined = lambda a, b: F.concat(a, b)
-    triples = F.zip_with(F.zip_with(chars, after(1), joined), after(2), joined)
-    return F.when(F.length(text) >= 3, F.array_distinct(F.array_compact(triples))).otherwise(F.array().cast("array<string>"))
+    # one match a code point: none begins at the second half of a pair
+    triples = F.regexp_extract_all(text, F.lit(TRIGRAM), F.lit(1))
+    return F.when(F.length(text) >= 3, F.array_distinct(triples)).otherwise(F.array().cast("array<string>"))
 
 
 def needle_trigrams(needle: str) -> list[str]:
@@ -70,8 +70,9 @@ def matches(chunks: DataFrame, needle: str) -> DataFrame:
 
 
 def search_all(chunks: DataFrame, posted: DataFrame, needle: str, prefix: str = "") -> DataFrame:
-    """file, start, end of all matches in the files whose name has a prefix."""
+    """file, start, end of all matches in the files whose name has a prefix. Of posted, which may be `postings` as they are worked out, the needle's are kept, and read twice."""
     checked(needle, 1)
+    posted = cut(posted.where(F.col("tri").isin(needle_trigrams(needle))))
     read = chunks.join(candidates(posted, needle), "chunk", "left_semi").where(F.col("file").startswith(prefix))
     return matches(read, needle).select("file", "start", "end")
 

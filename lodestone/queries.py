@@ -817,7 +817,7 @@ SELECT doc_id::VARCHAR AS file, (s + pos)::BIGINT AS "start", (s + pos + 4)::BIG
 def indexed_search(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
     chunks = cut(search_index.chunked(rows, "file", "text"))
-    return search_index.search_all(chunks, cut(search_index.postings(chunks)), "the ")
+    return search_index.search_all(chunks, search_index.postings(chunks), "the ")
 
 
 @query("SELECT d.doc_id AS path FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality <> 1")

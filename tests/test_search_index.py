@@ -90,3 +90,17 @@ def test_trigrams(spark):
     texts = ["".join(r.choice("aé😀 \n") for _ in range(r.randint(0, 30))) for _ in range(40)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", search_index.trigrams(F.col("t")).alias("x")).collect()
     assert all(sorted(x.x) == sorted({texts[x.i][k : k + 3] for k in range(len(texts[x.i]) - 2)}) for x in rows)
+
+
+def test_a_search_of_all_texts_keeps_the_needles_postings_only(spark, sf):
+    import os
+
+    from lodestone import queries, session
+
+    session.cut(spark.range(1))
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    there = lambda: {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs}
+    before = there()
+    assert queries.QUERIES["indexed_search"](spark, sf).count() > 0
+    kept = sum(os.path.getsize(f) for f in there() - before)
+    assert kept < 4 * spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
