@@ -43,10 +43,10 @@ def json_masked(json: Column) -> Column:
     return F.when(F.contains(json, F.lit("/")), with_escapes(F.array_join(parts, ""))).otherwise(json)
 
 
-def json_tokens(rows: DataFrame, keep: list[str], json: Column) -> DataFrame:
-    """keep, _row, place, start, end, t, kind (string, open, close, comma, colon, scalar, comment) and depth (of a bracket, that inside it) of every token. t has escapes written as without_escapes() does."""
-    texts = rows.select(*keep, without_escapes(F.coalesce(json, F.lit(""))).alias("_json")).withColumn("_row", F.monotonically_increasing_id())
-    each = texts.select(*keep, "_row", F.posexplode(pieces(F.col("_json"), JSON_TOKEN)).alias("place", "x")).select(*keep, "_row", "place", "x.*").repartition("_row")
+def json_tokens(texts: DataFrame) -> DataFrame:
+    """_row, place, start, end, t, kind (string, open, close, comma, colon, scalar) and depth (of a bracket, that inside it) of every token but comments of texts (_row, _json, whose escapes are written as
+    without_escapes() does). Texts are shuffled, not their tokens."""
+    each = dealt(texts, texts, F.col("_json"), "_row").select("_row", F.posexplode(pieces(F.col("_json"), JSON_TOKEN)).alias("place", "x")).select("_row", "place", "x.*")
     by = Window.partitionBy("_row").orderBy("place")
     t = F.col("t")
     kind = F.when(t.startswith('"'), "string").when(t.isin("{", "["), "open").when(t.isin("}", "]"), "close").when(t == ",", "comma").when(t == ":", "colon").when(t.startswith("/"), "comment").otherwise("scalar")
@@ -61,33 +61,39 @@ def json_properties(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
     Broken texts have the properties that can be read; see `json_reasons`. Texts nested more deeply than MOST_DEPTH have none, null and empty ones neither. Rows that share an id are texts of their own.
     """
-    keep = [id_col, "_length"]
-    tokens = json_tokens(rows.select(id_col, json_col, F.length(json_col).cast("long").alias("_length")), keep, F.col(json_col))
-    whole, by = Window.partitionBy("_row"), Window.partitionBy("_row").orderBy("place")
-    tokens = tokens.withColumn("_deepest", F.max("depth").over(whole)).where((F.col("_deepest") <= MOST_DEPTH) & (F.col("depth") > 0))
+    lexed = without_escapes(F.coalesce(F.col(json_col), F.lit("")))
+    texts = rows.select(F.col(id_col).alias("_id"), lexed.alias("_json")).withColumn("_row", F.monotonically_increasing_id())
+    brackets = F.filter(F.regexp_extract_all("_json", F.lit(JSON_TOKEN), F.lit(0)), lambda x: x.isin("{", "[", "}", "]"))
+    deep = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper)["most"]
+    texts = cut(texts.withColumn("_deep", deep).where(F.col("_deep").between(1, MOST_DEPTH)))
+    deepest = texts.agg(F.max("_deep")).first()[0] or 0
+    by, level = Window.partitionBy("_row").orderBy("place"), Window.partitionBy("_row", "depth").orderBy("place")
+    tokens = json_tokens(texts.select("_row", "_json")).where(F.col("depth") > 0)
     is_key = (F.col("kind") == "string") & (F.lead("kind").over(by) == "colon")
-    tokens = tokens.withColumn("_key", F.coalesce(is_key, F.lit(False)))
+    value_kind = F.lead("kind", 2).over(by)
+    tokens = tokens.withColumn("_key", F.coalesce(is_key, F.lit(False))).withColumn("value_start", F.lead("start", 2).over(by)).withColumn("_value_kind", value_kind).withColumn("_colon_end", F.lead("end", 1).over(by))
     # the kind of container that a depth is in: that of its last opening bracket; an array's entry is its number of commas
-    level = Window.partitionBy("_row", "depth").orderBy("place")
-    opened = F.last(F.when(F.col("kind") == "open", F.col("place")), ignorenulls=True).over(level)
-    tokens = tokens.withColumn("_container", opened).withColumn("_array", F.last(F.when(F.col("kind") == "open", F.col("t") == "["), ignorenulls=True).over(level))
-    commas = F.sum((F.col("kind") == "comma").cast("int")).over(Window.partitionBy("_row", "depth", "_container").orderBy("place"))
+    opens = F.col("kind") == "open"
+    tokens = tokens.withColumn("_commas", F.sum((F.col("kind") == "comma").cast("int")).over(level))
+    last_open = F.last(F.when(opens, F.struct(F.col("place").alias("place"), (F.col("t") == "[").alias("array"), F.col("_commas").alias("commas"))), ignorenulls=True).over(level)
+    tokens = tokens.withColumn("_in", last_open).withColumn("_container", F.col("_in.place"))
     own = with_escapes(F.substring(F.col("t"), F.lit(2), F.length("t") - 2))
-    entry = F.when(F.col("_key"), F.left(own, F.lit(KEY_CHARS))).when(F.col("_array") & F.col("kind").isin("open", "comma"), F.concat(F.lit("["), commas.cast("string"), F.lit("]")))
-    tokens = tokens.withColumn("_entry", entry)
-    # where a value ends: a scalar or string with itself, a bracket with the next closing one of its depth
-    after = Window.partitionBy("_row", "depth").orderBy("place").rowsBetween(1, Window.unboundedFollowing)
-    closes = F.first(F.when(F.col("kind") == "close", F.col("end")), ignorenulls=True).over(after)
-    tokens = tokens.withColumn("_ends", F.when(F.col("kind") == "open", F.coalesce(closes, F.col("_length"))).otherwise(F.col("end")))
-    tokens = tokens.withColumn("value_start", F.lead("start", 2).over(by)).withColumn("_value_kind", F.lead("kind", 2).over(by)).withColumn("_value_end", F.lead("_ends", 2).over(by)).withColumn("_colon_end", F.lead("end", 1).over(by))
-    deepest = tokens.agg(F.max("depth")).first()[0] or 0
+    nth = (F.col("_commas") - F.col("_in.commas")).cast("string")
+    entry = F.when(F.col("_key"), F.left(own, F.lit(KEY_CHARS))).when(F.col("_in.array") & F.col("kind").isin("open", "comma"), F.concat(F.lit("["), nth, F.lit("]")))
+    # where a value ends: a scalar or string with itself, a bracket with that which closes it, or with the text
+    closes = F.max(F.when(F.col("kind") == "close", F.col("end"))).over(Window.partitionBy("_row", "depth", "_container"))
+    tokens = tokens.select("_row", "place", "start", "kind", "depth", "_key", "value_start", "_value_kind", "_colon_end", entry.alias("_entry"), F.when(opens, closes).otherwise(F.col("end")).alias("_ends"))
+    tokens = tokens.withColumn("_value_end", F.lead("_ends", 2).over(by))
     around = [F.last(F.when(F.col("depth") == d, F.col("_entry")), ignorenulls=True).over(by) for d in range(1, deepest)]
     levels = F.array(*around) if around else F.array().cast("array<string>")
     keys = tokens.withColumn("_levels", levels).where("_key")
     path = F.array_append(F.slice("_levels", F.lit(1), F.col("depth") - 1), F.col("_entry"))
+    keys = keys.select("_row", "start", "_entry", path.alias("path"), "value_start", "_value_kind", "_value_end", "_colon_end")
+    # ids come back at the end: no token carries them
+    keys = keys.join(texts.select("_row", "_id", F.length("_json").cast("long").alias("_length")), "_row")
     has = F.coalesce(F.col("_value_kind").isin("string", "scalar", "open"), F.lit(False))
-    end = F.when(has, F.col("_value_end")).otherwise(F.col("_colon_end")).cast("long")
-    return keys.select(id_col, "start", end.alias("end"), F.col("_entry").alias("key"), path.alias("path"), F.when(has, F.col("value_start")).alias("value_start"))
+    end = F.when(has, F.coalesce("_value_end", "_length")).otherwise(F.col("_colon_end")).cast("long")
+    return keys.select(F.col("_id").alias(id_col), "start", end.alias("end"), F.col("_entry").alias("key"), "path", F.when(has, F.col("value_start")).alias("value_start"))
 
 
 def json_reasons(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:

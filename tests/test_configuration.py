@@ -307,3 +307,6 @@ def test_texts_are_dealt_by_their_length(spark, monkeypatch):
     n = 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
     yaml = spark.createDataFrame([(i, "a: 1\nbb: 2") for i in range(5 * n)], "id int, t string")
     assert C.yaml_entries(yaml, ["id"], F.col("t")).rdd.getNumPartitions() == -(-5 * n * 10 // 50) >= n
+    texts = spark.createDataFrame([(i, '{"a": [1]}') for i in range(5 * n)], "_row long, _json string")
+    tokens = C.json_tokens(texts)
+    assert tokens.rdd.getNumPartitions() == n and "t" not in texts.columns and tokens.count() == 5 * n * 7
