@@ -10,7 +10,7 @@ import operator
 import re
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -246,10 +246,20 @@ def capped_page(files: DataFrame, calls: DataFrame, match: Column, after: tuple[
 PLACE = 33
 
 
-def global_rank(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """row_number over all rows without bringing them into one task: one range-partitioned sort, then each row's place in its partition is moved
+#: Rows that a task of a rank over many rows reads.
+TASK_ROWS = 1 << 18
+
+
+def row_parts(rows: int, spark: SparkSession) -> int:
+    """Partitions for so many rows: Spark's number, and more where a task would read more than TASK_ROWS of them, so that what one reads doesn't grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def global_rank(rows: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
+    """row_number over all rows without bringing them into one task: one range-partitioned sort (over `parts`, if given), then each row's place in its partition is moved
     up by the number of rows before that. `order` has to be total. No window runs over the rows."""
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    placed = cut(dealt.sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", PLACE)
     sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
     before = sizes.select("_p", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -257,22 +267,28 @@ def global_rank(rows: DataFrame, order: Sequence[Column], name: str) -> DataFram
     return ranked.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << PLACE) - 1)) + F.col("_before") + 1).drop("_p", "_m", "_before")
 
 
-#: Rows of a group that one task sorts, spilling if need be.
-GROUP_ROWS = 1 << 20
+#: Rows of a group that one task sorts.
+GROUP_ROWS = 1 << 17
+#: Groups whose first ranks are broadcast.
+FEW_GROUPS = 50_000
 
 
 def largest_group(rows: DataFrame, by: Sequence[str]) -> int:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def grouped_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, most: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
+def grouped_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, most: int = GROUP_ROWS, largest: int | None = None, parts: int | None = None) -> DataFrame:
     """row_number within groups of which any may hold most rows. Groups are counted first: where none has more than `most` rows it is a window, one shuffle by group; else the rank over all rows by
-    group and order, less the rank at which the group begins, so that a group is spread over tasks. `order` has to be total within a group; nulls are a group. rows are read twice, unless the caller knows the largest group's size."""
+    group and order, less the rank at which the group begins, so that a group is spread over tasks. `order` has to be total within a group; nulls are a group. rows are read twice, unless the caller knows the largest group's size. parts: see `row_parts`."""
     if (largest_group(rows, by) if largest is None else largest) <= most:
+        rows = rows.repartition(parts, *by) if parts else rows
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    ranked = global_rank(rows, [*[F.col(c).asc() for c in by], *order], "_rank")
+    ranked = global_rank(rows, [*[F.col(c).asc() for c in by], *order], "_rank", parts)
     starts = ranked.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min("_rank").alias("_start"))
     same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    # few groups come to every task, so that no task gets a whole one
+    starts = cut(starts)
+    starts = F.broadcast(starts) if starts.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else starts
     return ranked.join(starts, same).withColumn(name, F.col("_rank") - F.col("_start") + 1).drop("_rank", "_start", *[f"_by{i}" for i in range(len(by))])
 
 

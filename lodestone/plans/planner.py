@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical
-from ..operators.relations import grouped_rank, largest_group
+from ..operators.relations import grouped_rank, largest_group, row_parts
 from ..session import cut
 
 # Fixed values: (theme, any of these questions, and any of these if there are some).
@@ -120,8 +120,9 @@ def diversify(rows: DataFrame) -> DataFrame:
     known = cut(rows)
     order = [F.col("priority").asc(), F.col("rank").asc(), F.col("id").asc()]
     ranked = deferred = known.where("decision = 'deferred'")
+    parts = row_parts(deferred.count(), rows.sparkSession)
     for by in ("file", "theme"):
-        ranked = grouped_rank(ranked, [by], order, f"_{by}", largest=largest_group(deferred, [by]))
+        ranked = grouped_rank(ranked, [by], order, f"_{by}", largest=largest_group(deferred, [by]), parts=parts)
     later = F.col("priority") + (F.col("_file") - 1) * FILE_STEP + (F.col("_theme") - 1) * THEME_STEP
     moved = ranked.withColumn("priority", later.cast("long")).select(*rows.columns)
     return moved.unionByName(known.where("decision is null or decision != 'deferred'"))
@@ -138,9 +139,11 @@ def select_sample(rows: DataFrame, maximum: int) -> DataFrame:
     order = ["priority", "rank", "id"]
     deferred = rows.where("decision = 'deferred'")
     first = deferred.orderBy(*order).limit(maximum - controls).select("id")
-    untouched = deferred.join(first, "id", "left_anti").join(deferred.join(first, "id", "left_semi").select("subject_id").distinct(), "subject_id", "left_anti")
-    untouched = untouched.join(rows.where("decision = 'selected'").select("subject_id").distinct(), "subject_id", "left_anti")
-    least = untouched.groupBy("subject_id").agg(F.min("rank").alias("rank"), F.first("purpose").alias("purpose"), F.first("file").alias("file"), F.first("kind").alias("kind"))
+    # subjects first, each a row, then those that have none selected
+    subjects = deferred.select("subject_id", "rank", "purpose", "file", "kind").repartition(row_parts(deferred.count(), rows.sparkSession), "subject_id")
+    least = subjects.groupBy("subject_id").agg(F.min("rank").alias("rank"), F.first("purpose").alias("purpose"), F.first("file").alias("file"), F.first("kind").alias("kind"))
+    least = least.join(deferred.join(first, "id", "left_semi").select("subject_id").distinct(), "subject_id", "left_anti")
+    least = least.join(rows.where("decision = 'selected'").select("subject_id").distinct(), "subject_id", "left_anti")
     control = least.orderBy("rank", "subject_id").limit(controls)
     control = control.withColumn("theme", F.lit(CONTROL)).withColumn("priority", F.lit(CONTROL_PRIORITY).cast("long")).withColumn("decision", F.lit("selected"))
     control = control.withColumn("id", canonical(F.col("subject_id").cast("string"), F.col("theme")))

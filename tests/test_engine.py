@@ -355,3 +355,16 @@ def test_bench_picks_its_queries():
     import bench
 
     assert bench.selected(dict.fromkeys(["operation_groups", "op10_b", "op2_a", "pipeline", "plan_full", "opera"])) == ["plan_full", "operation_groups", "op2_a", "op10_b", "pipeline"]
+
+
+def test_ranks_of_many_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "TASK_ROWS", 10)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), (F.col("id") % 40).cast("string").alias("file"), F.lit("t").alias("theme"), F.lit(5).cast("long").alias("priority"), F.lpad("id", 3, "0").alias("rank"), F.lit("deferred").alias("decision"))
+    assert relations.row_parts(100, spark) == max(n, 10) > n
+    seen = []
+    frame = type(rows)
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name): seen.append(a[0]) or f(self, *a))
+    got = {r.id: r.priority for r in planner.diversify(rows).collect()}
+    assert got == {str(i): 5 + (i // 40) * 20 + i * 4 for i in range(100)} and seen == [10, 10]
