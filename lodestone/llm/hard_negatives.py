@@ -1,15 +1,17 @@
 """Hard negatives by block matrix multiplication in two dimensions, as in SUMMA.
 
-Rows are cut into shards of ROWS vectors of one label, anchors into shards of ANCHORS, and both into panels of DIMS dimensions. A grid brings each pair of
-panels of the same dimensions together once: a partial tile of scores, int64 and exact. Tiles of one pair of shards are added after a shuffle, a slice of
-SLICE anchors at a time, and of each tile only the best rows of each anchor's windows go on.
+Rows are cut into shards of ROWS vectors of one label, anchors into shards of ANCHORS, and both into panels of DIMS dimensions. Shards are dealt over a grid: those of the
+anchors go to all cells of a grid row, those of the rows to all cells of a grid column, so that each pair meets in one cell. There its tile of scores, int64 and exact, is added up
+panel by panel, SLICE anchors at a time, and stays: only the best rows of each anchor's windows leave the cell.
 
-Same-label tiles give the positives, tiles of different labels the negatives in the windows that the positives' scores set: each score is worked out once. No task holds
-more than two panels and a tile, whatever the sizes of labels; the work is anchors times rows, which an exact search over all rows is.
+Same-label tiles give the positives, tiles of different labels the negatives in the windows that the positives' scores set: each score is worked out once. No task works on
+more than two shards and a tile at once, whatever the sizes of labels; the work is anchors times rows, which an exact search over all rows is, but what is shuffled is the shards, once
+for each grid column or row, and the best rows of each cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,11 @@ from .common import cut
 ROWS, ANCHORS, SLICE, DIMS = 2048, 1024, 256, 32
 #: Bytes of a shard; very wide vectors get shorter ones.
 BYTES = 1 << 25
+#: Shards of rows in a cell, which a join holds; found rows that a task holds before it drops all but the best.
+CELL, HELD = 8, 1 << 18
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
-SHARD = "label long, shard long, uids array<long>, ids array<long>, windows array<array<long>>, panels array<struct<k:int,panel:binary>>"
-TILE = "a long, part int, b long, k int, tile binary, a_uids array<long>, windows array<array<long>>, b_uids array<long>, b_ids array<long>"
+SHARD = "label long, shard long, uids array<long>, ids array<long>, windows array<array<long>>, panels array<binary>"
 FOUND = "uid long, slot long, b_uid long, b_id long, score long"
 
 
@@ -60,12 +63,12 @@ def shards(rows: DataFrame, size: int) -> DataFrame:
             vectors = column("vector")
             width = max(1, int(vectors.value_lengths().to_numpy(zero_copy_only=False).max()))
             m = dense(vectors, width)
-            panels = [{"k": k, "panel": np.ascontiguousarray(m[:, k * DIMS : (k + 1) * DIMS]).tobytes()} for k in range(-(-width // DIMS))]
+            panels = [np.ascontiguousarray(m[:, k * DIMS : (k + 1) * DIMS]).tobytes() for k in range(-(-width // DIMS))]
             shard = TaskContext.get().partitionId() << 32 | made
             one = lambda a, kind: pa.array([a.to_pylist()], kind)
             longs = pa.list_(pa.int64())
             out = pa.record_batch(
-                [pa.array([label], pa.int64()), pa.array([shard], pa.int64()), one(column("uid"), longs), one(column("id"), longs), one(column("windows"), pa.list_(longs)), pa.array([panels], pa.list_(pa.struct([("k", pa.int32()), ("panel", pa.binary())])))],
+                [pa.array([label], pa.int64()), pa.array([shard], pa.int64()), one(column("uid"), longs), one(column("id"), longs), one(column("windows"), pa.list_(longs)), pa.array([panels], pa.list_(pa.binary()))],
                 names=["label", "shard", "uids", "ids", "windows", "panels"],
             )
             held, n, used, made = [], 0, 0, made + 1
@@ -102,64 +105,106 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def partial_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of panels the scores' part, by slices of the anchors."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            a = np.frombuffer(r["a_panel"], np.int64).reshape(r["a_n"], -1)
-            b = np.frombuffer(r["b_panel"], np.int64).reshape(r["b_n"], -1)
-            width = min(a.shape[1], b.shape[1])
-            for part in range(-(-len(a) // SLICE)):
-                some = slice(part * SLICE, (part + 1) * SLICE)
-                out = {c: r[c] for c in ("a", "b", "k")} | {"part": part, "tile": product(a[some, :width], b[:, :width]).tobytes()}
-                out |= {"a_uids": r["a_uids"] and r["a_uids"][some], "windows": r["windows"] and r["windows"][some], "b_uids": r["b_uids"], "b_ids": r["b_ids"]}
-                yield pa.RecordBatch.from_pylist([out], TILE_SCHEMA)
+def tile(a: list[np.ndarray], b: list[np.ndarray], some: slice) -> np.ndarray:
+    """Scores of some anchors with all rows of a shard, added up panel by panel; what a shorter vector lacks counts as 0."""
+    scores = np.zeros((len(a[0][some]), len(b[0])), np.int64)
+    for left, right in zip(a, b, strict=False):
+        width = min(left.shape[1], right.shape[1])
+        scores += product(left[some, :width], right[:, :width])
+    return scores
+
+
+def ranked(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of the tile its places by falling score, of equals the first, and the scores in this order, negated. Where a score and a place fit a number, numbers are sorted, which is faster."""
+    bits = scores.shape[1].bit_length()
+    if -1 << 62 - bits < scores.min(initial=0) and scores.max(initial=0) < 1 << 62 - bits:
+        both = np.sort(-scores << bits | np.arange(scores.shape[1]), 1)
+        return both & (1 << bits) - 1, both >> bits
+    order = np.argsort(-scores, 1, kind="stable")
+    return order, -np.take_along_axis(scores, order, 1)
+
+
+def picked(scores: np.ndarray, own: np.ndarray, windows: list[np.ndarray], b_uids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Anchor, slot, row (by their places in the tile), score: of each anchor's windows the first k rows by score, then by id, but the anchor itself."""
+    order, falling = ranked(scores)  # rows come by id
+    who = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+    slots, low, high = np.concatenate([np.empty((0, 3), np.int64), *windows]).T
+    begin = np.concatenate([np.empty(0, np.int64), *(np.searchsorted(f, -w[:, 2], "left") for f, w in zip(falling, windows, strict=True))])
+    places = begin[:, None] + np.arange(k + 1)
+    inside = places < scores.shape[1]
+    rows = order[who[:, None], np.minimum(places, scores.shape[1] - 1)]
+    inside &= (scores[who[:, None], rows] >= low[:, None]) & (scores[who[:, None], rows] <= high[:, None]) & (b_uids[rows] != own[who][:, None])
+    inside &= np.cumsum(inside, 1) <= k
+    at, nth = np.nonzero(inside)
+    return who[at], slots[at], rows[at, nth], scores[who[at], rows[at, nth]]
+
+
+def first(found: list[np.ndarray], k: int) -> np.ndarray:
+    """The first k of each uid and slot, by score, then id, null last. Columns: those of FOUND, then whether the id is null."""
+    rows = np.concatenate(found, 1)
+    uid, slot, b_uid, b_id, score, null = rows
+    rows = rows[:, np.lexsort((b_uid, b_id, null, -score, slot, uid))]
+    starts = np.r_[True, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]
+    n = np.arange(rows.shape[1])
+    return rows[:, n - np.maximum.accumulate(np.where(starts, n, 0)) < k]
 
 
 def best_of(k: int):
-    """Adds a tile's parts, and keeps of each anchor's windows the first k rows by score, then by id."""
+    """Of each pair of shards' tile the first k rows of each anchor's windows; pairs of the same anchors that follow each other give them together."""
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        *columns, null = first(found, k)
+        return pa.record_batch([pa.array(c, pa.int64(), mask=null > 0 if n == 3 else None) for n, c in enumerate(columns)], names=["uid", "slot", "b_uid", "b_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = who = None
+        now, held, found = None, 0, []
         for batch in batches:
-            for r in batch.to_pylist():
-                part = np.frombuffer(r["tile"], np.int64)
-                scores = part.copy() if scores is None else scores + part
-                who = r if r["k"] == 0 else who
-        scores = scores.reshape(len(who["a_uids"]), -1)
-        b_uids = np.array(who["b_uids"])
-        order = np.argsort(-scores, 1, kind="stable")  # rows come by id
-        falling = -np.take_along_axis(scores, order, 1)
-        out = []
-        for i, (own, windows) in enumerate(zip(who["a_uids"], who["windows"], strict=True)):
-            for slot, low, high in zip(*[iter(windows)] * 3, strict=True):
-                begin, end = np.searchsorted(falling[i], -high, "left"), np.searchsorted(falling[i], -low, "right")
-                some = order[i, begin : min(end, begin + k + 1)]
-                some = some[b_uids[some] != own][:k]
-                out += [(own, slot, int(b_uids[j]), who["b_ids"][j], int(scores[i, j])) for j in some]
-        if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["uid", "slot", "b_uid", "b_id", "score"])
+            for i, anchors in enumerate(batch.column("a").to_pylist()):
+                if found and anchors != now:
+                    yield out(found)
+                    held, found = 0, []
+                now = anchors
+                a_uids, b_uids, b_ids, windows = (batch.column(c)[i].values for c in ("a_uids", "b_uids", "b_ids", "windows"))
+                own, b_uids, null = a_uids.to_numpy(), b_uids.to_numpy(), b_ids.is_null().to_numpy(zero_copy_only=False)
+                ids = b_ids.fill_null(0).to_numpy()
+                triples = np.split(windows.flatten().to_numpy().reshape(-1, 3), np.cumsum(windows.value_lengths().to_numpy() // 3)[:-1])
+                a, b = ([np.frombuffer(p.as_buffer(), np.int64).reshape(n, -1) for p in batch.column(c)[i].values] for c, n in (("a_panels", len(own)), ("b_panels", len(b_uids))))
+                for start in range(0, len(own), SLICE):
+                    some = slice(start, start + SLICE)
+                    who, slots, rows, scores = picked(tile(a, b, some), own[some], triples[some], b_uids, k)
+                    if len(who):
+                        found.append(np.stack([own[some][who], slots, b_uids[rows], ids[rows], scores, null[rows]]))
+                        held += len(who)
+                if held > HELD:
+                    found = [first(found, k)]
+                    held = found[0].shape[1]
+        if found:
+            yield out(found)
 
     return run
 
 
-LONGS = pa.list_(pa.int64())
-TILE_SCHEMA = pa.schema([("a", pa.int64()), ("part", pa.int32()), ("b", pa.int64()), ("k", pa.int32()), ("tile", pa.binary()), ("a_uids", LONGS), ("windows", pa.list_(LONGS)), ("b_uids", LONGS), ("b_ids", LONGS)])
+def grid(shards: int, partitions: int) -> tuple[int, int]:
+    """Rows and columns of a grid of about so many cells, with few enough shards of rows in a column. Columns cost copies of the anchors, which are few, and of what they find;
+    rows cost copies of the table."""
+    tall = max(1, math.isqrt(partitions // 20))
+    return tall, max(1, -(-shards // CELL), min(shards, partitions // tall))
 
 
-def search(anchors: DataFrame, rows: DataFrame, same: bool, k: int) -> DataFrame:
+def search(anchors: DataFrame, rows: DataFrame, same: bool, k: int, tall: int, wide: int) -> DataFrame:
     """uid, slot, b_uid, b_id, score, at: of each anchor's windows (slot, low, high) the first k rows of the same label, or of others, by score and then id. An anchor isn't
     found itself. anchors and rows: shards."""
-    grid = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = lambda c: F.when(F.col("x.k") == 0, F.col(c))
-    left = anchors.select("label", F.col("shard").alias("a"), F.size("uids").alias("a_n"), "uids", "windows", F.explode("panels").alias("x"))
-    left = left.select("label", "a", "a_n", first("uids").alias("a_uids"), first("windows").alias("windows"), F.col("x.k").alias("k"), F.col("x.panel").alias("a_panel"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("cell"))
-    right = rows.select(F.col("label").alias("b_label"), F.col("shard").alias("b"), F.size("uids").alias("b_n"), "uids", "ids", F.explode("panels").alias("x"))
-    right = right.select("b_label", "b", "b_n", first("uids").alias("b_uids"), first("ids").alias("b_ids"), F.col("x.k").alias("b_k"), F.col("x.panel").alias("b_panel"), F.pmod(F.xxhash64("b"), F.lit(grid)).cast("int").alias("b_cell"))
-    alike = F.col("label") == F.col("b_label")
-    pairs = left.join(right, (F.col("cell") == F.col("b_cell")) & (F.col("k") == F.col("b_k")) & (alike if same else ~alike))
-    tiles = pairs.select("a", "b", "k", "a_n", "b_n", "a_uids", "windows", "b_uids", "b_ids", "a_panel", "b_panel").mapInArrow(partial_tiles, TILE)
-    found = tiles.groupBy("a", "part", "b").applyInArrow(best_of(k), FOUND)
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one_of = lambda n: F.pmod(F.xxhash64("shard"), F.lit(n)).cast("int")
+    left = anchors.select("label", F.col("shard").alias("a"), F.col("uids").alias("a_uids"), "windows", F.col("panels").alias("a_panels"), one_of(tall).alias("row"), everywhere(wide).alias("col"))
+    right = rows.select("label", F.col("uids").alias("b_uids"), F.col("ids").alias("b_ids"), F.col("panels").alias("b_panels"), one_of(wide).alias("col"), everywhere(tall).alias("row"))
+    # Spark takes the copies of the anchors for no more than the anchors, and would broadcast them all: their join is told to be a merge. A task is a cell, as what it does isn't told by its bytes
+    cell = ["row", "col", *["label"] * same]
+    left, right = (side.repartition(tall * wide, *cell) for side in (left, right.withColumnRenamed("label", "label" if same else "b_label")))
+    pairs = left.hint("merge").join(right, cell)
+    if not same:
+        pairs = pairs.where("label != b_label")
+    found = pairs.select("a", "a_uids", "windows", "a_panels", "b_uids", "b_ids", "b_panels").mapInArrow(best_of(k), FOUND)
     at = F.row_number().over(Window.partitionBy("uid", "slot").orderBy(F.desc("score"), F.col("b_id").asc_nulls_last(), "b_uid"))
     return found.withColumn("at", at).where(F.col("at") <= k)
 
@@ -178,17 +223,18 @@ def mine(rows: DataFrame, label: Column, every: int = 100, positives: int = 5, n
     known = cut(known)
     none = F.array().cast("array<long>")
     all_ = cut(shards(known.withColumn("windows", none), ROWS))
+    cells = grid(all_.count(), max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     chosen = known.where(F.col("id") % every == 0)
 
     def sharded(anchors: DataFrame) -> DataFrame:
         return shards(anchors.repartitionByRange("label", "uid").sortWithinPartitions("label", "uid"), ANCHORS)
 
     whole = F.array(F.lit(0), F.lit(LEAST + 1), F.lit(MOST)).cast("array<long>")
-    best = cut(search(sharded(chosen.withColumn("windows", whole)), all_, True, positives).select("uid", F.col("at").cast("long").alias("slot"), F.col("b_id").alias("positive_id"), F.col("score").alias("positive_score")))
+    best = cut(search(sharded(chosen.withColumn("windows", whole)), all_, True, positives, *cells).select("uid", F.col("at").cast("long").alias("slot"), F.col("b_id").alias("positive_id"), F.col("score").alias("positive_score")))
     low, high = F.expr(f"({window[0]} * positive_score + 99) div 100"), F.expr(f"({window[1]} * positive_score) div 100")
     sets = best.where("positive_score >= 0").groupBy("uid").agg(F.flatten(F.collect_list(F.array("slot", low, high))).alias("windows"))
     wanted = chosen.join(sets, "uid")
-    found = search(sharded(wanted), all_, False, negatives)
+    found = search(sharded(wanted), all_, False, negatives, *cells)
     named = best.join(chosen.select("uid", F.col("id").alias("anchor_id")), "uid")
     return found.join(named, ["uid", "slot"]).select("anchor_id", "positive_id", F.col("at").cast("int").alias("rank"), F.col("b_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

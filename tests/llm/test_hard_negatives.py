@@ -1,8 +1,10 @@
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import hard_negatives as H
@@ -78,3 +80,45 @@ def test_products_are_exact():
     assert H.product(a, b).tolist() == want
     small = H.product(a >> 20, b >> 20)
     assert small.tolist() == [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b >> 20] for p in a >> 20]
+
+
+def test_copies_of_the_anchors_are_not_broadcast(spark):
+    """Their size is told too small once the anchors are known to be few."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = H.mine(frame(spark, some(4, 400, 40)), H.moved())
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    joined = re.findall(r"BroadcastHashJoin \[([a-z_]+)#", plan.split("== Initial Plan ==")[0])
+    assert set(joined) <= {"uid"}
+
+
+def test_ranks_of_a_tile():
+    r = np.random.default_rng(2)
+    for top in (5, 1 << 40, 1 << 61):
+        scores = r.integers(-top, top, (6, 50))
+        order, falling = H.ranked(scores)
+        assert order.tolist() == [sorted(range(50), key=lambda j: (-row[j], j)) for row in scores.tolist()]  # noqa: B023
+        assert falling.tolist() == [sorted(-x for x in row) for row in scores.tolist()]
+
+
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_tiles_of_the_same_anchors_give_their_best_together(monkeypatch, held):
+    monkeypatch.setattr(H, "HELD", held)
+    panel = lambda *rows: [np.array(rows, np.int64).tobytes()]
+    whole = [0, H.LEAST + 1, H.MOST]
+    pair = lambda a, ids, rows: {"a": a, "a_uids": [10 * a, 10 * a + 1], "windows": [whole, [0, 2, 3, 1, -9, -9]], "a_panels": panel([1], [-1]), "b_uids": [100 + i if i else 99 for i in ids], "b_ids": ids, "b_panels": panel(*[[x] for x in rows])}
+    kinds = pa.schema([("a", pa.int64()), ("a_uids", pa.list_(pa.int64())), ("windows", pa.list_(pa.list_(pa.int64()))), ("a_panels", pa.list_(pa.binary())), ("b_uids", pa.list_(pa.int64())), ("b_ids", pa.list_(pa.int64())), ("b_panels", pa.list_(pa.binary()))])
+    pairs = [pair(1, [1, 2], [5, 9]), pair(1, [3, None], [9, 9]), pair(2, [4], [-3])]
+    got = [x for b in H.best_of(2)(pa.RecordBatch.from_pylist([p], kinds) for p in pairs) for x in [list(zip(*b.to_pydict().values(), strict=True))]]
+    assert got == [
+        [(10, 0, 102, 2, 9), (10, 0, 103, 3, 9), (11, 1, 102, 2, -9), (11, 1, 103, 3, -9)],
+        [(20, 0, 104, 4, -3), (21, 0, 104, 4, 3)],
+    ]
+
+
+def test_grid():
+    assert H.grid(1, 8) == (1, 1) and H.grid(5, 8) == (1, 5) and H.grid(300, 12) == (1, 38) and H.grid(300, 600) == (5, 120)
